@@ -112,7 +112,7 @@ def charts(cells: DataFrame, entity: str | None = None, category: str | None = N
         cells.select(F.explode(lines).alias("line"), "value", "n")
         .groupBy("line.chart", "line.name")
         .agg(F.sum("value").cast(MONEY).alias("value"), F.sum("n").cast("bigint").alias("n"))
-        .withColumn("average", F.round(F.col("value").cast("double") / F.col("n"), 2).cast(MONEY))
+        .withColumn("average", F.round(F.col("value").cast("decimal(28,2)") / F.col("n").cast("decimal(18,0)"), 2).cast(MONEY))
     )
 
 

@@ -14,36 +14,35 @@ CONSISTENT = "CONSISTENT"
 NOT_COMPARABLE = "NOT_COMPARABLE"
 
 
-def reported_for(years: DataFrame, summary: DataFrame) -> DataFrame:
-    """The reported figure of each year: the later of its own row and a row whose label names no year.
+def reported_for(quarters: DataFrame, summary: DataFrame) -> DataFrame:
+    """Adds `reported` to rows with year and quarter: the later of the row reported for that quarter and year and
+    a row whose label names the quarter only.
 
-    `summary` holds one row per year as scanned, so the row without a year is a single one.
+    `summary` is as scanned, so there is one row without a year per quarter at most.
     """
     own = summary.filter("year is not null").select(
-        "year", F.col("reported").alias("own"), F.col("ord").alias("own_ord")
+        "quarter", "year", F.col("reported").alias("own"), F.col("ord").alias("own_ord")
     )
     general = summary.filter("year is null").select(
-        F.lit(1).alias("one"), F.col("reported").alias("general"), F.col("ord").alias("general_ord")
-    )
-    both = (
-        years.join(own, "year", "left").withColumn("one", F.lit(1)).join(F.broadcast(general), "one", "left")
+        "quarter", F.col("reported").alias("general"), F.col("ord").alias("general_ord")
     )
+    both = quarters.join(own, ["quarter", "year"], "left").join(F.broadcast(general), "quarter", "left")
     later = F.col("own_ord").isNull() | (F.col("general_ord") > F.col("own_ord"))
     use_general = F.col("general_ord").isNotNull() & later
     return both.withColumn("reported", F.when(use_general, F.col("general")).otherwise(F.col("own"))).drop(
-        "one", "own", "own_ord", "general", "general_ord"
+        "own", "own_ord", "general", "general_ord"
     )
 
 
 def reconcile(verified: DataFrame) -> DataFrame:
-    """Adds difference, percent and status to rows with `result` (company-wide) and `reported`."""
+    """Adds difference, percent and reconciliation to rows with `result` (company-wide) and `reported`."""
     difference = (F.col("reported") - F.col("result")).cast(MONEY)
     off = (F.col("result") == 0) | (F.abs(difference) * 200 > F.abs(F.col("result")))
     return (
         verified.withColumn("difference", difference)
         .withColumn("percent", percent(difference, F.col("result")))
         .withColumn(
-            "status",
+            "reconciliation",
             F.when(F.col("reported").isNull() | F.col("result").isNull(), NOT_COMPARABLE)
             .when(off, CONTRADICTION)
             .otherwise(CONSISTENT),

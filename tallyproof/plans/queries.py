@@ -95,6 +95,7 @@ def _label(norm: Column) -> Column:
     return F.when(norm == "", "(blank)").otherwise(norm)
 
 
+ANY_YEAR = "(?:19|20)[0-9]{2}"
 FIGURE = ["final_rows", "final_total", "refund_rows", "refund_total", "status", "result"]
 STAGES = [
     "raw_rows", "raw_total", "dedup_rows", "dedup_total", "final_rows", "final_total", "missing_rows",
@@ -145,11 +146,10 @@ def _order_summary(spark, sf) -> DataFrame:
 
 def _order_summary_by_quarter(spark, sf) -> DataFrame:
     summary = _order_summary(spark, sf)
-    parts = [tables.scan_summary(summary, L.LINES, q).withColumn("quarter", F.lit(q).cast("bigint")) for q in range(1, 5)]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged.select(F.col("year").cast("bigint").alias("year"), "quarter", F.col("reported").cast(MONEY).alias("reported"))
+    merged = tables.scan_summary(summary, L.LINES, 1, ANY_YEAR)
+    for quarter in (2, 3, 4):
+        merged = merged.unionByName(tables.scan_summary(summary, L.LINES, quarter, ANY_YEAR))
+    return merged.select("year", "quarter", F.col("reported").cast(MONEY).alias("reported"))
 
 
 @query
@@ -807,33 +807,40 @@ def _reported(quarters: DataFrame) -> DataFrame:
     )
 
 
-def _reconciled(quarters: DataFrame, quarter: int = 4) -> DataFrame:
-    of_quarter = quarters.filter(F.col("quarter") == quarter)
-    summary = tables.scan_summary(_reported(quarters), L.LINES, quarter)
-    return reconcile.reconcile(reconcile.reported_for(of_quarter.select("year", "quarter", "result"), summary))
+def _reconciled(quarters: DataFrame, reported: DataFrame) -> DataFrame:
+    summary = tables.scan_summary(reported, L.LINES, 4, ANY_YEAR)
+    return reconcile.reconcile(reconcile.reported_for(quarters, summary))
 
 
 @query
 def summary_join(spark, sf):
     """Reported figures next to verified ones, order headers as the summary."""
-    verified = _quarters(spark, sf).filter("quarter = 4").select("year", "result")
-    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, 4)
-    return reconcile.reported_for(verified, summary).select("year", "result", F.col("reported").cast(MONEY).alias("reported"))
+    verified = _quarters(spark, sf).filter("quarter = 4").select("year", "quarter", "result")
+    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, 4, ANY_YEAR)
+    return reconcile.reported_for(verified, summary).select(
+        "year", "result", F.col("reported").cast(MONEY).alias("reported")
+    )
 
 
 @query
 def summary_reconciliation(spark, sf):
-    """X1 for the fourth quarters"""
-    found = _reconciled(_quarters(spark, sf))
-    return found.select("year", "result", F.col("reported").cast(MONEY).alias("reported"), "difference", "percent", "status")
+    """X1"""
+    quarters = _quarters(spark, sf)
+    return _reconciled(quarters, _reported(quarters)).select(
+        "year",
+        "quarter",
+        "result",
+        F.col("reported").cast(MONEY).alias("reported"),
+        "difference",
+        "percent",
+        "reconciliation",
+    )
 
 
 @query
 def trust_verdict(spark, sf):
     """T1, T2 by quarter"""
-    audit = _audit(spark, sf)
-    checked = _reconciled(audit).select("year", "quarter", F.col("status").alias("reconciliation"))
-    judged = trust.verdict(audit.join(checked, ["year", "quarter"], "left"))
+    judged = trust.verdict(_reconciled(_audit(spark, sf), _reported(_quarters(spark, sf))))
     return judged.select("year", "quarter", "result", "decision", "publishability", "reasons")
 
 

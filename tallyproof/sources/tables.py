@@ -58,19 +58,19 @@ def scan_refunds(refunds: DataFrame, mapping: Mapping) -> DataFrame:
     )
 
 
-def scan_summary(summary: DataFrame, mapping: Mapping, quarter: int = 4) -> DataFrame:
-    """(year, reported): the last row whose label names the quarter; year is NULL for labels without one."""
+def scan_summary(summary: DataFrame, mapping: Mapping, quarter: int = 4, years: str = "20[0-9]{2}") -> DataFrame:
+    """(quarter, year, reported): the last row whose label names the quarter; year is NULL for labels without one."""
     cols = mapping.summary
     label = cell(cols.period)
-    years = F.array_distinct(F.regexp_extract_all(label, F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), F.lit(1)))
+    named = F.regexp_extract_all(label, F.lit(f"(?<![0-9])({years})(?![0-9])"), F.lit(1))
     return (
         summary.filter(label.contains(f"Q{quarter}"))
         .select(
-            F.explode_outer(years).alias("year"),
+            F.explode_outer(F.array_distinct(named)).alias("year"),
             strip(cell(cols.amount)).try_cast(AMOUNT).alias("reported"),
             row_order(cols.order).alias("ord"),
         )
-        .groupBy(F.col("year").cast("int").alias("year"))
+        .groupBy(F.lit(quarter).cast("bigint").alias("quarter"), F.col("year").cast("bigint").alias("year"))
         .agg(F.max_by("reported", "ord").alias("reported"), F.max("ord").alias("ord"))
     )
 
