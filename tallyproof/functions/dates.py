@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import DD_MM
 
-_SLASH = r"^\s*0*([0-9]{1,2})\s*/\s*0*([0-9]{1,2})\s*/\s*([0-9]{1,4})\s*$"
-_DASH = r"^\s*([0-9]{1,4})\s*-\s*0*([0-9]{1,2})\s*-\s*0*([0-9]{1,2})\s*$"
+def real_day(year: Column, month: Column, day: Column) -> Column:
+    """NULL unless the three numbers name a day of the calendar, years 1 to 9999."""
+    in_reach = year.between(1, 9999) & month.between(1, 12) & day.between(1, 31)
+    days_in_month = F.day(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(in_reach & (day <= days_in_month), F.make_date(year, month, day))
+
+
+def whole_numbers(c: Column, mark: str) -> list[Column]:
+    """The three whole numbers between the marks; NULLs if there are not exactly three parts."""
+    parts = F.split(c, mark)
+    return [F.when(F.size(parts) == 3, F.get(parts, F.lit(i)).try_cast("int")) for i in range(3)]
+
+
+def with_both_readings(df: DataFrame, text: str, date_format: str, day: str, other_day: str) -> DataFrame:
+    """Adds the date under the given slash format and under the other one, taking the text apart once."""
+    numbers = dict(zip(("n1", "n2", "n3"), whole_numbers(F.col(text), "/")))
+    first, second, year = F.col("n1"), F.col("n2"), F.col("n3")
+    day_first, month_first = real_day(year, second, first), real_day(year, first, second)
+    given, other = (day_first, month_first) if date_format == DD_MM else (month_first, day_first)
+    return df.withColumns(numbers).withColumns({day: given, other_day: other}).drop(*numbers)
 
 
 def slash_date(c: Column, date_format: str = DD_MM) -> Column:
-    iso = "000$3-$2-$1" if date_format == DD_MM else "000$3-$1-$2"
-    return F.when(c.rlike(_SLASH), F.regexp_replace(c, _SLASH, iso).try_cast("date"))
+    first, second, year = whole_numbers(c, "/")
+    return real_day(year, second, first) if date_format == DD_MM else real_day(year, first, second)
 
 
 def rate_date(c: Column, date_format: str = DD_MM) -> Column:
     """Effective dates come as year-month-day or as slash dates."""
-    iso = F.when(c.rlike(_DASH), F.regexp_replace(c, _DASH, "000$1-$2-$3").try_cast("date"))
-    return F.coalesce(iso, slash_date(c, date_format))
+    return F.coalesce(real_day(*whole_numbers(c, "-")), slash_date(c, date_format))
 
 
 def is_ambiguous(day_first: Column, month_first: Column) -> Column:

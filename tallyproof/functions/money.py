@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyproof.functions.text import NUMBER_PATTERN, strip
+from tallyproof.functions.text import NUMBER_PATTERN
 
 RATE = "decimal(12,6)"
 AMOUNT = "decimal(25,6)"
@@ -33,19 +33,18 @@ def _scaled(text: Column, multiplier) -> Column:
     return (narrow * F.lit(m).cast(f"decimal({precision},{scale})")).cast(AMOUNT)
 
 
-def amount_or_null(c: Column, multiplier=1, commas: bool = False) -> Column:
-    text = strip(c)
+def amount_or_null(text: Column, multiplier=1, commas: bool = False) -> Column:
+    """Decimal out of stripped text; NULL if unreadable."""
     return _scaled(F.replace(text, F.lit(","), F.lit("")) if commas else text, multiplier)
 
 
-def amount_or_zero(c: Column, multiplier=1) -> Column:
+def amount_or_zero(text: Column, multiplier=1) -> Column:
     """An unreadable amount counts as nothing; the row stays."""
-    return F.coalesce(amount_or_null(c, multiplier), F.lit(0).cast(AMOUNT))
+    return F.coalesce(amount_or_null(text, multiplier), F.lit(0).cast(AMOUNT))
 
 
-def amount_problem(c: Column) -> Column:
-    """Why an amount cannot be taken digit for digit: unreadable, too_precise, too_large, or ok."""
-    text = strip(c)
+def amount_problem(text: Column) -> Column:
+    """Why stripped text cannot be taken digit for digit: unreadable, too_precise, too_large, or ok."""
     decimals = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1))
     return (
         F.when(~text.rlike(NUMBER_PATTERN), "unreadable")

@@ -26,7 +26,8 @@ def cell(c: Column | str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.btrim(c, F.lit(BLANKS))
+    """Blanks of every kind gone from both ends; the long list is searched only where plain trim may not do."""
+    return F.when(c.rlike("[^ -~]"), F.btrim(c, F.lit(BLANKS))).otherwise(F.trim(c))
 
 
 def is_blank(c: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyproof.config import Mapping, Policy
 from tallyproof.functions.dates import month_bucket, slash_date
 from tallyproof.functions.money import MONEY, RATE, amount_or_null, rows_where
-from tallyproof.functions.text import cell, effective_currency, entity_label, raw_currency
+from tallyproof.functions.text import cell, effective_currency, entity_label, raw_currency, strip
 from tallyproof.operators.rates import attach_rate_on
 
 # Why a row is not in the charts.
@@ -34,7 +34,7 @@ def chart_rows(
         (F.col(mapping.entity) if mapping.entity else F.lit("")).alias("entity_raw"),
         (F.col(category) if category else F.lit(None).cast("string")).alias("category_raw"),
         slash_date(F.col(mapping.date), policy.date_format).alias("day"),
-        amount_or_null(F.col(mapping.amount), mapping.unit_multiplier, commas=True).alias("amount"),
+        amount_or_null(strip(F.col(mapping.amount)), mapping.unit_multiplier, commas=True).alias("amount"),
         effective_currency(code, {}).alias("cur_eff"),
     )
     if rates is None:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
-from tallyproof.functions.dates import slash_date
+from tallyproof.functions.dates import with_both_readings
 from tallyproof.functions.money import amount_or_zero, convert
-from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency
+from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency, strip
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
 from tallyproof.sources.tables import row_order
 
@@ -34,28 +34,29 @@ def prepare(
     for rows without a date or an amount. `other_date` is the day under the other slash format.
     """
     request = request or Request()
-    day_text = _role(mapping.date)
     currency = _role(mapping.currency) if mapping.currency else F.lit(policy.target_currency)
-    rows = ledger.select(
+    texts = ledger.select(
         _role(mapping.key).alias("key"),
-        day_text.alias("date_raw"),
+        _role(mapping.date).alias("date_raw"),
         _role(mapping.entity).alias("entity_raw"),
         _role(mapping.amount).alias("amount_raw"),
         raw_currency(currency).alias("cur_raw"),
-        slash_date(day_text, policy.date_format).alias("txn_date"),
-        slash_date(day_text, policy.other_format).alias("other_date"),
         row_order(mapping.order).alias("row_order"),
+        strip(_role(mapping.amount)).alias("amount_text"),
         matches(ledger, mapping, request).alias("in_entity"),
         *keep,
     )
-    missing = is_blank(F.col("date_raw")) | is_blank(F.col("amount_raw"))
-    return (
-        rows.withColumn("entity_norm", entity_key(F.col("entity_raw")))
-        .withColumn("amount", amount_or_zero(F.col("amount_raw"), mapping.unit_multiplier))
-        .withColumn("cur_eff", effective_currency(F.col("cur_raw"), policy.currency_map))
-        .withColumn("is_missing", missing)
-        .withColumn("in_scope", F.col("in_entity") & ~missing & in_range(F.col("txn_date"), request))
+    dated = with_both_readings(texts, "date_raw", policy.date_format, "txn_date", "other_date")
+    typed = dated.withColumns(
+        {
+            "entity_norm": entity_key(F.col("entity_raw")),
+            "amount": amount_or_zero(F.col("amount_text"), mapping.unit_multiplier),
+            "cur_eff": effective_currency(F.col("cur_raw"), policy.currency_map),
+            "is_missing": is_blank(F.col("date_raw")) | (F.col("amount_text") == ""),
+        }
     )
+    inside = F.col("in_entity") & ~F.col("is_missing") & in_range(F.col("txn_date"), request)
+    return typed.withColumn("in_scope", inside).drop("amount_text")
 
 
 def matches(ledger: DataFrame, mapping: Mapping, request: Request) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from tallyproof.operators.skew import fits, salted_join
 
 # About 20 MB of (currency, rate, from, until) rows.
 MAX_BROADCAST_RATES = 200_000
-_OPEN = F.lit("9999-12-31").cast("date")
+_OPEN = dt.date(9999, 12, 31)
 
 
 def rate_intervals(rates: DataFrame) -> DataFrame:
@@ -21,7 +23,7 @@ def rate_intervals(rates: DataFrame) -> DataFrame:
     daily = rates.groupBy("cur", "eff").agg(F.max_by("rate", "ord").alias("rate"))
     following = F.lead("eff", 1).over(Window.partitionBy("cur").orderBy("eff"))
     return daily.select(
-        "cur", "rate", F.col("eff").alias("valid_from"), F.coalesce(following, _OPEN).alias("valid_to")
+        "cur", "rate", F.col("eff").alias("valid_from"), F.coalesce(following, F.lit(_OPEN)).alias("valid_to")
     )
 
 

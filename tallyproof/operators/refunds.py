@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
-from tallyproof.functions.dates import slash_date
+from tallyproof.functions.dates import with_both_readings
 from tallyproof.functions.money import amount_or_zero, convert, rows_where, total
+from tallyproof.functions.text import strip
 from tallyproof.operators.clean import first_row_per_key
 from tallyproof.operators.prepare import IDENTITY, in_range
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
@@ -30,11 +31,8 @@ def match_refunds(
         prepared.filter(~F.col("is_missing")), keys, ["key"], "left_semi", F.struct(*IDENTITY)
     )
     orders = first_row_per_key(of_refunded, ["entity_norm", "cur_eff", "in_entity", *carry])
-    typed = (
-        scanned.withColumn("ref_date", slash_date(F.col("ref_date_raw"), policy.date_format))
-        .withColumn("other_ref_date", slash_date(F.col("ref_date_raw"), policy.other_format))
-        .withColumn("ref_amount", amount_or_zero(F.col("ref_amount_raw"), mapping.unit_multiplier))
-    )
+    dated = with_both_readings(scanned, "ref_date_raw", policy.date_format, "ref_date", "other_ref_date")
+    typed = dated.withColumn("ref_amount", amount_or_zero(strip(F.col("ref_amount_raw")), mapping.unit_multiplier))
     side = orders.drop("row_order").withColumn("matched", F.lit(True))
     joined = salted_join(typed, side, ["key"], "left", F.struct("ref_date_raw", "ref_amount_raw"))
     return joined.withColumn("matched", F.coalesce("matched", F.lit(False)))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from tallyproof.config import BLANK_LABEL, BLOCK_ANSWER, EXCLUDE_REFUNDS, Mapping, Policy, Request
 from tallyproof.functions.dates import is_ambiguous, proves
 from tallyproof.functions.money import MONEY, amount_or_zero, rows_where, total
+from tallyproof.functions.text import strip
 from tallyproof.operators.clean import first_copies, key_cells, surviving_rows
 from tallyproof.operators.prepare import matches, prepare, with_value
 from tallyproof.operators.refunds import priced_refunds, refund_totals
 
-CARRY = ["is_missing", "in_scope", "txn_date", "other_date", "cur_eff", "value", "unsupported"]
+CARRY = ["is_missing", "in_scope", "value", "unsupported", "foreign", "ambiguous"]
 _PLAIN_ROWS = ["raw_rows", "missing_rows", "ambiguous_rows", "dedup_rows"]
 _PLAIN_SUMS = ["raw_total", "dedup_total"]
 _CLEAN_ROWS = ["unsupported_rows", "foreign_rows"]
@@ -25,8 +26,13 @@ def stage_totals(rows: DataFrame, target: str, by: Sequence[str] = ()) -> DataFr
 
     `by` names report columns that follow from entity and date.
     """
-    scope = F.col("in_scope")
-    ambiguous = is_ambiguous(F.col("txn_date"), F.col("other_date"))
+    scope, ambiguous = F.col("in_scope"), F.col("ambiguous")
+    rows = rows.withColumns(
+        {
+            "foreign": F.col("cur_eff") != target,
+            "ambiguous": is_ambiguous(F.col("txn_date"), F.col("other_date")),
+        }
+    )
     per_copy = [
         rows_where(scope).alias("raw_rows"),
         total(F.when(scope, F.col("value"))).alias("raw_total"),
@@ -39,7 +45,7 @@ def stage_totals(rows: DataFrame, target: str, by: Sequence[str] = ()) -> DataFr
         rows_where(scope).alias("dedup_rows"),
         total(F.when(scope, F.col("value"))).alias("dedup_total"),
         rows_where(scope & F.col("unsupported")).alias("unsupported_rows"),
-        rows_where(scope & (F.col("cur_eff") != target)).alias("foreign_rows"),
+        rows_where(scope & F.col("foreign")).alias("foreign_rows"),
         total(F.when(scope & ambiguous, F.col("value"))).alias("ambiguous_total"),
     ]
     cells = key_cells(first, by, per_key)
@@ -146,7 +152,7 @@ def unsupported_by_currency(rows: DataFrame, multiplier=1) -> DataFrame:
         ["cur_eff"],
         [
             rows_where(hit).alias("rows"),
-            F.sum(F.when(hit, amount_or_zero(F.col("amount_raw")))).alias("native"),
+            F.sum(F.when(hit, amount_or_zero(strip(F.col("amount_raw"))))).alias("native"),
             F.sum(F.when(hit, F.col("amount"))).alias("scaled"),
         ],
     )

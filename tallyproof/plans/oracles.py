@@ -33,8 +33,8 @@ line AS (
     l_returnflag AS return_flag, l_linestatus AS line_status,
     unnest(CASE WHEN l_tax = 0.02 AND l_discount = 0.05 THEN [0, 1] ELSE [0] END) AS copy,
     l_orderkey, l_linenumber, l_partkey, l_suppkey
-  FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey
-  JOIN region ON n_regionkey = r_regionkey)"""
+  FROM (SELECT *, CASE WHEN l_quantity <= 10 THEN 'AFRICA' WHEN l_quantity <= 20 THEN 'AMERICA'
+    WHEN l_quantity <= 30 THEN 'ASIA' WHEN l_quantity <= 40 THEN 'EUROPE' ELSE 'MIDDLE EAST' END AS r_name FROM lineitem))"""
 
 REFUND = f"""
 refund AS (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyproof.config import BLOCK_ANSWER, EXCLUDE_REFUNDS, LATEST, TRANSACTION_DATE, Policy, Request
 from tallyproof.functions import dates, periods
 from tallyproof.functions.money import MONEY, amount_or_null, amount_or_zero, amount_problem, rows_where, total
-from tallyproof.functions.text import cell, is_number
+from tallyproof.functions.text import cell, is_number, strip
 from tallyproof.operators import (
     clean,
     cube,
@@ -205,7 +205,7 @@ def rate_date_parse(spark, sf):
 def amount_parse(spark, sf):
     """Both readings of every amount cell."""
     ledger = L.line_ledger(spark, sf)
-    amount = cell("amount")
+    amount = strip(cell("amount"))
     return ledger.groupBy(amount_problem(amount).alias("problem")).agg(
         F.count("*").alias("n"),
         F.sum(amount_or_zero(amount)).cast(MONEY).alias("as_written"),
