@@ -94,17 +94,13 @@ def open_items(
 
 def suggestions(items: DataFrame, rates: DataFrame, target: str) -> DataFrame:
     """(currency, position, suggestion): the alias first, then every code with a rate, then the target."""
-    known = rates.groupBy().agg(F.sort_array(F.collect_set("cur")).alias("known"))
+    known = rates.agg(F.sort_array(F.collect_set("cur")).alias("known")).scalar()
     asked = items.filter("currency is not null").select("currency").distinct()
-    options = F.array_distinct(
-        F.array_compact(F.concat(F.array(alias_of(F.col("currency"))), F.col("known"), F.array(F.lit(target))))
-    )
-    return (
-        asked.withColumn("one", F.lit(1))
-        .join(known.withColumn("one", F.lit(1)), "one")
-        .select("currency", F.posexplode(F.array_remove(options, F.col("currency"))).alias("at", "suggestion"))
-        .select("currency", (F.col("at") + 1).cast("bigint").alias("position"), "suggestion")
-    )
+    code = F.col("currency")
+    options = F.array_compact(F.concat(F.array(alias_of(code)), known, F.array(F.lit(target))))
+    return asked.select(
+        "currency", F.posexplode(F.array_remove(F.array_distinct(options), code)).alias("at", "suggestion")
+    ).select("currency", (F.col("at") + 1).cast("bigint").alias("position"), "suggestion")
 
 
 def check_code_map(entries: DataFrame, found: str, means: str) -> DataFrame:

@@ -145,10 +145,7 @@ def _order_summary(spark, sf) -> DataFrame:
 
 
 def _order_summary_by_quarter(spark, sf) -> DataFrame:
-    summary = _order_summary(spark, sf)
-    merged = tables.scan_summary(summary, L.LINES, 1, ANY_YEAR)
-    for quarter in (2, 3, 4):
-        merged = merged.unionByName(tables.scan_summary(summary, L.LINES, quarter, ANY_YEAR))
+    merged = tables.scan_summary(_order_summary(spark, sf), L.LINES, (1, 2, 3, 4), ANY_YEAR)
     return merged.select("year", "quarter", F.col("reported").cast(MONEY).alias("reported"))
 
 
@@ -808,7 +805,7 @@ def _reported(quarters: DataFrame) -> DataFrame:
 
 
 def _reconciled(quarters: DataFrame, reported: DataFrame) -> DataFrame:
-    summary = tables.scan_summary(reported, L.LINES, 4, ANY_YEAR)
+    summary = tables.scan_summary(reported, L.LINES, years=ANY_YEAR)
     return reconcile.reconcile(reconcile.reported_for(quarters, summary))
 
 
@@ -816,7 +813,7 @@ def _reconciled(quarters: DataFrame, reported: DataFrame) -> DataFrame:
 def summary_join(spark, sf):
     """Reported figures next to verified ones, order headers as the summary."""
     verified = _quarters(spark, sf).filter("quarter = 4").select("year", "quarter", "result")
-    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, 4, ANY_YEAR)
+    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, years=ANY_YEAR)
     return reconcile.reported_for(verified, summary).select(
         "year", "result", F.col("reported").cast(MONEY).alias("reported")
     )

@@ -58,20 +58,25 @@ def scan_refunds(refunds: DataFrame, mapping: Mapping) -> DataFrame:
     )
 
 
-def scan_summary(summary: DataFrame, mapping: Mapping, quarter: int = 4, years: str = "20[0-9]{2}") -> DataFrame:
-    """(quarter, year, reported): the last row whose label names the quarter; year is NULL for labels without one."""
+def scan_summary(
+    summary: DataFrame, mapping: Mapping, quarters: Sequence[int] = (4,), years: str = "20[0-9]{2}"
+) -> DataFrame:
+    """(quarter, year, reported, ord): the last row whose label names the quarter; year is NULL if it names none."""
     cols = mapping.summary
     label = cell(cols.period)
-    named = F.regexp_extract_all(label, F.lit(f"(?<![0-9])({years})(?![0-9])"), F.lit(1))
+    named_quarters = F.array_distinct(F.regexp_extract_all(label, F.lit("Q([1-4])"), F.lit(1)))
+    named_years = F.array_distinct(F.regexp_extract_all(label, F.lit(f"(?<![0-9])({years})(?![0-9])"), F.lit(1)))
+    lines = summary.select(
+        F.explode(named_quarters).alias("quarter"),
+        named_years.alias("years"),
+        strip(cell(cols.amount)).try_cast(AMOUNT).alias("reported"),
+        row_order(cols.order).alias("ord"),
+    )
     return (
-        summary.filter(label.contains(f"Q{quarter}"))
-        .select(
-            F.explode_outer(F.array_distinct(named)).alias("year"),
-            strip(cell(cols.amount)).try_cast(AMOUNT).alias("reported"),
-            row_order(cols.order).alias("ord"),
-        )
-        .groupBy(F.lit(quarter).cast("bigint").alias("quarter"), F.col("year").cast("bigint").alias("year"))
+        lines.withColumn("year", F.explode_outer("years"))
+        .groupBy(F.col("quarter").cast("bigint").alias("quarter"), F.col("year").cast("bigint").alias("year"))
         .agg(F.max_by("reported", "ord").alias("reported"), F.max("ord").alias("ord"))
+        .filter(F.col("quarter").isin(*quarters))
     )
 
 
