@@ -47,7 +47,7 @@ def main() -> None:
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # stages whose generated code is too long for the JIT run operator by operator instead
+        # stages with very long generated methods run operator by operator; mixed effect, see the README
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
