@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 
 def pick(offsets: np.ndarray, flat: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,3 +52,56 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         if i == len(at) - 1 or at[i + 1] - at[first] > limit:
             yield batch.slice(first, i - first)
             first = i
+
+
+def pack_ints(values: np.ndarray, level: int = 3) -> bytes:
+    """Unsigned 32-bit integers as four byte planes, compressed; small values pack well."""
+    return zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_ints(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def frames(*parts: bytes) -> bytes:
+    """Several byte strings in one, each behind its length."""
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+
+
+def unframe(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """Spreads every bit of 64-bit values over all bits (the finaliser of splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(n: int) -> np.ndarray:
+    """Powers of an odd constant modulo 2**64."""
+    out = np.full(max(n, 1), _ODD, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def hash_rows(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of a ragged byte table; equal rows hash alike wherever they stand."""
+    lengths = np.diff(offsets)
+    if not len(lengths):
+        return np.zeros(0, dtype=np.uint64)
+    place = np.arange(len(flat), dtype=np.int64) - np.repeat(offsets[:-1], lengths)
+    terms = mix64(flat.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max(initial=0)))[place]
+    sums = np.zeros(len(flat) + 1, dtype=np.uint64)  # sums wrap around, and so do their differences
+    np.cumsum(terms, out=sums[1:])
+    return mix64(sums[offsets[1:]] - sums[offsets[:-1]] + lengths.astype(np.uint64) * _ODD)

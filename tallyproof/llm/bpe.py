@@ -3,9 +3,9 @@
 A word is a piece of text that begins with the space before it; the pattern that splits text never matches across
 the start of one, so a text's tokens are the tokens of its words. Tasks cut blocks of documents into words,
 keep each document as the sequence of its words' numbers within the block, and send every distinct word of the block
-to the task that owns it. There each distinct word is encoded once, however many blocks hold it; its ids go back to
-the blocks, where documents are put together by position. A word meets at most one row per block in its task, so common
-words are aggregated before the shuffle and no word grows with its occurrences.
+the task that owns it. There each distinct word is encoded once, however many blocks hold it; its ids go back to
+the blocks, where documents are put together by position. A block sends a word once, so common words are aggregated
+before the shuffle.
 
 Texts: null counts as empty, empty texts have no ids. Repeated rows and repeated doc_ids are encoded row by row. Only
 the two named columns are read; other columns may have any name. The input should come from files (or a staged table),
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.arrays import binary, offsets_of, pick, pieces, raw
+from tallyproof.llm.arrays import binary, frames, hash_rows, offsets_of, pack_ints, pick, pieces, raw, unframe, unpack_ints
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Words are dealt over so many owners by hash; an owner keeps its distinct words in memory, so raise this with the vocabulary.
+OWNERS = 256
 
 # The white space of the splitting pattern (Unicode White_Space), written out because Python's \s has more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -87,11 +90,15 @@ def _words(texts: pa.Array, split) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words + list(extra), numbers, lengths
 
 
-_BLOCKS = "owner bigint, block string, word string, n int, n_words int, payload binary"
+_ROWS = "owner int, block string, n_words int, payload binary"
+_FIELDS = ["owner", "block", "n_words", "payload"]
 
 
 def _blocks(pattern: str):
-    """Rows of two kinds: one per distinct word of a block (its place in `owner` is set later), one per block with its documents."""
+    """Rows of two kinds: for each owner the sorted distinct words of a block that it encodes, and one row with the block's documents.
+
+    Words used once in the block are numbered by appearance and stand in the stream as 0; the others by falling use.
+    """
 
     def run(batches):
         split, serial = splitter(pattern), itertools.count()
@@ -101,73 +108,94 @@ def _blocks(pattern: str):
                 block = f"{TaskContext.get().partitionId()}-{next(serial)}"
                 words, numbers, lengths = _words(batch.column("text").cast(pa.string()).fill_null(""), split)
                 uses = np.bincount(numbers, minlength=len(words))
-                order = np.argsort(-uses, kind="stable")  # small numbers for common words: planes pack better
-                order = order[: int((uses > 0).sum())]
+                common = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
                 place = np.zeros(len(words), dtype=np.uint32)
-                place[order] = np.arange(len(order), dtype=np.uint32)
-                planes = place[numbers].view(np.uint8).reshape(-1, 4).T
+                place[common] = np.arange(1, len(common) + 1, dtype=np.uint32)
+                stream = place[numbers]
+                used = np.concatenate([common, numbers[stream == 0]])
+                table = pa.array(words, pa.string()).take(pa.array(used))
+                offsets, flat = raw(table)
+                owner = (hash_rows(offsets, flat) % np.uint64(OWNERS)).astype(np.int32)
+                rank = np.empty(len(used), dtype=np.int64)
+                rank[pc.sort_indices(table).to_numpy()] = np.arange(len(used))
+                order = np.lexsort((rank, owner))
+                counts, flat = pick(offsets, flat, order)
+                ends = offsets_of(counts)
+                at = np.searchsorted(owner[order], np.arange(OWNERS + 1))
+                owners = np.flatnonzero(np.diff(at))
+                rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
+                turn = np.empty(len(used), dtype=np.int64)
+                turn[order] = np.arange(len(used))
                 ids = batch.column("doc_id")
-                head = np.where(ids.is_null().to_numpy(zero_copy_only=False), 1, 0).astype(np.int64)
-                keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                payload = np.concatenate([np.array([len(keys)], dtype=np.int64), head, keys, lengths]).tobytes() + planes.tobytes()
-                k = len(order)
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+                docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
+                rows.append(frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little")))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([0] * (k + 1), pa.int64()),
-                        pa.array([block] * (k + 1), pa.string()),
-                        pa.array([words[i] for i in order] + [None], pa.string()),
-                        pa.array([*range(k), -1], pa.int32()),
-                        pa.array([None] * k + [k], pa.int32()),
-                        pa.array([None] * k + [pack.compress(payload)], pa.binary()),
+                        pa.array([*owners.tolist(), zlib.crc32(block.encode()) % OWNERS], pa.int32()),
+                        pa.array([block] * len(rows), pa.string()),
+                        pa.array([None] * len(owners) + [len(used)], pa.int32()),
+                        pa.array(rows, pa.binary()),
                     ],
-                    ["owner", "block", "word", "n", "n_words", "payload"],
+                    _FIELDS,
                 )
 
     return run
 
 
-_CODED = "block string, n int, n_words int, payload binary, ids array<int>"
-
-
 def _encode_words(table, pattern: str):
-    """Encodes the distinct words of each batch; batches come sorted by word, so a word is encoded once per task."""
+    """Replaces each row's words by their ids. Rows come sorted by owner: every distinct word of an owner is encoded once."""
 
     def run(batches):
         import tiktoken
 
-        split = splitter(pattern)
+        split, unpack = splitter(pattern), zstandard.ZstdDecompressor()
         ranks = {token: i for i, token in enumerate(table.value) if token}
         merges = tiktoken.Encoding("words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
+        owner, known = None, {}
         for batch in batches:
-            words = batch.column("word").dictionary_encode()
-            coded = [[i for token in split.findall(w) for i in merges.encode_ordinary(token)] for w in words.dictionary.to_pylist()]
-            ids = pa.array(coded, pa.list_(pa.int32())).take(words.indices)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("block", "n", "n_words", "payload")] + [ids], ["block", "n", "n_words", "payload", "ids"])
+            out = []
+            for o, n_words, payload in zip(batch.column("owner").to_pylist(), batch.column("n_words").to_pylist(), batch.column("payload")):
+                if o != owner:
+                    owner, known = o, {}
+                if n_words is not None:
+                    out.append(payload.as_py())
+                    continue
+                counts, flat = unframe(unpack.decompress(payload.as_py()))
+                ends = offsets_of(np.frombuffer(counts, "<u4")).tolist()
+                words = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                for word in words:
+                    if word not in known:
+                        known[word] = [i for token in split.findall(word.decode()) for i in merges.encode_ordinary(token)]
+                coded = [known[word] for word in words]
+                ids = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32)
+                out.append(frames(pack_ints(np.array([len(c) for c in coded])), pack_ints(ids)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], _FIELDS)
 
     return run
 
 
 def _assemble(group: pa.Table) -> pa.Table:
     """Documents of one block: word numbers are replaced by the words' ids."""
-    group = group.combine_chunks()
-    numbers = group.column("n").to_numpy()
-    whole = int(np.flatnonzero(numbers == -1)[0])
-    if len(numbers) - 1 != group.column("n_words")[whole].as_py():
+    owners, n_words = group.column("owner").to_numpy(), group.column("n_words").to_pylist()
+    whole = next(i for i, n in enumerate(n_words) if n is not None)
+    order = [i for i in np.argsort(owners, kind="stable") if i != whole]
+    parts = [[unpack_ints(x) for x in unframe(group.column("payload")[i].as_py())] for i in order]
+    empty = [np.zeros(0, np.uint32)]
+    lengths, flat = (np.concatenate([p[k] for p in parts] or empty) for k in (0, 1))
+    if len(lengths) != n_words[whole]:
         raise RuntimeError("a block lost words: its input rows were not in a stable order; stage the input first")
-    order = np.argsort(numbers, kind="stable")[1:]
-    lists = group.column("ids").combine_chunks().take(pa.array(order))
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
-    data = zstandard.ZstdDecompressor().decompress(group.column("payload")[whole].as_py())
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    null, keys, words = np.frombuffer(data, np.int64, 3 * n, 8).reshape(3, n)
-    stream = np.ascontiguousarray(np.frombuffer(data, np.uint8, offset=8 + 24 * n).reshape(4, -1).T).view(np.uint32).ravel()
-    per_word, ids = pick(offsets_of(lengths), flat, stream.astype(np.int64))
-    ends = offsets_of(per_word)[offsets_of(words)]
+    docs, stream, turn, common = unframe(group.column("payload")[whole].as_py())
+    null, keys, words = unframe(zstandard.ZstdDecompressor().decompress(docs))
+    stream, turn, common = unpack_ints(stream).astype(np.int64), unpack_ints(turn), int.from_bytes(common, "little")
+    once = stream == 0
+    stream[once] = np.arange(common + 1, common + 1 + int(once.sum()))
+    per_word, ids = pick(offsets_of(lengths), flat, turn[stream - 1])
+    ends = offsets_of(per_word)[offsets_of(np.frombuffer(words, "<u4"))]
     return pa.table(
         {
-            "doc_id": pa.array(keys, mask=null.astype(bool)),
+            "doc_id": pa.array(np.frombuffer(keys, "<i8"), mask=np.frombuffer(null, bool)),
             "n_tokens": pa.array(np.diff(ends), pa.int64()),
             "ids": binary(ends * 4, ids),
         }
@@ -182,9 +210,9 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern), _BLOCKS)
-    owned = blocks.repartition(F.xxhash64(F.coalesce("word", "block"))).sortWithinPartitions("word")
-    coded = owned.mapInArrow(_encode_words(table, pattern), _CODED)
+    blocks = rows.mapInArrow(_blocks(pattern), _ROWS)
+    owned = blocks.repartition("owner").sortWithinPartitions("owner")
+    coded = owned.mapInArrow(_encode_words(table, pattern), _ROWS)
     return coded.groupBy("block").applyInArrow(_assemble, ENCODED)
 
 

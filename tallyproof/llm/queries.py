@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, licenses, planes, quality
+from tallyproof.llm import bpe, licenses, mixing, planes, quality
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +51,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of the quality rules on every text, cutoffs chosen on the labelled documents."""
     judged = quality.judge(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@query
+def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's raked weight and whether it is drawn."""
+    mixed = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), mixing.TARGETS, mixing.POWERS)
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
