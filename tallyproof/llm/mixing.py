@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.llm.staging import staged
 
-SWEEPS = 8
+SWEEPS = 4
 MAX_ROUNDS = 8
 TOLERANCE = 1e-6
 
