@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +44,24 @@ def binary(offsets: np.ndarray, flat: np.ndarray) -> pa.Array:
     return pa.array([data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])], pa.binary())
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch whose `column` holds about `limit` bytes; a longer row is a slice of its own."""
-    at, _ = raw(batch.column(column))
-    first = 0
-    for i in range(1, len(at)):
-        if i == len(at) - 1 or at[i + 1] - at[first] > limit:
-            yield batch.slice(first, i - first)
-            first = i
+def pieces(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of some batches, in order, in batches whose `column` holds about `limit` bytes; a longer row is one by itself."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        at, _ = raw(batch.column(column))
+        first = 0
+        for i in range(len(batch)):
+            if size + at[i + 1] - at[first] > limit and (held or i > first):
+                if i > first:
+                    held.append(batch.slice(first, i - first))
+                yield pa.concat_batches(held)
+                held, size, first = [], 0, i
+        if first < len(batch):
+            held.append(batch.slice(first))
+            size += int(at[-1] - at[first])
+    if held:
+        yield pa.concat_batches(held)
 
 
 def pack_ints(values: np.ndarray, level: int = 3) -> bytes:

@@ -27,8 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.arrays import binary, frames, hash_rows, offsets_of, pack_ints, pick, pieces, raw, unframe, unpack_ints
+from tallyproof.llm.staging import small_batches
 
 BLOCK_BYTES = 8 << 20
+DECODE_BYTES = 2 << 20
 #: Words are dealt over so many owners by hash; an owner keeps its distinct words in memory, so raise this with the vocabulary.
 OWNERS = 256
 
@@ -103,43 +105,42 @@ def _blocks(pattern: str):
     def run(batches):
         split, serial = splitter(pattern), itertools.count()
         pack = zstandard.ZstdCompressor(level=3)
-        for whole in batches:
-            for batch in pieces(whole, "text", BLOCK_BYTES):
-                block = f"{TaskContext.get().partitionId()}-{next(serial)}"
-                words, numbers, lengths = _words(batch.column("text").cast(pa.string()).fill_null(""), split)
-                uses = np.bincount(numbers, minlength=len(words))
-                common = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
-                place = np.zeros(len(words), dtype=np.uint32)
-                place[common] = np.arange(1, len(common) + 1, dtype=np.uint32)
-                stream = place[numbers]
-                used = np.concatenate([common, numbers[stream == 0]])
-                table = pa.array(words, pa.string()).take(pa.array(used))
-                offsets, flat = raw(table)
-                owner = (hash_rows(offsets, flat) % np.uint64(OWNERS)).astype(np.int32)
-                rank = np.empty(len(used), dtype=np.int64)
-                rank[pc.sort_indices(table).to_numpy()] = np.arange(len(used))
-                order = np.lexsort((rank, owner))
-                counts, flat = pick(offsets, flat, order)
-                ends = offsets_of(counts)
-                at = np.searchsorted(owner[order], np.arange(OWNERS + 1))
-                owners = np.flatnonzero(np.diff(at))
-                rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
-                turn = np.empty(len(used), dtype=np.int64)
-                turn[order] = np.arange(len(used))
-                ids = batch.column("doc_id")
-                null = ids.is_null().to_numpy(zero_copy_only=False)
-                keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-                docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
-                rows.append(frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little")))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*owners.tolist(), zlib.crc32(block.encode()) % OWNERS], pa.int32()),
-                        pa.array([block] * len(rows), pa.string()),
-                        pa.array([None] * len(owners) + [len(used)], pa.int32()),
-                        pa.array(rows, pa.binary()),
-                    ],
-                    _FIELDS,
-                )
+        for batch in pieces(batches, "text", BLOCK_BYTES):
+            block = f"{TaskContext.get().partitionId()}-{next(serial)}"
+            words, numbers, lengths = _words(batch.column("text").cast(pa.string()).fill_null(""), split)
+            uses = np.bincount(numbers, minlength=len(words))
+            common = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
+            place = np.zeros(len(words), dtype=np.uint32)
+            place[common] = np.arange(1, len(common) + 1, dtype=np.uint32)
+            stream = place[numbers]
+            used = np.concatenate([common, numbers[stream == 0]])
+            table = pa.array(words, pa.string()).take(pa.array(used))
+            offsets, flat = raw(table)
+            owner = (hash_rows(offsets, flat) % np.uint64(OWNERS)).astype(np.int32)
+            rank = np.empty(len(used), dtype=np.int64)
+            rank[pc.sort_indices(table).to_numpy()] = np.arange(len(used))
+            order = np.lexsort((rank, owner))
+            counts, flat = pick(offsets, flat, order)
+            ends = offsets_of(counts)
+            at = np.searchsorted(owner[order], np.arange(OWNERS + 1))
+            owners = np.flatnonzero(np.diff(at))
+            rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
+            turn = np.empty(len(used), dtype=np.int64)
+            turn[order] = np.arange(len(used))
+            ids = batch.column("doc_id")
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+            docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
+            rows.append(frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little")))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*owners.tolist(), zlib.crc32(block.encode()) % OWNERS], pa.int32()),
+                    pa.array([block] * len(rows), pa.string()),
+                    pa.array([None] * len(owners) + [len(used)], pa.int32()),
+                    pa.array(rows, pa.binary()),
+                ],
+                _FIELDS,
+            )
 
     return run
 
@@ -208,6 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     ranks_path is read on the driver and broadcast; a vocabulary is of fixed size, whatever the corpus.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     blocks = rows.mapInArrow(_blocks(pattern), _ROWS)
@@ -232,13 +234,13 @@ class Vocabulary:
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds `data`, the bytes the ids stand for: a map-side join with the token-byte table (one row per id of the vocabulary)."""
+    small_batches(encoded.sparkSession)
     table = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
         vocabulary = Vocabulary(table.value)
-        for whole in batches:
-            for batch in pieces(whole, "ids", BLOCK_BYTES):
-                yield pa.RecordBatch.from_arrays([*batch.columns, binary(*vocabulary.decode(batch.column("ids")))], [*batch.schema.names, "data"])
+        for batch in pieces(batches, "ids", DECODE_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.columns, binary(*vocabulary.decode(batch.column("ids")))], [*batch.schema.names, "data"])
 
     columns = [F.col(c) for c in encoded.columns if c != "data"]
     schema = ", ".join(f"`{c}` {t}" for c, t in encoded.dtypes if c != "data")
@@ -246,23 +248,24 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes)."""
+    """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by a space), decoded_sha256 (of the decoded bytes).
+
+    Decodes as `decode` does, but without handing ids and bytes back to the JVM in between.
+    """
+    small_batches(encoded.sparkSession)
+    table = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        import hashlib
-
-        numbers = None
-        for whole in batches:
-            for batch in pieces(whole, "ids", BLOCK_BYTES // 4):
-                at, data = raw(batch.column("ids"))
-                ids = np.ascontiguousarray(data).view(np.uint32).astype(np.int64)
-                if numbers is None or len(ids) and ids.max() >= len(numbers[0]) - 1:
-                    text = [b"%d " % i for i in range(max(65536, int(ids.max(initial=0)) + 1))]
-                    numbers = offsets_of([len(t) for t in text]), np.frombuffer(b"".join(text), dtype=np.uint8)
-                lengths, flat = pick(*numbers, ids)
-                ends, flat = offsets_of(lengths)[at // 4], flat.tobytes()
-                sums = [hashlib.sha256(flat[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums), batch.column("decoded_sha256")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    decoded = decode(encoded, ranks_path).select("doc_id", "n_tokens", "ids", F.sha2("data", 256).alias("decoded_sha256"))
-    return decoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+        from hashlib import sha256
+
+        vocabulary = Vocabulary(table.value)
+        decimals = Vocabulary([b"%d " % i for i in range(len(table.value))])
+        for batch in pieces(batches, "ids", DECODE_BYTES):
+            sums = []
+            for words, cut in ((decimals, 1), (vocabulary, 0)):
+                ends, flat = words.decode(batch.column("ids"))
+                view = memoryview(flat)
+                sums.append(pa.array([sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -22,23 +22,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm.arrays import binary, offsets_of, pick, pieces, raw
+from tallyproof.llm.arrays import binary, offsets_of, pick, pieces
+from tallyproof.llm.staging import small_batches
 
 BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 16
 SHARD_ROWS = 4096
 MAX_SHARDS = 10_000
 TASK_BYTES = 8 << 20
-CACHED_WORDS = 400_000
+CACHED_PIECES = 500_000
 
 _SPACES = r" \t\n\r\x0b\x0c"
 
 
 class WordEncoder:
-    """Encodes blocks of texts by a tokenizer that drops white space, each distinct piece of a word only once.
+    """Encodes blocks of texts by a BPE tokenizer that lower-cases and drops white space, each distinct piece only once.
 
     The tokenizer splits at the borders used here, and its normalisation never reaches over them: letters with their marks,
-    runs of other signs, and, where a digit, an apostrophe or a mark comes first, the rest of the word.
+    runs of other signs, and, where a digit, an apostrophe or a mark comes first, the rest of the word. Pieces of ASCII
+    letters need no normalisation and go straight to the merges; all others go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -49,47 +51,54 @@ class WordEncoder:
         self.special = [t["content"] for t in json.loads(tokenizer_json).get("added_tokens") or []]
         self.cut = regex.compile(rf"[\p{{L}}\p{{M}}]+|[^\p{{L}}\p{{M}}\p{{N}}{_SPACES}']++(?=[{_SPACES}]|\Z|[\p{{L}}\p{{N}}])|[^{_SPACES}]+")
         self.whole = regex.compile(rf"[^{_SPACES}]+")
-        self.cache: dict[str, np.ndarray] = {}
-
-    def parts(self, word: str) -> list[str]:
-        return (self.whole if any(s in word for s in self.special) else self.cut).findall(word)
-
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        split = [self.parts(w) for w in words]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        missing = list({p for parts in split for p in parts if p not in self.cache})
-        for part, coded in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.cache[part] = np.array(coded.ids, dtype=np.uint32)
-        empty = np.zeros(0, dtype=np.uint32)
-        return [self.cache[parts[0]] if len(parts) == 1 else np.concatenate([self.cache[p] for p in parts]) if parts else empty for parts in split]
+        self.cache: dict[str, bytes] = {}
+
+    def piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            piece = piece.lower()
+        coded = self.cache.get(piece)
+        if coded is None:
+            if len(self.cache) >= CACHED_PIECES:
+                self.cache.clear()
+            if piece.isascii() and piece.isalpha():
+                ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            else:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+            coded = self.cache[piece] = np.array(ids, dtype="<u4").tobytes()
+        return coded
+
+    def word(self, word: str) -> bytes:
+        if word.isascii() and word.isalpha():
+            return self.piece(word)
+        parts = (self.whole if any(s in word for s in self.special) else self.cut).findall(word)
+        return b"".join([self.piece(p) for p in parts])
 
     def texts(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and ids of the texts, each closed by the end id."""
+        # blanks put at borders the tokenizer has anyway: fewer distinct words
+        texts = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r"(\p{L})([.,]) ", r"\1 \2 ")
         lists = pc.split_pattern(texts, " ")
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         values = lists.flatten().dictionary_encode()
-        coded = [*self.words(values.dictionary.to_pylist()), np.array([end], dtype=np.uint32)]
+        coded = [self.word(w) for w in values.dictionary.to_pylist()]
+        coded.append(np.array([end], dtype="<u4").tobytes())
         stream = np.insert(values.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(coded) - 1)
-        lengths, ids = pick(offsets_of([len(c) for c in coded]), np.concatenate(coded), stream)
+        lengths, ids = pick(offsets_of([len(c) // 4 for c in coded]), np.frombuffer(b"".join(coded), dtype="<u4"), stream)
         return offsets_of(lengths)[offsets_of(counts + 1)], ids
 
 
 def encode_words(docs: DataFrame, tokenizer_path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, packed: the ids of each text and the end id, packed as zstandard over 32-bit integers."""
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: of fixed size
 
     def run(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, pack = WordEncoder(tokenizer.value), zstandard.ZstdCompressor(level=1)
-        for whole in batches:
-            for batch in pieces(whole, "text", TASK_BYTES):
-                at, ids = encoder.texts(batch.column("text").cast(pa.string()).fill_null(""), end)
-                packed = [pack.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "packed"])
+        for batch in pieces(batches, "text", TASK_BYTES):
+            at, ids = encoder.texts(batch.column("text").cast(pa.string()).fill_null(""), end)
+            packed = [pack.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "packed"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint, packed binary")

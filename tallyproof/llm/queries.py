@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, licenses, mixing, planes, quality
+from tallyproof.llm import bpe, classifier, licenses, mixing, planes, quality
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,9 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's raked weight and whether it is drawn."""
     mixed = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), mixing.TARGETS, mixing.POWERS)
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every text, learnt from positives and unlabelled text."""
+    return classifier.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

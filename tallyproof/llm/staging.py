@@ -17,6 +17,16 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+ROWS_PER_BATCH = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python workers a few hundred at a time, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, ROWS_PER_BATCH)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once and read it back: cuts the lineage and survives the loss of executors."""
     path = folder(df.sparkSession, name)
