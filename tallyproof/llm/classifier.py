@@ -4,7 +4,7 @@ A linear model is fitted by non-negative positive-unlabelled risk minimisation:
 negatives is the unlabelled risk less p times the positives' risk as negatives, and is never let below zero. The class
 prior is estimated first: a classifier of positives against unlabelled text is fitted on one half of the sample, and
 on the other half the share of unlabelled text above a threshold is compared with that of the positives; the
-smallest such ratio, with a margin for chance, bounds the prior from above and reaches it where only positives are found.
+smallest such ratio is the estimate.
 
 The model is fitted in one task on a bounded sample (MAX_POSITIVE and MAX_UNLABELLED rows, those with the smallest hash
 of their doc_id); scores cover every document and whole texts. A text's features are the frequencies of triples of
@@ -108,19 +108,24 @@ def _descend(gradient, width: int, steps: int = STEPS, rate: float = 0.05) -> np
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """Upper bound, tight where scores separate, of the share of positives in the unlabelled rows."""
-    half = lambda x, k: x[k::2]
-    p, u = half(positive, 0), half(unlabelled, 0)
-
-    def gradient(w):
-        return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 1e-3 * w
-
-    w = _descend(gradient, positive.shape[1])
-    scores = np.sort(half(positive, 1) @ w), np.sort(half(unlabelled, 1) @ w)
-    cuts = np.quantile(scores[0], np.linspace(0.05, 0.95, 91))
-    above = [1 - np.searchsorted(s, cuts) / len(s) for s in scores]
-    margin = sum(np.sqrt(np.log(20) / (2 * len(s))) for s in scores) / 2
-    return float(np.clip(np.min((above[1] + margin * above[0]) / np.maximum(above[0], 1e-9)), 0.01, 0.99))
+    """The share of positives in the unlabelled rows, from scores of rows the scoring model was not fitted on.
+
+    Above any threshold the unlabelled rows hold at least the positives' part, so the smallest ratio of the two shares
+    estimates the prior. Thresholds leave at least half of the positives above, and the two halves' curves are averaged.
+    """
+    curves = []
+    for mine, other in ((0, 1), (1, 0)):
+        p, u = positive[mine::2], unlabelled[mine::2]
+
+        def gradient(w, p=p, u=u):
+            return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + 1e-3 * w
+
+        w = _descend(gradient, positive.shape[1])
+        scored, rest = np.sort(positive[other::2] @ w), np.sort(unlabelled[other::2] @ w)
+        cuts = np.quantile(scored, np.linspace(0.0, 0.5, 51))
+        above = [1 - np.searchsorted(s, cuts) / len(s) for s in (scored, rest)]
+        curves.append(above[1] / np.maximum(above[0], 1e-9))
+    return float(np.clip(np.mean(curves, axis=0).min(), 0.01, 0.99))
 
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, decay: float = 1e-4) -> np.ndarray:
