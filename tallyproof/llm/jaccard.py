@@ -6,10 +6,11 @@ fragments; each task counts the overlap of its candidate pairs within one fragme
 summed per pair and compared with the exact bound in whole numbers.
 
 To stay linear on groups of copies, the join runs in rounds. Equal sets are one representative. In the first round
-representatives that share one of their smallest shingles are chained in order of size, and the verified chains are
-components. The second round is the complete prefix join, but leaves out pairs that are connected already, and pairs
-the first round compared. What is left, every pair of different components that share a prefix shingle, is
-verified, so the components are exact.
+representatives that share small shingles are compared with one of them, the one whose shingles are shared most widely
+(the text that the others were made from, if there is one), and what is found similar is connected. The second round
+is the complete prefix join, but leaves out pairs that are connected already, and pairs the first round compared. A pair
+must share a shingle so early in both sets that the overlap it needs can still follow. What is left is verified,
+so the components are exact.
 
 The order puts shingles that a sample of the documents suggests to be frequent last, so that passages of many documents
 do not fill the prefixes. Any order gives the same result; the marks of frequent shingles are a bitmap of fixed size.
@@ -26,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from tallyproof.llm.arrays import binary, hash_rows, mix64, offsets_of
+from tallyproof.llm.arrays import hash_rows, mix64, offsets_of, pick
 from tallyproof.llm.blocks import block_of, open_block, write_blocks
 from tallyproof.llm.graph import components
 from tallyproof.llm.staging import staged
@@ -36,7 +36,6 @@ from tallyproof.llm.staging import staged
 WORDS = 5
 PERCENT = 75
 SKETCH = 12
-CHAINED = 6
 #: Shingles of a candidate component that one task compares; a larger component is cut into fragments of about this size.
 FRAGMENT = 2_000_000
 SAMPLED = 16
@@ -65,7 +64,7 @@ def shingle_sets(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     size = np.bincount(owner, minlength=n)
     sums = np.zeros(max(len(words) - WORDS + 1, 0), dtype=np.uint64)
     for k in range(WORDS):
-        sums += words[k : len(words) - WORDS + 1 + k] * _TURNS[k]
+        sums += words[k : k + len(sums)] * _TURNS[k]
     whole = owner[: len(sums)] == owner[WORDS - 1 :] if len(sums) else np.zeros(0, bool)
     hashes, holder = mix64(sums[whole]), owner[: len(sums)][whole]
     short = np.flatnonzero((size > 0) & (size < WORDS))
@@ -80,13 +79,20 @@ def shingle_sets(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return offsets_of(np.bincount(holder[new], minlength=n)), hashes[new]
 
 
-def _each(batches):
-    """Block by block: row ids, null flags, doc_ids, set offsets, set hashes, and the other columns' values."""
+def _each(batches, choose=None):
+    """Block by block: row ids, null flags, doc_ids, set offsets, set hashes, and the value of a third column, if there is one.
+
+    choose: from the row ids and the third column's value, the places of the documents to look at.
+    """
     for batch in batches:
-        rest = [c for c in batch.schema.names if c not in ("block", "body")]
         for i in range(len(batch)):
-            rows, null, keys, ends, data = open_block(batch.column("block")[i].as_py(), batch.column("body")[i].as_py())
-            yield rows, null, keys, *shingle_sets(ends, data), [batch.column(c)[i].as_py() for c in rest]
+            rows, null, keys, ends, data = open_block(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+            given = batch.column(2)[i].as_py() if batch.num_columns > 2 else None
+            if choose is not None:
+                few = choose(rows, given)
+                lengths, data = pick(ends, data, few)
+                rows, null, keys, ends = rows[few], null[few], keys[few], offsets_of(lengths)
+            yield rows, null, keys, *shingle_sets(ends, data), given
 
 
 def _describe(batches):
@@ -107,12 +113,9 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
 
 
 def _frequent(batches):
-    """Shingles of a sample of the documents, chosen by their content."""
-    for rows, _, _, ends, hashes, _ in _each(batches):
-        filled = np.flatnonzero(np.diff(ends))
-        chosen = filled[mix64(hashes[ends[:-1][filled]]) % np.uint64(SAMPLED) == 0]
-        if len(chosen):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([hashes[ends[d] : ends[d + 1]] for d in chosen]).view(np.int64))], ["shingle"])
+    """Shingles of a sample of the documents."""
+    for _, _, _, _, hashes, _ in _each(batches, lambda rows, _: np.flatnonzero(mix64(rows.astype(np.uint64)) % np.uint64(SAMPLED) == 0)):
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64))], ["shingle"])
 
 
 def _repeated(batches):
@@ -159,7 +162,7 @@ def _prefixes(shared):
             order = np.lexsort((hashes, late, doc))
             rank = np.arange(len(hashes)) - ends[:-1][doc]
             chosen = rank < prefix_length(n)[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][chosen].view(np.int64)), pa.array(rows[doc[chosen]])], ["shingle", "row"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[order][chosen].view(np.int64)), pa.array(rows[doc[chosen]]), pa.array(rank[chosen].astype(np.int32))], ["shingle", "row", "place"])
 
     return run
 
@@ -169,11 +172,10 @@ _SIX = np.uint64(16)  # bits dropped from a hash where sets are compared
 
 def _segments(batches):
     """Sets of the wanted documents, cut into the fragments of their candidate component."""
-    for rows, _, _, ends, hashes, (wanted,) in _each(batches):
+    for rows, _, _, ends, hashes, wanted in _each(batches, lambda rows, wanted: np.array(sorted(w["row"] for w in wanted), dtype=np.int64) - rows[0]):
         short = hashes >> _SIX
         out: list[tuple] = []
-        for w in wanted:
-            i = int(w["row"] - rows[0])
+        for i, w in enumerate(sorted(wanted, key=lambda w: w["row"])):
             own = short[ends[i] : ends[i + 1]]
             cuts = np.searchsorted(own, np.array([-(-(k << 48) // w["parts"]) for k in range(w["parts"] + 1)], dtype=np.uint64))
             for k in range(w["parts"]):
@@ -224,6 +226,10 @@ def verify(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.join(counted, ["a", "b"]).filter(_similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
+def _sizes_fit(one: str, two: str) -> Column:
+    return 100 * F.least(one, two) >= PERCENT * F.greatest(one, two)
+
+
 def _ordered(left: str, right: str) -> list[Column]:
     swap = F.col(f"{left}row") > F.col(f"{right}row")
     pick = lambda c, one, two: F.when(swap, F.col(f"{two}{c}")).otherwise(F.col(f"{one}{c}"))
@@ -240,29 +246,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = staged(filled.join(same, ["n", "s1", "s2"]).select("row", "rep", "n", "sketch"), "copies")
     reps = copies.filter("row = rep").select("row", "n", "sketch")
 
-    # first round: chains of representatives of about the same size that share one of their smallest shingles
-    size = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT)))
-    spread = reps.select("row", "n", "sketch", size.alias("size"), F.explode(F.slice("sketch", 1, CHAINED)).alias("shingle"))
-    chain = Window.partitionBy("shingle", "size").orderBy("n", "row")
-    before = F.lag(F.struct("row", "n", "sketch")).over(chain)
-    chained = spread.withColumn("p", before).filter("p is not null")
-    shared = F.size(F.array_intersect("sketch", F.col("p.sketch")))
-    chained = chained.filter(2 * shared >= F.least(F.size("sketch"), F.size(F.col("p.sketch"))))
-    chained = chained.select(F.col("row").alias("l_row"), F.col("n").alias("l_n"), F.col("p.row").alias("r_row"), F.col("p.n").alias("r_n"))
-    first = staged(chained.select(*_ordered("l_", "r_")).distinct(), "first-pairs")
+    # first round: stars around the document with the most widely shared small shingles
+    spread = staged(reps.select("row", "n", F.explode("sketch").alias("shingle")), "sketches")
+    common = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    spread = staged(spread.join(common, "shingle"), "shared-sketches")
+    fame = spread.groupBy("row", "n").agg(F.sum("df").alias("fame"), F.count(F.lit(1)).alias("met"))
+    spread = spread.select("row", "shingle").join(fame.filter(2 * F.col("met") >= F.least(F.col("n"), F.lit(SKETCH))), "row")
+    centre = spread.groupBy("shingle").agg(F.max(F.struct("fame", (-F.col("row")).alias("turn"), "n")).alias("top"))
+    stars = spread.join(centre, "shingle").select(F.col("row").alias("l_row"), F.col("n").alias("l_n"), (-F.col("top.turn")).alias("r_row"), F.col("top.n").alias("r_n"))
+    first = staged(stars.filter((F.col("l_row") != F.col("r_row")) & _sizes_fit("l_n", "r_n")).select(*_ordered("l_", "r_")).distinct(), "first-pairs")
     links = staged(verify(first, blocks), "first-links")
     joined = staged(components(links), "first-components")
 
     # second round: all pairs that share a prefix shingle and are not connected yet
     marks = spark.sparkContext.broadcast(_marks(spark, blocks))
-    shingles = blocks.mapInArrow(_prefixes(marks), "shingle bigint, row bigint").repartition("shingle").sortWithinPartitions("shingle")
-    members = shingles.mapInArrow(_repeated, "shingle bigint, row bigint").join(reps.select("row", "n"), "row")
-    members = members.join(joined.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "n", F.coalesce("root", "row").alias("root"))
+    prefix = "shingle bigint, row bigint, place int"
+    shingles = blocks.mapInArrow(_prefixes(marks), prefix).repartition("shingle").sortWithinPartitions("shingle")
+    members = shingles.mapInArrow(_repeated, prefix).join(reps.select("row", "n"), "row")
+    members = members.join(joined.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "n", "place", F.coalesce("root", "row").alias("root"))
     members = staged(members, "prefix-members")
     open_shingles = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     open_members = staged(members.join(open_shingles, "shingle"), "open-members")
-    l, r = (open_members.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "root")]) for s in "lr")
-    near = (F.col("l_row") < F.col("r_row")) & (F.col("l_root") != F.col("r_root")) & (100 * F.least("l_n", "r_n") >= PERCENT * F.greatest("l_n", "r_n"))
+    l, r = (open_members.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "place", "root")]) for s in "lr")
+    # the first shingle two similar sets share leaves enough of either set behind it for the overlap they must have
+    need = F.ceil(F.lit(PERCENT) * (F.col("l_n") + F.col("r_n")) / F.lit(float(100 + PERCENT)) - F.lit(1e-9))
+    early = (F.col("l_place") <= F.col("l_n") - need) & (F.col("r_place") <= F.col("r_n") - need)
+    near = (F.col("l_row") < F.col("r_row")) & (F.col("l_root") != F.col("r_root")) & _sizes_fit("l_n", "r_n") & early
     second = l.join(r, "shingle").filter(near).select(*_ordered("l_", "r_")).distinct()
     second = staged(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
     more = staged(verify(second, blocks), "second-links")
