@@ -15,14 +15,13 @@ as blocks are cut in scan order.
 from __future__ import annotations
 
 import base64
+import hashlib
 import itertools
-import zlib
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,21 +91,29 @@ def _words(texts: pa.Array, split) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words + list(extra), numbers, lengths
 
 
+UNSTABLE = "a block lost its words or documents: the input's rows do not come in a stable order; write the input to files first"
+
 _ROWS = "owner int, block string, n_words int, payload binary"
 _FIELDS = ["owner", "block", "n_words", "payload"]
 
 
-def _blocks(pattern: str):
-    """Rows of two kinds: for each owner the sorted distinct words of a block that it encodes, and one row with the block's documents.
+def _blocks(pattern: str, documents: bool):
+    """For each owner a row with the sorted distinct words of a block that it encodes; or one row with the block's documents.
 
     Words used once in the block are numbered by appearance and stand in the stream as 0; the others by falling use.
+    Both kinds are cut from the texts by themselves: that costs less than shuffling the documents along with the words.
     """
 
     def run(batches):
-        split, serial = splitter(pattern), itertools.count()
+        split = splitter(pattern)
         pack = zstandard.ZstdCompressor(level=3)
         for batch in pieces(batches, "text", BLOCK_BYTES):
-            block = f"{TaskContext.get().partitionId()}-{next(serial)}"
+            ids = batch.column("doc_id")
+            null = ids.is_null().to_numpy(zero_copy_only=False)
+            keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
+            # a block is named by what it holds, so the two kinds only meet if both scans cut the same blocks
+            at, data = raw(batch.column("text"))
+            block = hashlib.blake2b(null.tobytes() + keys.tobytes() + at.tobytes() + data.tobytes(), digest_size=16).hexdigest()
             words, numbers, lengths = _words(batch.column("text").cast(pa.string()).fill_null(""), split)
             uses = np.bincount(numbers, minlength=len(words))
             common = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
@@ -123,24 +130,18 @@ def _blocks(pattern: str):
             counts, flat = pick(offsets, flat, order)
             ends = offsets_of(counts)
             at = np.searchsorted(owner[order], np.arange(OWNERS + 1))
-            owners = np.flatnonzero(np.diff(at))
-            rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
-            turn = np.empty(len(used), dtype=np.int64)
-            turn[order] = np.arange(len(used))
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-            docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
-            rows.append(frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little")))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*owners.tolist(), zlib.crc32(block.encode()) % OWNERS], pa.int32()),
-                    pa.array([block] * len(rows), pa.string()),
-                    pa.array([None] * len(owners) + [len(used)], pa.int32()),
-                    pa.array(rows, pa.binary()),
-                ],
-                _FIELDS,
-            )
+            if documents:
+                turn = np.empty(len(used), dtype=np.int64)
+                turn[order] = np.arange(len(used))
+                docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
+                body = frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little"))
+                owners, sizes, rows = [0], [len(used)], [body]
+            else:
+                owners = np.flatnonzero(np.diff(at)).tolist()
+                rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
+                sizes = [None] * len(rows)
+            columns = [pa.array(owners, pa.int32()), pa.array([block] * len(rows), pa.string()), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, _FIELDS)
 
     return run
 
@@ -157,12 +158,9 @@ def _encode_words(table, pattern: str):
         owner, known = None, {}
         for batch in batches:
             out = []
-            for o, n_words, payload in zip(batch.column("owner").to_pylist(), batch.column("n_words").to_pylist(), batch.column("payload")):
+            for o, payload in zip(batch.column("owner").to_pylist(), batch.column("payload")):
                 if o != owner:
                     owner, known = o, {}
-                if n_words is not None:
-                    out.append(payload.as_py())
-                    continue
                 counts, flat = unframe(unpack.decompress(payload.as_py()))
                 ends = offsets_of(np.frombuffer(counts, "<u4")).tolist()
                 words = [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
@@ -180,13 +178,17 @@ def _encode_words(table, pattern: str):
 def _assemble(group: pa.Table) -> pa.Table:
     """Documents of one block: word numbers are replaced by the words' ids."""
     owners, n_words = group.column("owner").to_numpy(), group.column("n_words").to_pylist()
-    whole = next(i for i, n in enumerate(n_words) if n is not None)
-    order = [i for i in np.argsort(owners, kind="stable") if i != whole]
+    wholes = [i for i, n in enumerate(n_words) if n is not None]
+    if not wholes:
+        raise RuntimeError(UNSTABLE)
+    whole = wholes[0]  # more than one: blocks of the same rows, which are all returned
+    by_owner = {int(owners[i]): i for i, n in enumerate(n_words) if n is None}
+    order = [by_owner[o] for o in sorted(by_owner)]
     parts = [[unpack_ints(x) for x in unframe(group.column("payload")[i].as_py())] for i in order]
     empty = [np.zeros(0, np.uint32)]
     lengths, flat = (np.concatenate([p[k] for p in parts] or empty) for k in (0, 1))
     if len(lengths) != n_words[whole]:
-        raise RuntimeError("a block lost words: its input rows were not in a stable order; stage the input first")
+        raise RuntimeError(UNSTABLE)
     docs, stream, turn, common = unframe(group.column("payload")[whole].as_py())
     null, keys, words = unframe(zstandard.ZstdDecompressor().decompress(docs))
     stream, turn, common = unpack_ints(stream).astype(np.int64), unpack_ints(turn), int.from_bytes(common, "little")
@@ -194,13 +196,14 @@ def _assemble(group: pa.Table) -> pa.Table:
     stream[once] = np.arange(common + 1, common + 1 + int(once.sum()))
     per_word, ids = pick(offsets_of(lengths), flat, turn[stream - 1])
     ends = offsets_of(per_word)[offsets_of(np.frombuffer(words, "<u4"))]
-    return pa.table(
+    docs = pa.table(
         {
             "doc_id": pa.array(np.frombuffer(keys, "<i8"), mask=np.frombuffer(null, bool)),
             "n_tokens": pa.array(np.diff(ends), pa.int64()),
             "ids": binary(ends * 4, ids),
         }
     )
+    return pa.concat_tables([docs] * len(wholes))
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,10 +215,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     small_batches(spark)
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(pattern), _ROWS)
-    owned = blocks.repartition("owner").sortWithinPartitions("owner")
+    owned = rows.mapInArrow(_blocks(pattern, documents=False), _ROWS).repartition("owner").sortWithinPartitions("owner")
     coded = owned.mapInArrow(_encode_words(table, pattern), _ROWS)
-    return coded.groupBy("block").applyInArrow(_assemble, ENCODED)
+    whole = rows.mapInArrow(_blocks(pattern, documents=True), _ROWS)
+    return coded.unionAll(whole).groupBy("block").applyInArrow(_assemble, ENCODED)
 
 
 class Vocabulary:
@@ -256,8 +259,6 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
     table = encoded.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
-        from hashlib import sha256
-
         vocabulary = Vocabulary(table.value)
         decimals = Vocabulary([b"%d " % i for i in range(len(table.value))])
         for batch in pieces(batches, "ids", DECODE_BYTES):
@@ -265,7 +266,7 @@ def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
             for words, cut in ((decimals, 1), (vocabulary, 0)):
                 ends, flat = words.decode(batch.column("ids"))
                 view = memoryview(flat)
-                sums.append(pa.array([sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
+                sums.append(pa.array([hashlib.sha256(view[a : max(a, b - cut)]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.string()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), *sums], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -35,7 +35,7 @@ _HINTS = {"email": lambda b: b.contains("@"), "ip": lambda b: b.rlike(r"[0-9]\.[
 
 WORD = r"\p{L}{4,}"
 CONTEXT_CHARS = 60
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 5
 LIKELY = 0.5
 BITS = 3.0
 BROADCAST_TERMS = 50_000
@@ -46,7 +46,7 @@ def _digits(match: Column) -> Column:
 
 
 def _luhn(digits: Column) -> Column:
-    figures = F.transform(F.split(F.reverse(digits), "(?!^)"), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c >= "5", 9).otherwise(0)))
+    figures = F.transform(F.regexp_extract_all(F.reverse(digits), F.lit("[0-9]"), F.lit(0)), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(2 * c.cast("int") - F.when(c >= "5", 9).otherwise(0)))
     return F.aggregate(figures, F.lit(0), lambda s, x: s + x) % 10 == 0
 
 
@@ -134,7 +134,10 @@ def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
-    """One row per row of docs: row (its place in the scan), doc_id, spans (kind, start, end; code points, end exclusive)."""
+    """One row per row of docs: row (its place in the scan), doc_id, spans (kind, start, end; code points, end exclusive).
+
+    before: the furthest end of a span that starts sooner.
+    """
     rows = numbered(docs, key, text)
     matches = staged(base_matches(rows), "pii-matches")
     terms = disclosing_terms(rows, matches, **bounds)
@@ -142,7 +145,9 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) ->
     if terms is not None:
         found = found.unionByName(_term_spans(rows, staged(terms.select("term").distinct(), "pii-terms")))
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    held = F.collect_list(F.when(F.col("kind") != "", F.struct(order.alias("place"), "start", "end", "kind")))
+    sooner = Window.partitionBy("row").orderBy("start", "end", "place").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("place", order).withColumn("before", F.coalesce(F.max("end").over(sooner), F.lit(0).cast("bigint")))
+    held = F.collect_list(F.when(F.col("kind") != "", F.struct("place", "start", "end", "kind", "before")))
     return found.groupBy("row", "doc_id").agg(F.array_sort(held).alias("spans"))
 
 
@@ -151,36 +156,25 @@ def report(found: DataFrame) -> DataFrame:
     text = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     written = lambda xs: F.array_join(F.transform(xs, text), ",")
     base = F.filter("spans", lambda x: x["kind"] != "term")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in PATTERNS]
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+    counts = [of(k).alias(f"n_{k}") for k in PATTERNS]
     return found.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
-    """docs with every span of its texts replaced by its kind in angle brackets; overlapping spans by one."""
-    found = spans(docs, key, text, **bounds).filter(F.size("spans") > 0).select("row", F.col("spans").alias("_spans"))
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.monotonically_increasing_id().alias("row"))
+    """docs with every span of its texts replaced by its kind in angle brackets; spans that overlap by the first one's."""
+    found = spans(docs, key, text, **bounds).filter(F.size("spans") > 0).select("row", "spans")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     both = rows.join(found, "row", "left")
-    # texts as four bytes per character, so that a piece is cut out without walking the text
-    wide = F.encode(F.coalesce(F.col(f"_doc.{text}").cast("string"), F.lit("")), "UTF-32")
-    by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    both = both.select("_doc", "_spans", F.when(F.col("_spans").isNotNull(), wide).alias("_wide"), by_start.alias("_sorted"))
-    exploded_ends = F.transform("_sorted", lambda x: x["end"])
-    both = both.select("_doc", "_wide", "_sorted", exploded_ends.alias("_ends"))
-    merged = F.aggregate(
-        "_sorted",
-        F.struct(F.array().cast("array<binary>").alias("out"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, x: F.when(x["end"] <= acc["at"], acc).otherwise(
-            F.struct(
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.substring(F.col("_wide"), (4 * acc["at"] + 1).cast("int"), (4 * F.greatest(x["start"] - acc["at"], F.lit(0))).cast("int")),
-                        F.when(x["start"] < acc["at"], F.lit(b"")).otherwise(F.encode(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")), "UTF-32")),
-                    ),
-                ).alias("out"),
-                F.greatest(acc["at"], x["end"]).alias("at"),
-            )
-        ),
-    )
-    both = both.select("_doc", "_wide", merged.alias("_merged"))
-    return both
+    # a text of four bytes per character, from which a piece is cut without walking over what stands before it
+    wide = F.when(F.col("spans").isNotNull(), F.encode(F.col(f"doc.{text}").cast("string"), "UTF-32"))
+    ordered = F.array_sort(F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["place"].alias("place"), x["kind"].alias("kind"), x["before"].alias("before"))))
+    both = both.select("doc", wide.alias("wide"), ordered.alias("ordered"))
+    cut = lambda a, b: F.decode(F.substring(F.col("wide"), (4 * a + 1).cast("int"), (4 * F.greatest(b - a, F.lit(0))).cast("int")), "UTF-32")
+    mark = lambda x: F.concat(cut(x["before"], x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))
+    parts = F.transform("ordered", lambda x: F.when(x["start"] < x["before"], F.lit("")).otherwise(mark(x)))
+    last = F.element_at("ordered", -1)
+    rest = cut(F.greatest(last["before"], last["end"]), (F.length("wide") / 4).cast("bigint"))
+    clean = F.when(F.col("wide").isNull(), F.col("doc")[text]).otherwise(F.concat(F.array_join(parts, ""), rest))
+    both = both.select("doc", clean.alias("clean"))
+    return both.select(*[F.col("clean").alias(c) if c == text else F.col("doc")[c].alias(c) for c in docs.columns])

@@ -14,6 +14,7 @@ gives an empty store. Only the two named columns are read.
 from __future__ import annotations
 
 import json
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,37 @@ BLOCK_IDS = 1 << 14
 CHUNK_IDS = 1 << 16
 SHARD_ROWS = 4096
 MAX_SHARDS = 10_000
-TASK_BYTES = 8 << 20
-CACHED_PIECES = 500_000
+TASK_BYTES = 4 << 20
+CACHED_PIECES = 400_000
 
 _SPACES = r" \t\n\r\x0b\x0c"
 
 
+def _byte_signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    prints = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    others = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in prints)}
+    return [others.get(b, chr(b)) for b in range(256)]
+
+
+BYTE_SIGNS = _byte_signs()
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> WordEncoder:
+    """One encoder per Python worker, whose pieces stay cached from task to task."""
+    if tokenizer_json not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[tokenizer_json] = WordEncoder(tokenizer_json)
+    return _ENCODERS[tokenizer_json]
+
+
 class WordEncoder:
     """Encodes blocks of texts by a BPE tokenizer that lower-cases and drops white space, each distinct piece only once.
 
     The tokenizer splits at the borders used here, and its normalisation never reaches over them: letters with their marks,
-    runs of other signs, and, where a digit, an apostrophe or a mark comes first, the rest of the word. Pieces of ASCII
-    letters need no normalisation and go straight to the merges; all others go through the whole tokenizer.
+    runs of other signs, and, where a digit, an apostrophe or a mark comes first, the rest of the word. Pieces of letters
+    in normal form are one word to the merges and go straight to them; all others go through the whole tokenizer.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -60,8 +80,9 @@ class WordEncoder:
         if coded is None:
             if len(self.cache) >= CACHED_PIECES:
                 self.cache.clear()
-            if piece.isascii() and piece.isalpha():
-                ids = [t.id for t in self.tokenizer.model.tokenize(piece)]
+            low = piece.lower()
+            if low.isalpha() and piece.isalpha() and is_normalized("NFC", piece) and "\u03a3" not in piece:  # capital sigma depends on its place
+                ids = [t.id for t in self.tokenizer.model.tokenize("".join(map(BYTE_SIGNS.__getitem__, low.encode())))]
             else:
                 ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
             coded = self.cache[piece] = np.array(ids, dtype="<u4").tobytes()
@@ -94,7 +115,7 @@ def encode_words(docs: DataFrame, tokenizer_path: str, end: int, key: str = "doc
         tokenizer = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: of fixed size
 
     def run(batches):
-        encoder, pack = WordEncoder(tokenizer.value), zstandard.ZstdCompressor(level=1)
+        encoder, pack = _encoder(tokenizer.value), zstandard.ZstdCompressor(level=1)
         for batch in pieces(batches, "text", TASK_BYTES):
             at, ids = encoder.texts(batch.column("text").cast(pa.string()).fill_null(""), end)
             packed = [pack.compress(ids[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, classifier, jaccard, licenses, mixing, planes, quality
+from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document among those whose shingle sets are similar."""
     return jaccard.near_duplicates(_documents(spark, sf_dir)).drop("row")
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data and disclosing terms of every text."""
+    return pii.report(pii.spans(_documents(spark, sf_dir)))
+
+
+@query
+def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near-equal vectors."""
+    return epsilon.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
