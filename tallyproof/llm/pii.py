@@ -120,9 +120,10 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     n_terms = terms.limit(BROADCAST_TERMS + 1).count()
     found = F.regexp_extract_all("body", F.lit(WORD), F.lit(0))
     words = docs.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))).alias("term"))
-    holders = _joined(words, terms, "term", "left_semi", n_terms).select("row").distinct()
+    holders = staged(_joined(words, terms, "term", "left_semi", n_terms).select("row").distinct(), "pii-holders")
+    n_holders = holders.limit(BROADCAST_TERMS + 1).count()
     gaps = F.transform(F.split("body", WORD, -1), lambda g: F.length(g))
-    rows = docs.join(holders, "row").select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("word"), gaps.alias("skip"))).alias("i", "x")).filter("x.word is not null")
+    rows = _joined(docs, holders, "row", "left_semi", n_holders).select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("word"), gaps.alias("skip"))).alias("i", "x")).filter("x.word is not null")
     so_far = Window.partitionBy("row").orderBy("i")
     rows = rows.withColumn("end", F.sum(F.col("x.skip") + F.length("x.word")).over(so_far)).withColumn("term", F.lower("x.word"))
     hit = _joined(rows, terms, "term", "left_semi", n_terms)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality
+from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality, repeats
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,9 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of near-equal vectors."""
     return epsilon.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that repeat a string of an earlier document."""
+    return repeats.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
