@@ -314,7 +314,7 @@ def _settle(rows: list[tuple]) -> list[list]:
     return columns
 
 
-def _resolve(batches):
+def _resolve(batches, gathered: int):
     """Rows sorted by anchor hash: answers, a suffix array for as many anchors as fill a text; rows of crowded anchors are passed on."""
     gram, group, crowd, ready, size = None, [], False, [], 0
     names = ["block", "n", "strings", "gram", "skip", "bytes", "least"]
@@ -333,7 +333,7 @@ def _resolve(batches):
                     yield answers(_settle(ready))
                     ready, size = [], 0
             group.append(row)
-            if len(group) > GATHERED:
+            if len(group) > gathered:
                 crowd = True
                 yield passed(group)
                 group = []
@@ -374,14 +374,14 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gathered: int = GATHERED) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     blocks = write_blocks(docs, key, text)
     grams = blocks.mapInArrow(_grams, "gram bigint, block bigint, several boolean").repartition("gram").sortWithinPartitions("gram")
     shared = grams.mapInArrow(_shared, "gram bigint, block bigint").groupBy("block").agg(F.collect_list("gram").alias("grams"))
     shared = staged(shared, "repeat-grams")
     around = blocks.join(shared, "block").select("block", "body", "grams").mapInArrow(_surroundings, _SURROUNDINGS)
-    found = staged(around.repartition("gram").sortWithinPartitions("gram").mapInArrow(_resolve, _ANSWERS), "repeat-answers")
+    found = staged(around.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda batches: _resolve(batches, gathered), _ANSWERS), "repeat-answers")
 
     # crowded anchors: their strings meet by content, each piece's row is put together again from its strings' doc_ids
     crowd = found.filter("strings is null and length(bytes) >= 50").withColumn("place", F.explode(F.sequence(F.lit(0), F.length("bytes") - LENGTH)))
