@@ -64,18 +64,18 @@ class Mapping:
         return {c for c in (self.key, self.date, self.entity, self.amount, self.currency) if c}
 
 
+def normalise_code(text: str) -> str:
+    """A currency cell in the one spelling that codes are compared in."""
+    code = str(text).strip().upper()
+    return BLANK_CURRENCY if code in {"", "BLANK", BLANK_CURRENCY} else code
+
+
 def clean_code_map(answers: dict[str, str]) -> dict[str, str]:
-    """Normalise confirmed currencies: upper-case codes, one spelling for blank, three-letter targets."""
-    cleaned = {}
-    for found, means in answers.items():
-        code = str(found).strip().upper()
-        if code in ("", "BLANK", BLANK_CURRENCY):
-            code = BLANK_CURRENCY
-        target = str(means).strip().upper()
-        if not re.fullmatch("[A-Z]{3}", target):
-            raise ValueError(f"{means!r}, given for {found!r}, is not a three-letter currency code")
-        cleaned[code] = target
-    return cleaned
+    """Confirmed currencies, both sides normalised; raises on all targets that are no three-letter code."""
+    pairs = [(normalise_code(found), normalise_code(means)) for found, means in answers.items()]
+    if wrong := sorted({means for _, means in pairs if not re.fullmatch("[A-Z]{3}", means)}):
+        raise ValueError("currency codes have three letters, these do not: " + ", ".join(wrong))
+    return dict(pairs)
 
 
 @dataclass(frozen=True)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import DD_MM
+from tallyproof.functions.text import strip
+
 
 def real_day(year: Column, month: Column, day: Column) -> Column:
     """NULL unless the three numbers name a day of the calendar, years 1 to 9999."""
@@ -16,7 +18,7 @@ def real_day(year: Column, month: Column, day: Column) -> Column:
 
 def whole_numbers(c: Column, mark: str) -> list[Column]:
     """The three whole numbers between the marks; NULLs if there are not exactly three parts."""
-    parts = F.split(c, mark)
+    parts = F.split(strip(c), mark)
     return [F.when(F.size(parts) == 3, F.get(parts, F.lit(i)).try_cast("int")) for i in range(3)]
 
 

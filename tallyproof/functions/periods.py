@@ -7,10 +7,6 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# First month of quarters 1-4 in a fiscal year that starts in April.
-# All four are taken in the given calendar year.
-FISCAL_FIRST_MONTH = {1: 4, 2: 7, 3: 10, 4: 1}
-
 
 def _last_day(year: int, month: int) -> dt.date:
     nxt = dt.date(year + month // 12, month % 12 + 1, 1)
@@ -18,7 +14,8 @@ def _last_day(year: int, month: int) -> dt.date:
 
 
 def quarter_window(year: int, quarter: int, fiscal: bool = False) -> tuple[dt.date, dt.date]:
-    first = FISCAL_FIRST_MONTH[quarter] if fiscal else 3 * quarter - 2
+    """First and last day. Fiscal years start in April; all four of their quarters lie in the given calendar year."""
+    first = 3 * ((quarter if fiscal else quarter - 1) % 4) + 1
     return dt.date(year, first, 1), _last_day(year, first + 2)
 
 
@@ -32,12 +29,12 @@ def year_window(year: int) -> tuple[dt.date, dt.date]:
 
 def quarter_of(start: dt.date | None, end: dt.date | None, fiscal: bool = False) -> tuple[int, int] | None:
     """(year, quarter) if the range is exactly one quarter."""
-    if start is None or end is None:
+    if start is None or end is None or start.day != 1 or start.month % 3 != 1:
+        return None
+    if end != _last_day(start.year, start.month + 2):
         return None
-    for quarter in FISCAL_FIRST_MONTH:
-        if (start, end) == quarter_window(start.year, quarter, fiscal):
-            return start.year, quarter
-    return None
+    season = start.month // 3  # 0 to 3 from January on; the fiscal year's first quarter is season 1
+    return start.year, (season or 4) if fiscal else season + 1
 
 
 def quarter_end(start: Column) -> Column:

@@ -26,7 +26,11 @@ def entity_list(ledger: DataFrame, mapping: Mapping) -> DataFrame:
 
 
 def chosen(entities: DataFrame, wanted: Sequence[str]) -> DataFrame:
-    return entities.filter(F.col("entity_norm").isin(*[entity_key_text(w) for w in wanted]))
+    """A line for every entity asked for, also where the ledger does not have it."""
+    asked = entities.sparkSession.createDataFrame([(entity_key_text(w), w) for w in wanted], "entity_norm string, asked string")
+    asked = asked.groupBy("entity_norm").agg(F.min("asked").alias("asked"))
+    both = asked.join(entities, "entity_norm", "left")
+    return both.select("entity_norm", F.coalesce("entity", entity_label(F.col("asked"))).alias("entity"))
 
 
 def per_entity(entities: DataFrame, figures: DataFrame) -> DataFrame:

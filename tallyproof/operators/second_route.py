@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import BLANK_CURRENCY, DD_MM, EXCLUDE_REFUNDS, LATEST, Mapping, Policy, Request
 
-_TRIM = r"regexp_replace({0}, r'^\s+|\s+$', '')"
+# white space of every kind, by its code points
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_TRIM = "regexp_replace({0}, r'^" + _BLANK + "+|" + _BLANK + "+$', '')"
 
 
 def _name(column: str) -> str:
