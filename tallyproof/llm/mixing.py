@@ -38,7 +38,7 @@ def topic(text: Column) -> Column:
     return (
         F.when(low.rlike(r"\blicen[cs]e|all rights reserved|\bcopyright\b"), "legal")
         .when(text.contains("@") | text.rlike(r"\+[0-9]"), "contact")
-        .when(text.rlike(r"[{}<>=]"), "markup")
+        .when(text.rlike(r"[{}=]|</?[a-z]"), "markup")
         .otherwise("prose")
     )
 
