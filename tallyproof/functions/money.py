@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.functions.text import NUMBER_PATTERN
 
-RATE = "decimal(12,6)"
+RATE = "decimal(18,10)"
 AMOUNT = "decimal(25,6)"
 MONEY = "decimal(38,2)"
 
@@ -43,20 +43,48 @@ def amount_or_zero(text: Column, multiplier=1) -> Column:
     return F.coalesce(amount_or_null(text, multiplier), F.lit(0).cast(AMOUNT))
 
 
-def amount_problem(text: Column) -> Column:
-    """Why stripped text cannot be taken digit for digit: unreadable, too_precise, too_large, or ok."""
+def _problem(text: Column, held: Column, scale: int) -> Column:
     decimals = F.length(F.regexp_extract(text, r"\.([0-9]*?)0*$", 1))
     return (
         F.when(~text.rlike(NUMBER_PATTERN), "unreadable")
-        .when(text.try_cast(AMOUNT).isNull(), "too_large")
-        .when(decimals > 6, "too_precise")
+        .when(held.isNull(), "too_large")
+        .when((decimals > scale) | (text.try_cast("decimal(38,18)") != held), "too_precise")
         .otherwise("ok")
     )
 
 
+def amount_problem(text: Column) -> Column:
+    """Why stripped text cannot be taken digit for digit: unreadable, too_precise, too_large, or ok."""
+    return _problem(text, text.try_cast(AMOUNT), 6)
+
+
+def loses_digits(text: Column, multiplier=1) -> Column:
+    """A number with more digits than amounts have here. Only long or exponent forms are looked at closely."""
+    m, precision, scale = _multiplier(multiplier)
+    kind, whole, decimals = (AMOUNT, 19, 6) if m == 1 else (f"decimal({24 - precision},{6 - scale})", 18 - precision + scale, 6 - scale)
+    suspect = text.rlike(rf"[0-9]{{{whole + 1}}}|\.[0-9]{{{decimals + 1}}}|[0-9.][eE]")
+    return F.coalesce(suspect, F.lit(False)) & _problem(text, text.try_cast(kind), decimals).isin("too_large", "too_precise")
+
+
+def rate_or_null(text: Column) -> Column:
+    """Rate out of stripped text, NULL if unreadable. A rate with more digits than RATE has ends the job: no figure is right with it."""
+    held = text.try_cast(RATE)
+    lost = ~text.contains("_") & _problem(text, held, 10).isin("too_large", "too_precise")
+    return F.when(lost, F.raise_error(F.concat(F.lit("rate with too many digits: "), text)).cast(RATE)).otherwise(held)
+
+
 def convert(amount: Column, rate: Column) -> Column:
-    """Row value in the reporting currency, rounded half up to cents; no rate gives 0.00."""
-    return F.round(amount * F.coalesce(rate, F.lit(0).cast(RATE)), 2)
+    """Row value in the reporting currency, rounded half up to cents; no rate gives 0.00.
+
+    Amount and rate have 43 digits together, so thousands and the rest are multiplied apart; what lies beyond the
+    seventh decimal of the rest cannot change a rounding to cents and is cut off.
+    """
+    factor, size = F.coalesce(rate, F.lit(0)).cast(RATE), F.abs(amount).cast(AMOUNT)
+    thousands = F.floor(size * F.lit(Decimal("0.001"))).cast("decimal(16,0)")
+    rest = (size - thousands * 1000).cast("decimal(9,6)")
+    product = (thousands * factor * 1000).cast("decimal(37,7)") + F.floor(rest * factor, F.lit(7))
+    value = F.round(product, 2).cast("decimal(29,2)")
+    return F.when(amount < 0, -value).otherwise(value)
 
 
 def total(c: Column) -> Column:

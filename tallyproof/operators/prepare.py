@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import with_both_readings
-from tallyproof.functions.money import amount_or_zero, convert
+from tallyproof.functions.money import amount_or_zero, convert, loses_digits
 from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency, strip
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
 from tallyproof.sources.tables import row_order
@@ -31,12 +31,14 @@ def prepare(
     """Typed ledger with scope flags; nothing is dropped, so duplicates can still be told over the whole ledger.
 
     `in_entity` covers the entity list and the equality filters, `in_scope` adds the date range and is false
-    for rows without a date or an amount. `other_date` is the day under the other slash format.
+    for rows without a date or an amount. `other_date` is the day under the other slash format, `lost_digits` an
+    amount with more digits than are kept. Without a key column every row has a key of its own, so that there are no
+    copies and no conflicts.
     """
     request = request or Request()
     currency = _role(mapping.currency) if mapping.currency else F.lit(policy.target_currency)
     texts = ledger.select(
-        _role(mapping.key).alias("key"),
+        (_role(mapping.key) if mapping.key else F.monotonically_increasing_id().cast("string")).alias("key"),
         _role(mapping.date).alias("date_raw"),
         _role(mapping.entity).alias("entity_raw"),
         _role(mapping.amount).alias("amount_raw"),
@@ -51,6 +53,7 @@ def prepare(
         {
             "entity_norm": entity_key(F.col("entity_raw")),
             "amount": amount_or_zero(F.col("amount_text"), mapping.unit_multiplier),
+            "lost_digits": loses_digits(F.col("amount_text"), mapping.unit_multiplier),
             "cur_eff": effective_currency(F.col("cur_raw"), policy.currency_map),
             "is_missing": is_blank(F.col("date_raw")) | (F.col("amount_text") == ""),
         }

@@ -69,7 +69,9 @@ def copy_groups(ledger: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def conflict_groups(ledger: DataFrame, mapping: Mapping) -> DataFrame:
-    """Non-blank keys with several trimmed amounts, blank included, before any cleaning."""
+    """Non-blank keys with several trimmed amounts, blank included, before any cleaning; none without a key column."""
+    if not mapping.key:
+        return ledger.limit(0).select(*[F.lit("").alias(c) for c in ("key", "low", "high")])
     return (
         ledger.select(cell(mapping.key).alias("key"), strip(cell(mapping.amount)).alias("amount"))
         .filter("key <> ''")
@@ -86,7 +88,9 @@ def supported_codes(rates: DataFrame, mapping: Mapping, target: str) -> DataFram
 
 
 def currency_codes(ledger: DataFrame, mapping: Mapping, rates: DataFrame, target: str) -> DataFrame:
-    """(code, rows, supported): the codes found in the ledger."""
+    """(code, rows, supported): the codes found in the ledger; none without a currency column."""
+    if not mapping.currency:
+        return ledger.limit(0).select(F.lit("").alias("code"), F.lit(0).cast("bigint").alias("rows"), F.lit(True).alias("supported"))
     found = (
         ledger.groupBy(F.upper(strip(cell(mapping.currency))).alias("code"))
         .agg(F.count("*").alias("rows"))
@@ -159,11 +163,15 @@ def findings(profile: DataFrame) -> DataFrame:
 
 
 def category_columns(ledger: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
-    """Candidate category columns with their position, numeric share test and distinct values (case folded)."""
+    """Candidate category columns with their position, numeric share test and distinct values (case folded).
+
+    No row if every column plays a role.
+    """
     skip = mapping.roles()
     free = [c for c in columns if c not in skip and not c.lower().replace(" ", "_").endswith("id")]
     if not free:
-        raise ValueError("the ledger has no free column to chart by")
+        empty = "column string, filled bigint, numeric bigint, distinct_values bigint, position bigint, usable boolean"
+        return ledger.sparkSession.createDataFrame([], empty)
     position = F.array_position(F.array(*[F.lit(c) for c in free]), F.col("column"))
     return (
         cells_by_value(ledger, free)

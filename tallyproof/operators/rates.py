@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +10,19 @@ from tallyproof.operators.skew import fits, salted_join
 
 # About 20 MB of (currency, rate, from, until) rows.
 MAX_BROADCAST_RATES = 200_000
-_OPEN = dt.date(9999, 12, 31)
 
 
 def rate_intervals(rates: DataFrame) -> DataFrame:
     """(cur, rate, valid_from, valid_to): one row per currency and day, the later rate row winning a tie.
 
+    valid_to is NULL for the newest rate of a currency.
+
     The window sees one row per currency and day, so its groups are bounded by the calendar.
     """
     daily = rates.groupBy("cur", "eff").agg(F.max_by("rate", "ord").alias("rate"))
     following = F.lead("eff", 1).over(Window.partitionBy("cur").orderBy("eff"))
     return daily.select(
-        "cur", "rate", F.col("eff").alias("valid_from"), F.coalesce(following, F.lit(_OPEN)).alias("valid_to")
+        "cur", "rate", F.col("eff").alias("valid_from"), following.alias("valid_to")
     )
 
 
@@ -47,43 +46,36 @@ def attach_rate_on(
 ) -> DataFrame:
     """As-of join: the newest rate with valid_from <= day; NULL without one or without a day.
 
-    A rates table that fits is broadcast and joined on the currency with the day range as residual. A larger
-    one is cut into (currency, month) pieces, so that a row meets the rates of one month only and a popular
-    currency is spread over its months and salts.
+    Intervals are cut into (currency, month) pieces, so that a row meets the rates of one month only, however many a
+    currency has. The newest rate of a currency has no end and is not cut; it is looked up by currency. Rows of the
+    reporting currency and rows without a day meet nothing. Pieces that fit are broadcast, others are shuffled.
     """
-    spans = rate_intervals(rates)
-    day, cur = F.col(date_col), F.col(cur_col)
-    found = F.col(f"{out}_found")
-    if fits(rates, max_broadcast_rows):
-        side = F.broadcast(spans.withColumnRenamed("rate", f"{out}_found").withColumnRenamed("cur", f"{out}_cur"))
-        joined = rows.join(
-            side,
-            (cur == F.col(f"{out}_cur")) & (day >= F.col("valid_from")) & (day < F.col("valid_to")),
-            "left",
-        ).drop("valid_from", "valid_to", f"{out}_cur")
-    else:
-        # open-ended rates need cutting only up to the last day that is looked up
-        last = rows.agg(F.max(day)).first()[0]
-        until = F.least(F.date_sub("valid_to", 1), F.coalesce(F.lit(last), F.col("valid_from")).cast("date"))
-        pieces = spans.filter(F.col("valid_from") <= until).select(
-            F.col("cur").alias(f"{out}_cur"),
-            F.col("rate").alias(f"{out}_found"),
-            "valid_from",
-            "valid_to",
-            F.explode(
-                F.sequence(F.trunc("valid_from", "month"), F.trunc(until, "month"), F.expr("interval 1 month"))
-            ).alias(f"{out}_month"),
-        )
-        keyed = rows.withColumn(f"{out}_cur", cur).withColumn(f"{out}_month", F.trunc(day, "month"))
-        joined = salted_join(
-            keyed,
-            pieces,
-            [f"{out}_cur", f"{out}_month"],
-            "left",
-            F.struct(*rows.columns),
-            (F.col(f"l.{date_col}") >= F.col("r.valid_from")) & (F.col(f"l.{date_col}") < F.col("r.valid_to")),
-        ).drop("valid_from", "valid_to", f"{out}_cur", f"{out}_month")
-    return joined.withColumn(out, _with_target(found, cur, target)).drop(f"{out}_found")
+    spans, day = rate_intervals(rates), F.col(date_col)
+    since, until, month, key = (f"{out}_{n}" for n in ("since", "until", "month", "cur"))
+    named = [F.col("cur").alias(key), F.col("valid_from").alias(since)]
+    months = F.sequence(F.trunc("valid_from", "month"), F.trunc(F.date_sub("valid_to", 1), "month"), F.expr("interval 1 month"))
+    pieces = spans.filter("valid_to is not null").select(
+        *named, F.col("valid_to").alias(until), F.col("rate").alias(f"{out}_then"), F.explode(months).alias(month)
+    )
+    newest = spans.filter("valid_to is null").select(*named, F.col("rate").alias(f"{out}_newest"))
+    asks = (F.col(cur_col) != target) & day.isNotNull()
+    keyed = rows.withColumns({key: F.when(asks, F.col(cur_col)), month: F.trunc(day, "month")})
+    small = fits(pieces, max_broadcast_rows)
+
+    def meet(left: DataFrame, right: DataFrame, on: list[str], extra: str) -> DataFrame:
+        if not small:
+            return salted_join(left, right, on, "left", F.struct(*rows.columns), F.expr(extra))
+        l, r = left.alias("l"), F.broadcast(right).alias("r")
+        condition = F.expr(extra)
+        for k in on:
+            condition = (F.col(f"l.{k}") == F.col(f"r.{k}")) & condition
+        kept = [F.col(f"r.{c}") for c in right.columns if c not in on]
+        return l.join(r, condition, "left").select("l.*", *kept)
+
+    joined = meet(keyed, pieces, [key, month], f"l.`{date_col}` >= r.{since} and l.`{date_col}` < r.{until}").drop(since, until, month)
+    joined = meet(joined, newest, [key], f"l.`{date_col}` >= r.{since}").drop(since, key)
+    found = F.coalesce(f"{out}_then", f"{out}_newest")
+    return joined.withColumn(out, _with_target(found, F.col(cur_col), target)).drop(f"{out}_then", f"{out}_newest")
 
 
 def attach_latest_rate(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import with_both_readings
-from tallyproof.functions.money import amount_or_zero, convert, rows_where, total
+from tallyproof.functions.money import amount_or_zero, convert, loses_digits, rows_where, total
 from tallyproof.functions.text import strip
 from tallyproof.operators.clean import first_row_per_key
 from tallyproof.operators.prepare import IDENTITY, in_range
@@ -33,6 +33,7 @@ def match_refunds(
     orders = first_row_per_key(of_refunded, ["entity_norm", "cur_eff", "in_entity", *carry])
     dated = with_both_readings(scanned, "ref_date_raw", policy.date_format, "ref_date", "other_ref_date")
     typed = dated.withColumn("ref_amount", amount_or_zero(strip(F.col("ref_amount_raw")), mapping.unit_multiplier))
+    typed = typed.withColumn("lost_digits", loses_digits(strip(F.col("ref_amount_raw")), mapping.unit_multiplier))
     side = orders.drop("row_order").withColumn("matched", F.lit(True))
     joined = salted_join(typed, side, ["key"], "left", F.struct("ref_date_raw", "ref_amount_raw"))
     return joined.withColumn("matched", F.coalesce("matched", F.lit(False)))
@@ -62,4 +63,5 @@ def refund_totals(priced: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.count("*").cast("bigint").alias("refund_rows"),
         (-total(F.col("refund_value"))).cast("decimal(38,2)").alias("refund_total"),
         rows_where(F.col("unsupported")).alias("refund_unsupported"),
+        rows_where(F.col("lost_digits")).alias("lost_digit_rows"),
     )

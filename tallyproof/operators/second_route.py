@@ -1,10 +1,12 @@
-"""The same figure by another way: SQL, whole cents, its own parsing, rates looked up per currency and day.
+"""The same figure by another way: SQL, its own parsing and arithmetic, rates looked up per currency and day.
 
 Nothing here uses the functions of the first route, so an error there cannot repeat itself here.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +41,52 @@ def _currency(expression: str, policy: Policy) -> str:
     return f"CASE {code} WHEN '' THEN {_quoted(known.get('', ''))} WHEN 'NAN' THEN {_quoted(known.get('', ''))}{cases} ELSE {code} END"
 
 
-def _cents(amount: str, rate: str, policy: Policy, mapping: Mapping, currency: str) -> str:
-    """Whole cents, half up: amount in millionths x multiplier in ten-thousandths x rate in millionths."""
-    factor = int(mapping.unit_multiplier * 10000)
-    millionths = f"coalesce(cast(try_cast({_trim(amount)} as decimal(28,6)) * 1000000 as decimal(34,0)), 0)"
-    per_unit = f"(CASE WHEN {currency} = {_quoted(policy.target_currency)} THEN 1000000 ELSE coalesce(cast({rate} * 1000000 as decimal(18,0)), 0) END)"
-    scaled = f"cast(abs({millionths}) * {factor} as decimal(38,0)) * {per_unit}"
-    cents = f"cast((cast({scaled} as decimal(38,0)) + 50000000000000) div 100000000000000 as decimal(38,0))"
-    return f"(CASE WHEN {millionths} < 0 THEN -{cents} ELSE {cents} END)"
+def _value(amount: str, rate: str, policy: Policy, mapping: Mapping, currency: str) -> str:
+    """Amount x multiplier x rate to cents, half up, the rate's whole part and its fraction apart.
+
+    NULL for a number whose digits do not fit, 0 for text that is no number.
+    """
+    text = _trim(amount)
+    factor = Decimal(str(mapping.unit_multiplier)).normalize()
+    places = max(0, -factor.as_tuple().exponent)
+    digits = max(len(factor.as_tuple().digits) + max(0, factor.as_tuple().exponent), places)
+    read = f"try_cast({text} as decimal(25,6))"
+    scaled = read if factor == 1 else f"try_cast({read} * cast('{factor:f}' as decimal({digits},{places})) as decimal(25,6))"
+    number = f"{text} rlike '^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$'"
+    decimals = f"length(regexp_extract({text}, '[.]([0-9]*[1-9])0*$', 1))"
+    fits = f"{scaled} IS NOT NULL AND {decimals} <= {6 - places} AND coalesce(try_cast({text} as decimal(38,18)) = {read}, true)"
+    each = f"(CASE WHEN {currency} = {_quoted(policy.target_currency)} THEN 1 ELSE coalesce({rate}, 0) END)"
+    size = f"abs({scaled})"
+    # kept narrow, so that the sum has room for all seven decimals
+    fraction = f"cast(floor({size} * cast({each} - floor({each}) as decimal(10,10)), 7) as decimal(30,7))"
+    money = f"cast(round(cast({size} * floor({each}) as decimal(34,6)) + {fraction}, 2) as decimal(30,2))"
+    return f"(CASE WHEN NOT {number} THEN 0 WHEN NOT ({fits}) THEN NULL WHEN {scaled} < 0 THEN -{money} ELSE {money} END)"
+
+
+def _rate(text: str) -> str:
+    held, wide = f"try_cast({text} as decimal(18,10))", f"try_cast({text} as decimal(38,18))"
+    return f"if({wide} IS NOT NULL AND ({held} IS NULL OR {held} <> {wide}), raise_error('rate with too many digits'), {held})"
+
+
+def _known_rates(asked: str, name: str, policy: Policy) -> str:
+    """SQL for (cur, day, rate): rates for the days asked for, by walking days and quotes of a currency in date order."""
+    if policy.basis == LATEST:
+        return f"{name} AS (SELECT cur, max_by(rate, struct(eff, place)) AS rate FROM quoted GROUP BY cur)"
+    return f"""{name} AS (
+      SELECT cur, day, rate FROM (
+        SELECT cur, day, asks, last_value(rate) IGNORE NULLS OVER (
+          PARTITION BY cur ORDER BY day, asks ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate
+        FROM (SELECT DISTINCT cur, day, true AS asks, NULL AS rate FROM {asked}
+              WHERE day IS NOT NULL AND cur <> {_quoted(policy.target_currency)}
+              UNION ALL
+              SELECT cur, eff, false, max_by(rate, place) FROM quoted GROUP BY cur, eff))
+      WHERE asks)"""
+
+
+def _with_rate(rows: str, rates: str, policy: Policy) -> str:
+    """The join with them. Rows of the reporting currency get an empty key, so they meet nothing and stay spread."""
+    same_day = "" if policy.basis == LATEST else f" AND {rates}.day = {rows}.day"
+    return f"LEFT JOIN {rates} ON {rates}.cur = nullif({rows}.cur, {_quoted(policy.target_currency)}){same_day}"
 
 
 def second_route(
@@ -59,7 +99,11 @@ def second_route(
     refunds: DataFrame | None = None,
     by: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Result per report row. `by` maps output names to SQL over `entity` (normalised) and `day`."""
+    """result_b and status_b per report row. BLOCKED_DIGITS: an amount in scope has more digits than are kept, no result.
+
+    Without a key column there are no copies, conflicts or refunds. `by` maps output names to SQL over `entity`
+    (normalised) and `day`.
+    """
     by = by or {}
     pattern = "d/M/yyyy" if policy.date_format == DD_MM else "M/d/yyyy"
     order = ", ".join(_name(c) for c in mapping.order) or "1"
@@ -75,23 +119,29 @@ def second_route(
     dates = "true"
     if request.start:
         dates = f"coalesce(day BETWEEN DATE'{request.start}' AND DATE'{request.end}', false)"
-    before = "true" if policy.basis == LATEST else "r.eff <= d.day"
     r = mapping.rates
     rate_order = ", ".join(_name(c) for c in r.order) or "1"
     currency = _text(mapping.currency) if mapping.currency else _quoted(policy.target_currency)
     names, cuts = "".join(f", {n}" for n in by), "".join(f", {e} AS {n}" for n, e in by.items())
     grouping = f"GROUP BY {', '.join(by)}" if by else ""
-    group_key = f"GROUP BY k{names}"
     count = request.agg == "count"
+    part = "sum(n)" if count else "sum(c)"
+    cells = f"""
+            SELECT k{names}, count_if(kept) AS n, sum(if(kept, value, 0)) AS c, count_if(kept AND value IS NULL) AS bad
+            FROM (SELECT *{cuts}, {dates} AND keep AS kept FROM priced) GROUP BY k{names}"""
+    once = f"""
+      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, d, e, a ORDER BY place) AS copy FROM valid)
+      WHERE copy = 1"""
+    unclashing = "LEFT ANTI JOIN clashing USING (k)"
+    if not mapping.key:
+        once, unclashing = "SELECT * FROM valid", ""
     own = f"""
-      SELECT {''.join(n + ', ' for n in by)} {'sum(n)' if count else 'sum(c)'} AS part
-      FROM (SELECT k{names}, min(a) AS low, max(a) AS high, count_if(kept) AS n, sum(if(kept, cents, 0)) AS c
-            FROM (SELECT *{cuts}, {dates} AND keep AS kept FROM priced) {group_key}) AS pieces
-      LEFT ANTI JOIN clashing USING (k) {grouping}"""
+      SELECT {''.join(n + ', ' for n in by)} {part} AS part, {'0' if count else 'sum(bad)'} AS bad
+      FROM ({cells}) AS pieces {unclashing} {grouping}"""
     less = owed = ""
-    if refunds is not None and policy.refunds != EXCLUDE_REFUNDS and not count:
+    if refunds is not None and policy.refunds != EXCLUDE_REFUNDS and not count and mapping.key:
         f = mapping.refunds
-        refund_cents = _cents("w.amount_text", "v.rate", policy, mapping, "w.cur")
+        refund_value = _value("w.amount_text", "owed_rate.rate", policy, mapping, "w.cur")
         refund_day = f"try_to_date({_trim(_text(f.date))}, '{pattern}')"
         owed = f""",
     owed AS (
@@ -100,16 +150,13 @@ def second_route(
       JOIN (SELECT k, min_by(entity, place) AS entity, min_by(cur, place) AS cur, min_by(keep, place) AS keep
             FROM once GROUP BY k HAVING min(a) = max(a)) AS o USING (k)
       WHERE o.keep),
-    owed_rate AS (
-      SELECT d.cur, d.day, max_by(r.rate, struct(r.eff, r.place)) AS rate
-      FROM (SELECT DISTINCT cur, day FROM owed) AS d JOIN quoted AS r ON r.cur = d.cur AND {before}
-      GROUP BY d.cur, d.day)"""
+    {_known_rates("owed", "owed_rate", policy)}"""
         less = f"""
       UNION ALL
-      SELECT {''.join(n + ', ' for n in by)} -sum(cents) AS part
+      SELECT {''.join(n + ', ' for n in by)} -sum(value) AS part, count_if(value IS NULL) AS bad
       FROM (SELECT *{cuts} FROM (
-        SELECT w.entity, w.day, {refund_cents} AS cents
-        FROM owed AS w LEFT JOIN owed_rate AS v ON v.cur = w.cur AND v.day <=> w.day)
+        SELECT w.entity, w.day, {refund_value} AS value
+        FROM owed AS w {_with_rate('w', 'owed_rate', policy)})
         WHERE {dates}) {grouping}"""
     query = rf"""
     WITH raw AS (
@@ -120,27 +167,23 @@ def second_route(
     valid AS (
       SELECT *, lower({_trim('e')}) AS entity, try_to_date({_trim('d')}, '{pattern}') AS day
       FROM raw WHERE {_trim('d')} <> '' AND {_trim('a')} <> ''),
-    once AS (
-      SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k, d, e, a ORDER BY place) AS copy FROM valid)
-      WHERE copy = 1),
+    once AS ({once}),
     clashing AS (SELECT k FROM valid GROUP BY k HAVING min(a) <> max(a)),
     quoted AS (
       SELECT * FROM (
-        SELECT upper({_trim(_text(r.currency))}) AS cur, try_cast({_trim(_text(r.rate))} as decimal(12,6)) AS rate,
+        SELECT upper({_trim(_text(r.currency))}) AS cur, {_rate(_trim(_text(r.rate)))} AS rate,
                coalesce(try_to_date({_trim(_text(r.effective))}, 'yyyy-M-d'),
                         try_to_date({_trim(_text(r.effective))}, '{pattern}')) AS eff,
                struct({rate_order}) AS place
         FROM {{rates}}) WHERE rate IS NOT NULL AND eff IS NOT NULL),
-    per_day AS (
-      SELECT d.cur, d.day, max_by(r.rate, struct(r.eff, r.place)) AS rate
-      FROM (SELECT DISTINCT cur, day FROM valid) AS d JOIN quoted AS r ON r.cur = d.cur AND {before}
-      GROUP BY d.cur, d.day),
+    {_known_rates("valid", "per_day", policy)},
     priced AS (
-      SELECT o.k, o.a, o.entity, o.day, o.keep, {_cents('o.a', 'v.rate', policy, mapping, 'o.cur')} AS cents
-      FROM once AS o LEFT JOIN per_day AS v ON v.cur = o.cur AND v.day <=> o.day){owed},
+      SELECT o.k, o.a, o.entity, o.day, o.keep, {_value('o.a', 'per_day.rate', policy, mapping, 'o.cur')} AS value
+      FROM once AS o {_with_rate('o', 'per_day', policy)}){owed},
     parts AS ({own}{less})
     SELECT {''.join(n + ', ' for n in by)}
-           cast({'coalesce(sum(part), 0)' if count else 'coalesce(sum(part), 0) / 100'} as decimal(38,2)) AS result_b
+           cast(if(coalesce(sum(bad), 0) > 0, NULL, coalesce(sum(part), 0)) as decimal(38,2)) AS result_b,
+           if(coalesce(sum(bad), 0) > 0, 'BLOCKED_DIGITS', 'VERIFIED') AS status_b
     FROM parts {grouping}"""
     inputs = {"ledger": ledger, "rates": rates} | ({"refunds": refunds} if less else {})
     return spark.sql(query, **inputs)

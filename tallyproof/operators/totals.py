@@ -15,10 +15,10 @@ from tallyproof.operators.clean import first_copies, key_cells, surviving_rows
 from tallyproof.operators.prepare import matches, prepare, with_value
 from tallyproof.operators.refunds import priced_refunds, refund_totals
 
-CARRY = ["is_missing", "in_scope", "value", "unsupported", "foreign", "ambiguous"]
+CARRY = ["is_missing", "in_scope", "value", "unsupported", "foreign", "ambiguous", "lost_digits"]
 _PLAIN_ROWS = ["raw_rows", "missing_rows", "ambiguous_rows", "dedup_rows"]
 _PLAIN_SUMS = ["raw_total", "dedup_total"]
-_CLEAN_ROWS = ["unsupported_rows", "foreign_rows"]
+_CLEAN_ROWS = ["unsupported_rows", "foreign_rows", "lost_digit_rows"]
 
 
 def stage_totals(rows: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -46,6 +46,7 @@ def stage_totals(rows: DataFrame, target: str, by: Sequence[str] = ()) -> DataFr
         total(F.when(scope, F.col("value"))).alias("dedup_total"),
         rows_where(scope & F.col("unsupported")).alias("unsupported_rows"),
         rows_where(scope & F.col("foreign")).alias("foreign_rows"),
+        rows_where(scope & F.col("lost_digits")).alias("lost_digit_rows"),
         total(F.when(scope & ambiguous, F.col("value"))).alias("ambiguous_total"),
     ]
     cells = key_cells(first, by, per_key)
@@ -84,7 +85,7 @@ def answers(
     derive = derive or (lambda df: df)
     prepared = derive(prepare(ledger, mapping, policy, request))
     found = stage_totals(with_value(prepared, rates, policy), policy.target_currency, by)
-    if takes_refunds(refunds, policy, request):
+    if takes_refunds(refunds, policy, request) and mapping.key:
         priced = priced_refunds(refunds, prepared, rates, mapping, policy, request)
         found = found.unionByName(refund_totals(derive(priced), by), allowMissingColumns=True)
     else:
@@ -105,22 +106,27 @@ def takes_refunds(refunds: DataFrame | None, policy: Policy, request: Request) -
 
 
 def with_status(found: DataFrame, policy: Policy, request: Request) -> DataFrame:
-    """status, reason and result; a strict policy withholds the figure instead of leaving rows out."""
+    """status, reason and result; a strict policy withholds the figure instead of leaving rows out.
+
+    A sum over amounts that cannot be held digit by digit is withheld under every policy.
+    """
     no_rate = F.lit(policy.unsupported_currency == BLOCK_ANSWER) & (F.col("unsupported_rows") > 0)
     conflict = F.lit(policy.conflicting_duplicate == BLOCK_ANSWER) & (F.col("conflict_keys") > 0)
+    digits = F.lit(request.agg == "sum") & (F.col("lost_digit_rows") > 0)
     reason = F.concat_ws(
         "; ",
         F.when(no_rate, F.concat(F.col("unsupported_rows").cast("string"), F.lit(" rows without a rate"))),
         F.when(conflict, F.concat(F.col("conflict_keys").cast("string"), F.lit(" keys with conflicting amounts"))),
+        F.when(digits, F.concat(F.col("lost_digit_rows").cast("string"), F.lit(" amounts with too many digits"))),
     )
     figure = (
         F.col("final_rows").cast(MONEY)
         if request.agg == "count"
         else (F.col("final_total") + F.col("refund_total")).cast(MONEY)
     )
-    blocked = no_rate | conflict
+    blocked = no_rate | conflict | digits
     return (
-        found.withColumn("status", F.when(blocked, "BLOCKED_POLICY").otherwise("VERIFIED"))
+        found.withColumn("status", F.when(no_rate | conflict, "BLOCKED_POLICY").when(digits, "BLOCKED_DIGITS").otherwise("VERIFIED"))
         .withColumn("reason", reason)
         .withColumn("result", F.when(~blocked, figure))
     )

@@ -49,7 +49,7 @@ def _rates(day_first: bool = True, name: str = "rate_ok") -> str:
     return f"""
 {name} AS (
   SELECT cur, eff, arg_max(rate, file_row) AS rate, max(file_row) AS file_row FROM (
-    SELECT file_row, upper(trim(cur)) AS cur, try_cast(rate_text AS DECIMAL(12,6)) AS rate,
+    SELECT file_row, upper(trim(cur)) AS cur, try_cast(rate_text AS DECIMAL(18,10)) AS rate,
            coalesce(try_cast(try_strptime(eff_text, '%Y-%m-%d') AS DATE),
                     try_cast(try_strptime(eff_text, '{pattern}') AS DATE)) AS eff
     FROM (VALUES {_RATE_VALUES}) AS t(file_row, cur, rate_text, eff_text))
@@ -366,7 +366,7 @@ SELECT code, means, regexp_matches(means, '^[A-Z]{3}$') AS valid, count(*) AS n
 FROM line WHERE trim(branch) <> '' GROUP BY 1""",
     "rate_intervals": f"""{QUOTE} SELECT cur, CAST(ten_thousandths * 0.0001 AS DECIMAL(38,6)) AS rate,
   strftime(eff, '%Y-%m-%d') AS valid_from,
-  coalesce(strftime(lead(eff) OVER (PARTITION BY cur ORDER BY eff), '%Y-%m-%d'), '9999-12-31') AS valid_to FROM quote_rate""",
+  strftime(lead(eff) OVER (PARTITION BY cur ORDER BY eff), '%Y-%m-%d') AS valid_to FROM quote_rate""",
     "asof_convert": ledger(scope=Q4) + _BY_YEAR,
     "asof_convert_quotes": f"{QUOTE}, {_QUOTED} {_QUOTED_OUT} ASOF LEFT JOIN quote_rate AS r ON r.cur = l.cur AND l.day >= r.eff GROUP BY 1, 2",
     "latest_convert": ledger(latest=True, scope=Q4) + _BY_YEAR,

@@ -491,7 +491,7 @@ def refund_totals(spark, sf):
     priced = refunds.priced_refunds(
         L.line_refunds(spark, sf), prepared, _rates(spark), L.LINES, L.ANSWERS, L.EVERYTHING
     )
-    return refunds.refund_totals(with_quarter(priced), ["entity_norm", "year", "quarter"])
+    return refunds.refund_totals(with_quarter(priced), ["entity_norm", "year", "quarter"]).drop("lost_digit_rows")
 
 
 @query
@@ -600,7 +600,7 @@ def verify_routes_latest(spark, sf):
 def _audit(spark, sf) -> DataFrame:
     """One row per quarter: both routes side by side."""
     cuts = {"year": "cast(year(day) as bigint)", "quarter": "cast(quarter(day) as bigint)"}
-    second = _second(spark, sf, L.EVERYTHING, by=cuts).withColumn("status_b", F.lit("VERIFIED"))
+    second = _second(spark, sf, L.EVERYTHING, by=cuts)
     first = _quarters(spark, sf)
     return first.join(second, ["year", "quarter"], "left")
 

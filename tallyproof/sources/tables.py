@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import DD_MM, Mapping
 from tallyproof.functions.dates import rate_date
-from tallyproof.functions.money import AMOUNT, RATE
+from tallyproof.functions.money import AMOUNT, rate_or_null
 from tallyproof.functions.text import cell, strip
 
 
@@ -41,12 +41,12 @@ def read_parquet(spark: SparkSession, path, keep: Sequence[str] = ()) -> DataFra
 
 
 def scan_rates(rates: DataFrame, mapping: Mapping, date_format: str = DD_MM) -> DataFrame:
-    """(cur, eff, rate, ord); rows whose date or rate cannot be read are left out."""
+    """(cur, eff, rate, ord); rows whose date or rate cannot be read are left out, too long a rate is an error."""
     cols = mapping.rates
     return rates.select(
         F.upper(strip(cell(cols.currency))).alias("cur"),
         rate_date(cell(cols.effective), date_format).alias("eff"),
-        strip(cell(cols.rate)).try_cast(RATE).alias("rate"),
+        rate_or_null(strip(cell(cols.rate))).alias("rate"),
         row_order(cols.order).alias("ord"),
     ).filter("eff is not null and rate is not null")
 
