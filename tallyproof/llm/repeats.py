@@ -3,11 +3,11 @@
 A byte is removed if a string of 50 bytes that covers it also starts in a document with a smaller doc_id. Every such
 string holds an anchor: the place whose 20 bytes hash lowest within it, which depends on the string alone. So
 
-1. each block of documents reports the hashes at its anchors, and hashes of two or more documents come back;
-2. for each anchor left, the block sends the 80 bytes that hold all strings around it (equal ones once, with the
+1. each block of documents reports the hashes at its anchors, packed by ranges, and those of two or more documents come back;
+2. for each anchor left, the block sends the bytes of the strings it is lowest in, at most 80 (equal ones once, with the
    smallest doc_id), to the task that owns the anchor's hash;
-3. there, where the surroundings of an anchor differ, a suffix array over them brings equal strings together, and each gets
-   the smallest doc_id it occurs in;
+3. there, where the surroundings of an anchor differ, stretches of 45 bytes tell which parts of them may agree, a suffix array
+   over these parts brings equal strings together, and each string gets the smallest doc_id it occurs in;
 4. the blocks mark and cut what is covered.
 
 The suffix array is built by linear grouping: suffixes are grouped by their Lyndon prefixes, from the largest group down;
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,15 @@ REACH = LENGTH - GRAM  # bytes of a string before, or behind, its anchor at most
 GATHERED = 2_000
 SUFFIX_BYTES = 60_000
 LAST = 2**63 - 1
+LAST_HASH = 2**64 - 1
+#: Bytes looked through at a time.
+STRETCH = 1 << 15
+#: Starts that share one test of whether pieces have a string in common.
+STEP = 5
+#: Bits of an anchor's hash left out when blocks report it; a chance match only sends bytes in vain.
+SHORT = np.uint64(16)
+#: Blocks per owner of a range of hashes: about two million hashes.
+BLOCKS_PER_OWNER = 8
 _SIGNS = [chr(b + 1) for b in range(256)]  # the sign 0 parts pieces
 
 
@@ -135,10 +145,7 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return out if n == width else pick(out[: len(out) - (width - n)], out[width - n :])
 
 
-def anchors(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of some texts laid end to end. All places of equal lowest hashes are anchors."""
-    if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _gram_hashes(data: np.ndarray) -> np.ndarray:
     step = powers(GRAM + 1)
     hashes, n = mix64(data.astype(np.uint64) + np.uint64(1)), 1
     parts: list[tuple[int, np.ndarray]] = []
@@ -151,15 +158,33 @@ def anchors(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     for n, h in reversed(parts[:-1]):
         total = total[: len(data) - size - n + 1] * step[n] + h[size : size + len(data) - size - n + 1]
         size += n
-    total = mix64(total)
-    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-    outside = doc[: len(total)] != doc[GRAM - 1 :]
-    total[outside] = np.uint64(2**64 - 1)
+    return mix64(total)
+
+
+def anchors(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of texts laid end to end: the anchors' places, hashes, texts, and the first and last start of the strings each is lowest in.
+
+    All places of equal lowest hashes in a string are anchors of it. The bytes are read in stretches that fit a cache.
+    """
+    found: list[tuple[np.ndarray, ...]] = []
     width = REACH + 1
-    low = _slide(total, width, np.minimum)
-    rim = np.zeros(width - 1, dtype=np.uint64)
-    spots = np.flatnonzero((_slide(np.concatenate([rim, low, rim]), width, np.maximum) == total) & ~outside)
-    return spots, total[spots]
+    for at in range(0, len(data) - LENGTH + 1, STRETCH):
+        low_at, high_at = max(0, at - REACH), min(len(data), at + STRETCH + LENGTH + REACH)
+        total = _gram_hashes(data[low_at:high_at])
+        for end in ends[np.searchsorted(ends, low_at, side="right") : np.searchsorted(ends, high_at, side="left")]:
+            total[max(0, end - low_at - GRAM + 1) : end - low_at] = np.uint64(LAST_HASH)
+        low = np.concatenate([np.zeros(REACH, np.uint64), _slide(total, width, np.minimum), np.zeros(REACH, np.uint64)])
+        spots = np.flatnonzero((_slide(low, width, np.maximum) == total) & (total != np.uint64(LAST_HASH)))
+        spots = spots[(spots + low_at >= at) & (spots + low_at < at + STRETCH)]
+        lowest = low[spots[:, None] + np.arange(width)] == total[spots][:, None]  # by start, from REACH before the place on
+        doc = np.searchsorted(ends, spots + low_at, side="right") - 1
+        first = np.maximum(spots + low_at - REACH + lowest.argmax(axis=1), ends[doc])
+        last = np.minimum(spots + low_at - lowest[:, ::-1].argmax(axis=1), ends[doc + 1] - LENGTH)
+        some = first <= last
+        found.append(tuple(x[some] for x in (spots + low_at, total[spots], doc, first, last)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _open(batches):
@@ -173,49 +198,79 @@ def _order(null: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(null, LAST, keys)
 
 
-def _grams(batches):
-    """Anchor hashes of a block, each once, and whether two documents of the block have it."""
+def _pack_sorted(values: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, as compressed byte planes."""
+    gaps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def _grams(batches, owners: int):
+    """Anchor hashes of a block, each once and without its last bits, by the owner of their range, and which of them several documents of the block have."""
     for block, (_, null, keys, ends, data), _ in _open(batches):
-        spots, hashes = anchors(ends, data)
-        order = np.lexsort((_order(null, keys)[np.searchsorted(ends, spots, side="right") - 1], hashes))
-        h, d = hashes[order], _order(null, keys)[np.searchsorted(ends, spots, side="right") - 1][order]
-        if not len(h):
+        _, hashes, docs, _, _ = anchors(ends, data)
+        if not len(hashes):
             continue
+        h, d = hashes >> SHORT, _order(null, keys)[docs]
+        order = np.argsort(h, kind="stable")
+        h, d = h[order], d[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         several = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
-        yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(np.full(len(first), block)), pa.array(several)], ["gram", "block", "several"])
+        h = h[first]
+        owner = ((h >> np.uint64(16)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
+        cuts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1], [True]]))
+        rows = [(int(owner[i]), block, _pack_sorted(h[i:j]), np.packbits(several[i:j]).tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+        for i in range(0, len(rows), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 1000]), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["owner", "block", "grams", "several"])
 
 
 def _shared(batches):
-    """Of rows sorted by gram, those whose gram is in a neighbouring row or in several documents of its block; holds one batch."""
-    held = None
-    for batch in batches:
-        batch = batch if held is None else pa.concat_batches([held, batch])
-        g = batch.column("gram").to_numpy()
-        same = g[1:] == g[:-1]
-        keep = batch.column("several").to_numpy(zero_copy_only=False).copy()
+    """Of rows sorted by owner, per block the hashes that another block or several documents of this one have."""
+
+    def settled(rows):
+        parts = [_unpack_sorted(r[2]) for r in rows]
+        h = np.concatenate(parts)
+        several = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(p)) for r, p in zip(rows, parts)]).astype(bool)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        keep = several[order]
         keep[1:] |= same
         keep[:-1] |= same
-        tail = 1 if len(g) < 2 or not same[-1] else 2
-        keep[-tail:] = False
-        if keep.any():
-            yield batch.filter(pa.array(keep)).select(["gram", "block"])
-        held = batch.slice(len(g) - tail)
-    if held is not None and (len(held) == 2 or held.column("several")[0].as_py()):
-        yield held.select(["gram", "block"])
-
-
-def _places(grams: list[int], null, keys, ends: np.ndarray, data: np.ndarray):
-    """Shared anchors of a block in order: gram, start and end of the bytes around it, distance to the anchor, document's order."""
-    wanted = np.sort(np.array(grams, dtype=np.int64))
-    spots, hashes = anchors(ends, data)
-    signed = hashes.view(np.int64)
-    at = np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1)
-    found = wanted[at] == signed
-    spots, signed = spots[found], signed[found]
-    docs = np.searchsorted(ends, spots, side="right") - 1
-    starts, stops = np.maximum(ends[docs], spots - REACH), np.minimum(ends[docs + 1], spots + LENGTH)
-    return zip(signed.tolist(), starts.tolist(), stops.tolist(), (spots - starts).tolist(), _order(null, keys)[docs].tolist())
+        back = np.zeros(len(h), dtype=bool)
+        back[order] = keep
+        ends = np.cumsum([len(p) for p in parts])
+        for (_, block, _, _), part, end in zip(rows, parts, ends):
+            if (own := back[end - len(part) : end]).any():
+                yield block, _pack_sorted(part[own])
+
+    def answers(rows):
+        out = list(settled(rows))
+        for i in range(0, len(out), 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 1000]), (pa.int64(), pa.binary()))], ["block", "grams"])
+
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("owner", "block", "grams", "several"))):
+            if held and held[0][0] != row[0]:
+                yield from answers(held)
+                held = []
+            held.append(row)
+    if held:
+        yield from answers(held)
+
+
+def _places(grams: list[bytes], null, keys, ends: np.ndarray, data: np.ndarray):
+    """Shared anchors of a block in order: gram, start and end of the strings it is lowest in, distance to the anchor, document's order."""
+    wanted = np.sort(np.concatenate([_unpack_sorted(g) for g in grams]))
+    spots, hashes, docs, first, last = anchors(ends, data)
+    short = hashes >> SHORT
+    found = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
+    spots, signed, docs, first, last = (x[found] for x in (spots, hashes.view(np.int64), docs, first, last))
+    return zip(signed.tolist(), first.tolist(), (last + LENGTH).tolist(), (spots - first).tolist(), _order(null, keys)[docs].tolist())
 
 
 _SURROUNDINGS = "gram bigint, block bigint, n int, least bigint, most bigint, skip int, bytes binary"
@@ -239,21 +294,23 @@ def _surroundings(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000]), _KINDS.values())], list(_KINDS))
 
 
-def _spots_worth(pieces: list[tuple[int, bytes]]) -> list[bool]:
-    """Whether a piece shares half of the reach on either side with another: a string of 50 bytes reaches so far on one."""
-    half = REACH // 2
-    seen: dict[tuple[bool, bytes], int] = {}
+def _common_parts(pieces: list[tuple[int, bytes]]) -> list[tuple[int, int] | None]:
+    """Of each piece of one anchor, the stretch whose strings another piece may hold; None where there is none.
+
+    A string that starts from t to t + STEP bytes before the anchor holds all bytes from t before it on, less STEP.
+    """
+    seen: dict[tuple[int, bytes], int] = {}
     keys = []
     for skip, data in pieces:
-        own = []
-        if skip >= half:
-            own.append((True, data[skip - half : skip + GRAM]))
-        if len(data) - skip - GRAM >= half:
-            own.append((False, data[skip : skip + GRAM + half]))
+        own = [(t, data[skip - t : skip - t + LENGTH - STEP]) for t in range(0, REACH, STEP) if t <= skip and skip - t + LENGTH - STEP <= len(data)]
         keys.append(own)
         for k in own:
             seen[k] = seen.get(k, 0) + 1
-    return [any(seen[k] > 1 for k in own) for own in keys]
+    out: list[tuple[int, int] | None] = []
+    for (skip, data), own in zip(pieces, keys):
+        ts = [k[0] for k in own if seen[k] > 1]
+        out.append((max(0, skip - ts[-1] - STEP), min(len(data), skip - ts[0] + LENGTH)) if ts else None)
+    return out
 
 
 def equal_strings(pieces: list[bytes], least: list[int]) -> list[list[int]]:
@@ -285,26 +342,43 @@ def equal_strings(pieces: list[bytes], least: list[int]) -> list[list[int]]:
 
 
 
-
 _ANSWERS = "block bigint, n int, strings array<bigint>, gram bigint, skip int, bytes binary, least bigint"
 _ANSWER_KINDS = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.binary(), pa.int64())
 
 
+def _by_gram(keys) -> dict[int, list[tuple[int, int, bytes]]]:
+    out: dict[int, list[tuple[int, int, bytes]]] = {}
+    for key in keys:
+        out.setdefault(key[0], []).append(key)
+    return out
+
+
 def _settle(rows: list[tuple]) -> list[list]:
     """Answers for the rows of some anchors, all of each: smallest doc_id by string (one number if it is the same for all)."""
     distinct: dict[tuple[int, int, bytes], int] = {}
     for gram, _, _, least, _, skip, data in rows:
         key = gram, skip, data
         distinct[key] = min(least, distinct.get(key, LAST))
-    by_gram: dict[int, list[tuple[int, int, bytes]]] = {}
-    for key in distinct:
-        by_gram.setdefault(key[0], []).append(key)
-    chosen = [key for keys in by_gram.values() if len(keys) > 1 for key, worth in zip(keys, _spots_worth([k[1:] for k in keys])) if worth and len(key[2]) >= LENGTH]
-    strings = dict(zip(chosen, equal_strings([k[2] for k in chosen], [distinct[k] for k in chosen])))
+    by_gram = _by_gram(distinct)
+    parts: dict[tuple[int, int, bytes], tuple[int, tuple[int, int, bytes]]] = {}
+    least_of: dict[tuple[int, int, bytes], int] = {}
+    for keys in by_gram.values():
+        if len(keys) < 2:
+            continue
+        cut: list[tuple[int, int, bytes]] = []
+        for key, part in zip(keys, _common_parts([k[1:] for k in keys])):
+            if part:
+                cut.append((key[0], key[1] - part[0], key[2][part[0] : part[1]]))
+                parts[key] = part[0], cut[-1]
+                least_of[cut[-1]] = min(distinct[key], least_of.get(cut[-1], LAST))
+    several = [key for keys in _by_gram(least_of).values() if len(keys) > 1 for key in keys]
+    common = dict(zip(several, equal_strings([k[2] for k in several], [least_of[k] for k in several])))
+    strings: dict[tuple[int, int, bytes], list[int]] = {}
+    for key, (at, part) in parts.items():
+        found = common.get(part) or [least_of[part]] * (len(part[2]) - LENGTH + 1)
+        strings[key] = [distinct[key]] * at + found + [distinct[key]] * (len(key[2]) - LENGTH + 1 - at - len(found))
     columns: list[list] = [[] for _ in _ANSWER_KINDS]
     for gram, block, n, _, most, skip, data in rows:
-        if len(data) < LENGTH:
-            continue
         own = distinct[gram, skip, data]
         found = strings.get((gram, skip, data), [own])
         found = found if min(found) != max(found) else found[:1]
@@ -377,8 +451,9 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gathered: int = GATHERED) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept (the bytes left)."""
     blocks = write_blocks(docs, key, text)
-    grams = blocks.mapInArrow(_grams, "gram bigint, block bigint, several boolean").repartition("gram").sortWithinPartitions("gram")
-    shared = grams.mapInArrow(_shared, "gram bigint, block bigint").groupBy("block").agg(F.collect_list("gram").alias("grams"))
+    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // BLOCKS_PER_OWNER)
+    grams = blocks.mapInArrow(lambda batches: _grams(batches, owners), "owner bigint, block bigint, grams binary, several binary").repartition("owner").sortWithinPartitions("owner")
+    shared = grams.mapInArrow(_shared, "block bigint, grams binary").groupBy("block").agg(F.collect_list("grams").alias("grams"))
     shared = staged(shared, "repeat-grams")
     around = blocks.join(shared, "block").select("block", "body", "grams").mapInArrow(_surroundings, _SURROUNDINGS)
     found = staged(around.repartition("gram").sortWithinPartitions("gram").mapInArrow(lambda batches: _resolve(batches, gathered), _ANSWERS), "repeat-answers")
