@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.arrays import mix64, powers
+from tallyproof.llm.arrays import binary, hash_rows, mix64, offsets_of, powers, raw
 from tallyproof.llm.blocks import open_block, write_blocks
 from tallyproof.llm.staging import staged
 
@@ -37,6 +37,9 @@ REACH = LENGTH - GRAM  # bytes of a string before, or behind, its anchor at most
 #: Different surroundings of one anchor that a task gathers; beyond that the strings are spread by content.
 GATHERED = 2_000
 SUFFIX_BYTES = 60_000
+#: Rows a task gathers for each surrounding it may gather, and rows it looks at together.
+ROWS_EACH = 500
+WAIT = 20_000
 LAST = 2**63 - 1
 LAST_HASH = 2**64 - 1
 #: Bytes looked through at a time.
@@ -191,7 +194,13 @@ def _open(batches):
     for batch in batches:
         for i in range(len(batch)):
             block = batch.column(0)[i].as_py()
-            yield block, open_block(block, batch.column(1)[i].as_py()), batch.column(2)[i].as_py() if batch.num_columns > 2 else None
+            known = None
+            if batch.num_columns > 2 and pa.types.is_struct(batch.column(2).type):
+                answers = batch.column(2).field("answers")[i].values
+                known = {"grams": batch.column(2).field("grams")[i].as_py(), "answers": answers}
+            elif batch.num_columns > 2:
+                known = batch.column(2)[i].as_py()
+            yield block, open_block(block, batch.column(1)[i].as_py()), known
 
 
 def _order(null: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -263,14 +272,36 @@ def _shared(batches):
         yield from answers(held)
 
 
+def _gather(data: np.ndarray, first: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of the bytes, one after the other: offsets and bytes."""
+    at = offsets_of(stops - first)
+    return at, data[np.arange(at[-1]) + np.repeat(first - at[:-1], stops - first)]
+
+
+def _signed_off(at: np.ndarray, flat: np.ndarray, skip: np.ndarray) -> np.ndarray:
+    """Hashes of pieces and where their anchor is; with the anchor's own hash 128 bits stand for a piece."""
+    return hash_rows(at, flat) ^ mix64(skip.astype(np.uint64) + np.uint64(1))
+
+
 def _places(grams: list[bytes], null, keys, ends: np.ndarray, data: np.ndarray):
-    """Shared anchors of a block in order: gram, start and end of the strings it is lowest in, distance to the anchor, document's order."""
+    """Shared anchors of a block: gram, start and end of the strings it is lowest in, distance to the anchor, document's order, and the number of its piece.
+
+    Pieces are numbered by gram and content; the order and the bounds of the numbers come last.
+    """
     wanted = np.sort(np.concatenate([_unpack_sorted(g) for g in grams]))
     spots, hashes, docs, first, last = anchors(ends, data)
     short = hashes >> SHORT
     found = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
-    spots, signed, docs, first, last = (x[found] for x in (spots, hashes.view(np.int64), docs, first, last))
-    return zip(signed.tolist(), first.tolist(), (last + LENGTH).tolist(), (spots - first).tolist(), _order(null, keys)[docs].tolist())
+    spots, signed, docs, first, stops = (x[found] for x in (spots, hashes.view(np.int64), docs, first, last + LENGTH))
+    skip = spots - first
+    parts = [slice(i, i + 20_000) for i in range(0, len(spots), 20_000)]
+    content = np.concatenate([_signed_off(*_gather(data, first[p], stops[p]), skip[p]) for p in parts] or [np.zeros(0, np.uint64)])
+    order = np.lexsort((content, signed))
+    g, c = signed[order], content[order]
+    new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]) if len(g) else np.zeros(0, bool)
+    number = np.empty(len(g), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return signed, first, stops, skip, _order(null, keys)[docs], number, order, np.flatnonzero(new)
 
 
 _SURROUNDINGS = "gram bigint, block bigint, n int, least bigint, most bigint, skip int, bytes binary"
@@ -280,18 +311,15 @@ _KINDS = {"gram": pa.int64(), "block": pa.int64(), "n": pa.int32(), "least": pa.
 def _surroundings(batches):
     """For each shared anchor the bytes around it, equal ones of a block once: number in the block, smallest and largest doc_id."""
     for block, (_, null, keys, ends, data), grams in _open(batches):
-        numbers: dict[tuple[int, int, bytes], int] = {}
-        rows: list[list] = []
-        text = data.tobytes()
-        for gram, start, stop, skip, doc in _places(grams, null, keys, ends, data):
-            key = gram, skip, text[start:stop]
-            k = numbers.setdefault(key, len(rows))
-            if k == len(rows):
-                rows.append([gram, block, k, doc, doc, skip, key[2]])
-            else:
-                rows[k][3], rows[k][4] = min(doc, rows[k][3]), max(doc, rows[k][4])
-        for i in range(0, len(rows), 5000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000]), _KINDS.values())], list(_KINDS))
+        signed, first, stops, skip, doc, _, order, new = _places(grams, null, keys, ends, data)
+        if not len(new):
+            continue
+        least, most = np.minimum.reduceat(doc[order], new), np.maximum.reduceat(doc[order], new)
+        for i in range(0, len(new), 5000):
+            own = order[new[i : i + 5000]]
+            columns = [signed[own], np.full(len(own), block), np.arange(i, i + len(own)), least[i : i + 5000], most[i : i + 5000], skip[own]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, _KINDS.values())]
+            yield pa.RecordBatch.from_arrays([*arrays, binary(*_gather(data, first[own], stops[own]))], list(_KINDS))
 
 
 def _common_parts(pieces: list[tuple[int, bytes]]) -> list[tuple[int, int] | None]:
@@ -388,34 +416,80 @@ def _settle(rows: list[tuple]) -> list[list]:
     return columns
 
 
+_NAMES = ["block", "n", "strings", "gram", "skip", "bytes", "least"]
+
+
+def _answered(columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS)], _NAMES)
+
+
+def _passed(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows that are not answered here."""
+    return pa.RecordBatch.from_arrays([pa.nulls(len(rows), _ANSWER_KINDS[2]) if c == "strings" else rows.column(c) for c in _NAMES], _NAMES)
+
+
 def _resolve(batches, gathered: int):
     """Rows sorted by anchor hash: answers, a suffix array for as many anchors as fill a text; rows of crowded anchors are passed on."""
-    gram, group, crowd, ready, size = None, [], False, [], 0
-    names = ["block", "n", "strings", "gram", "skip", "bytes", "least"]
-    answers = lambda columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ANSWER_KINDS)], names)
-    passed = lambda rows: answers([list(c) for c in zip(*[(r[1], r[2], None, r[0], r[5], r[6], r[3]) for r in rows])])
+    held: list[pa.RecordBatch] = []
+    crowded = None  # an anchor whose first rows have been passed on
+    ready: list[tuple] = []
+
+    def settled(rows: pa.RecordBatch, content: np.ndarray):
+        """Answers for rows that hold all of their anchors."""
+        gram, least, most = (rows.column(c).to_numpy() for c in ("gram", "least", "most"))
+        starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        sizes = np.diff(np.append(starts, len(gram)))
+        alike = np.minimum.reduceat(content, starts) == np.maximum.reduceat(content, starts)
+        low = np.repeat(np.minimum.reduceat(least, starts), sizes)
+        passing = gram == crowded if crowded is not None else np.zeros(len(gram), bool)
+        for k in np.flatnonzero(~alike & (sizes > gathered)):
+            own = slice(starts[k], starts[k] + sizes[k])
+            passing[own] = passing[own] | (len(np.unique(content[own])) > gathered)
+        if passing.any():
+            yield _passed(rows.filter(pa.array(passing)))
+        plain = np.repeat(alike, sizes) & ~passing
+        told = np.flatnonzero(plain & (most > low))
+        if len(told):
+            some = rows.take(pa.array(told))
+            strings = pa.ListArray.from_arrays(pa.array(np.arange(len(told) + 1), pa.int32()), pa.array(low[told]))
+            yield pa.RecordBatch.from_arrays([some.column("block"), some.column("n"), strings, *[pa.nulls(len(told), t) for t in _ANSWER_KINDS[3:]]], _NAMES)
+        size, last = 0, None
+        some = rows.filter(pa.array(~plain & ~passing))
+        for row in zip(*(some.column(c).to_pylist() for c in _KINDS)):
+            if row[0] != last and size > SUFFIX_BYTES:
+                yield _answered(_settle(ready))
+                ready.clear()
+                size = 0
+            ready.append(row)
+            size, last = size + len(row[6]), row[0]
+        if ready:
+            yield _answered(_settle(ready))
+            ready.clear()
+
+    def content_of(rows: pa.RecordBatch) -> np.ndarray:
+        return _signed_off(*raw(rows.column("bytes")), rows.column("skip").to_numpy())
+
+    count, wait = 0, WAIT
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in _KINDS)):
-            if row[0] != gram:
-                if crowd and group:
-                    yield passed(group)
-                elif not crowd:
-                    ready += group
-                    size += sum(len(r[6]) for r in group)
-                gram, group, crowd = row[0], [], False
-                if size > SUFFIX_BYTES:
-                    yield answers(_settle(ready))
-                    ready, size = [], 0
-            group.append(row)
-            if len(group) > gathered:
-                crowd = True
-                yield passed(group)
-                group = []
-    if crowd and group:
-        yield passed(group)
-        group = []
-    if ready or group:
-        yield answers(_settle(ready + group))
+        held.append(batch)
+        count += len(batch)
+        if count < wait:
+            continue
+        rows = pa.concat_batches(held)
+        gram, content = rows.column("gram").to_numpy(), content_of(rows)
+        tail = int(np.searchsorted(gram, gram[-1]))
+        if tail:
+            yield from settled(rows.slice(0, tail), content[:tail])
+        rest = rows.slice(tail)
+        if gram[-1] == crowded or len(rest) > gathered and (len(np.unique(content[tail:])) > gathered or len(rest) > ROWS_EACH * gathered):
+            crowded = gram[-1]
+            yield _passed(rest)
+            rest = rest.slice(0, 0)
+        held, count = [rest], len(rest)
+        wait = WAIT + 2 * count
+    if count:
+        rows = pa.concat_batches(held)
+        yield from settled(rows, content_of(rows))
 
 
 def _cut(batches):
@@ -423,20 +497,26 @@ def _cut(batches):
     for _, (_, null, keys, ends, data), known in _open(batches):
         gone = np.zeros(len(data) + 1, dtype=np.int64)
         text = data.tobytes()
-        if known["answers"]:
-            answers = {a["n"]: np.array(a["strings"], dtype=np.int64) for a in known["answers"]}
-            numbers: dict[tuple[int, int, bytes], int] = {}
-            for gram, start, stop, skip, doc in _places(known["grams"], null, keys, ends, data):
-                found = answers.get(numbers.setdefault((gram, skip, text[start:stop]), len(numbers)))
-                if found is None or found.min() >= doc:
-                    continue
-                if len(found) == 1:  # all strings: one stretch
-                    gone[start] += 1
-                    gone[stop] -= 1
-                else:
-                    begins = start + np.flatnonzero(found < doc)
-                    np.add.at(gone, begins, 1)
-                    np.add.at(gone, begins + LENGTH, -1)
+        if known["answers"] is not None and len(known["answers"]):
+            numbers, lists = (known["answers"].field(c) for c in ("n", "strings"))
+            numbers, at, strings = numbers.to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy()
+            _, first, stops, _, doc, number, _, new = _places(known["grams"], null, keys, ends, data)
+            answer = np.full(len(new), -1, dtype=np.int64)
+            answer[numbers] = np.arange(len(numbers))
+            told = np.flatnonzero(answer[number] >= 0)
+            answer = answer[number[told]]
+            lengths = np.diff(at)[answer]
+            one = lengths == 1  # all strings: one stretch
+            whole = told[one][strings[at[answer[one]]] < doc[told[one]]]
+            np.add.at(gone, first[whole], 1)
+            np.add.at(gone, stops[whole], -1)
+            for p in range(0, int((~one).sum()), 20_000):
+                own, which = told[~one][p : p + 20_000], answer[~one][p : p + 20_000]
+                offsets, values = _gather(strings, at[which], at[which + 1])
+                size = np.diff(offsets)
+                begins = (np.arange(len(values)) - np.repeat(offsets[:-1] - first[own], size))[values < np.repeat(doc[own], size)]
+                np.add.at(gone, begins, 1)
+                np.add.at(gone, begins + LENGTH, -1)
         removed = np.cumsum(gone)[: len(data)] > 0
         columns: list[list] = [[], [], [], []]
         for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
