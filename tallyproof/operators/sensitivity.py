@@ -7,11 +7,13 @@ column on the same rows, summed side by side.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.config import LATEST, Mapping, Policy, Request
+from tallyproof.config import BLOCK_ANSWER, LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import is_ambiguous, proves
 from tallyproof.functions.money import MONEY, convert, rows_where, total
 from tallyproof.functions.periods import quarter_of, quarter_window
@@ -56,24 +58,37 @@ def _with_rates(
     return attach_latest_rate(rows, rates, target, "rate_conversion_basis")
 
 
-def _values(amount: str, day: str, other_day: str, request: Request) -> dict[str, Column]:
-    """Value of a row inside the scope of each reading, 0 outside."""
+def _scopes(day: str, other_day: str, request: Request) -> dict[str, tuple[Column, str]]:
+    """Scope of each reading, and the reading whose rate it uses."""
     alternative = other_quarter(request)
     base, other = in_range(F.col(day), request), in_range(F.col(other_day), request)
     if alternative:
         quarter = in_range(F.col(day), request.with_(start=alternative[0], end=alternative[1]))
     else:
         quarter = F.lit(False)
-    value = {r: convert(F.col(amount), F.col(f"rate_{r}")) for r in ("base", "date_format", "conversion_basis")}
-    scoped = {
-        "base": (base, value["base"]),
-        "date_format": (other, value["date_format"]),
-        "quarter_definition": (quarter, value["base"]),
-        "conversion_basis": (base, value["conversion_basis"]),
+    ranges = {"base": base, "date_format": other, "quarter_definition": quarter, "conversion_basis": base}
+    return {
+        name: (F.coalesce(F.col("in_entity") & scope, F.lit(False)), "base" if name == "quarter_definition" else name)
+        for name, scope in ranges.items()
     }
+
+
+def _values(amount: str, day: str, other_day: str, request: Request) -> dict[str, Column]:
+    """Value of a row inside the scope of each reading, 1 for counts, and 0 outside."""
     return {
-        name: F.when(F.col("in_entity") & scope, v).otherwise(0).cast("decimal(29,2)")
-        for name, (scope, v) in scoped.items()
+        name: F.when(scope, F.lit(1) if request.agg == "count" else convert(F.col(amount), F.col(f"rate_{rate}")))
+        .otherwise(0)
+        .cast("decimal(29,2)")
+        for name, (scope, rate) in _scopes(day, other_day, request).items()
+    }
+
+
+def _withheld(policy: Policy, request: Request) -> dict[str, Column]:
+    """Rows for which a reading has no figure: no rate under a strict policy, or an amount of too many digits in a sum."""
+    strict, summed = F.lit(policy.unsupported_currency == BLOCK_ANSWER), F.lit(request.agg == "sum")
+    return {
+        name: scope & ~F.col("is_missing") & ((strict & F.col(f"rate_{rate}").isNull()) | (summed & F.col("lost_digits")))
+        for name, (scope, rate) in _scopes("txn_date", "other_date", request).items()
     }
 
 
@@ -87,6 +102,7 @@ def readings(
 ) -> DataFrame:
     """One row: the figure under every reading, and the counters that tell how plausible a reading is.
 
+    A reading is NULL where its own run would be blocked. Counts know no refunds, nor do ledgers without a key.
     `rates` is the raw table, because slash dates in it are read under the format in question too.
     """
     as_given = scan_rates(rates, mapping, policy.date_format)
@@ -96,6 +112,12 @@ def readings(
     values = _values("amount", "txn_date", "other_date", request)
     for name, value in values.items():
         rated = rated.withColumn(f"v_{name}", F.when(F.col("is_missing"), 0).otherwise(value).cast("decimal(29,2)"))
+    for name, withheld in _withheld(policy, request).items():
+        rated = rated.withColumn(f"w_{name}", withheld)
+    if policy.conflicting_duplicate == BLOCK_ANSWER:
+        for name, (scope, _) in _scopes("txn_date", "other_date", request).items():
+            rated = rated.withColumn(f"s_{name}", scope & ~F.col("is_missing"))
+    flags = [c for c in rated.columns if c in {f"{k}_{n}" for k in "ws" for n in values}]
     base_day, other_day = F.col("txn_date"), F.col("other_date")
     ambiguous = F.col("in_scope") & is_ambiguous(base_day, other_day)
     rated = rated.withColumn("ambiguous", ambiguous).withColumn(
@@ -109,7 +131,7 @@ def readings(
         rows_where(valid & proves(other_day, base_day)).alias("only_as_other"),
     ]
     counted = ["scope_rows", "ambiguous_rows", "only_as_given", "only_as_other"]
-    first = first_copies(rated, ["is_missing", "ambiguous", "foreign", *[f"v_{n}" for n in values]], per_copy)
+    first = first_copies(rated, ["is_missing", "ambiguous", "foreign", *[f"v_{n}" for n in values], *flags], per_copy)
     cells = key_cells(
         first,
         [],
@@ -118,6 +140,7 @@ def readings(
             *[F.sum(f"v_{n}").alias(n) for n in values],
             F.sum(F.when(F.col("ambiguous"), F.col("v_base"))).alias("ambiguous_total"),
             rows_where(F.col("foreign")).alias("foreign_rows"),
+            *[rows_where(F.col(c)).alias(c) for c in flags],
         ],
     )
     clean = ~F.col("is_conflict")
@@ -127,13 +150,25 @@ def readings(
         total(F.when(clean, F.col("ambiguous_total"))).alias("ambiguous_total"),
         F.coalesce(F.sum(F.when(clean, F.col("foreign_rows"))), F.lit(0)).cast("bigint").alias("foreign_rows"),
         total(F.when(clean, F.col("base"))).alias("refunds"),
+        *[
+            F.coalesce(F.sum(F.when(clean if c[0] == "w" else F.col("is_conflict"), F.col(c))), F.lit(0)).cast("bigint").alias(c)
+            for c in flags
+        ],
     )
-    if refunds is None:
-        return found
+    if refunds is None or request.agg == "count" or not mapping.key:
+        return _without_blocked(found, flags)
     less = _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, request)
     names = found.columns
     both = found.unionByName(less, allowMissingColumns=True)
-    return both.agg(*[F.sum(c).cast(found.schema[c].dataType).alias(c) for c in names])
+    return _without_blocked(both.agg(*[F.sum(c).cast(found.schema[c].dataType).alias(c) for c in names]), flags)
+
+
+def _without_blocked(found: DataFrame, flags: list[str]) -> DataFrame:
+    def open_only(name: str, reading: str) -> Column:
+        blocked = [F.col(c) > 0 for c in flags if c[2:] == reading]
+        return F.when(~reduce(or_, blocked), F.col(name))
+
+    return found.withColumns({n: open_only(n, "base" if n == "refunds" else n) for n in ["base", *ASSESSMENT]}).drop(*flags)
 
 
 def _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, request) -> DataFrame:
@@ -202,20 +237,20 @@ def exposure(found: DataFrame) -> DataFrame:
 
 
 def materiality(found: DataFrame, request: Request, has_refunds: bool) -> DataFrame:
-    """Adds `worst` (amount), `worst_percent` and the grade: below 0.5 % Low, below 5 % Medium, else High."""
+    """Adds `worst` (amount), `worst_percent` and the grade: below 0.5 % Low, below 5 % Medium, else High; NULL for a blocked figure."""
     sized = exposure(found)
     moves = [
         F.when(_applies(n, request, has_refunds), F.abs(F.col(n) - F.col("base")))
         for n in ASSESSMENT
         if n != "date_format"
     ]
-    worst = F.greatest(F.col("exposed"), *moves).cast(MONEY)
+    worst = F.when(F.col("base").isNotNull(), F.greatest(F.col("exposed"), *moves)).cast(MONEY)
     whole = F.abs(F.col("base"))
     grade = (
         F.when((whole == 0) | (worst * 200 < whole), "Low").when(worst * 20 < whole, "Medium").otherwise("High")
     )
     return (
         sized.withColumn("worst", worst)
-        .withColumn("worst_percent", F.coalesce(percent(worst, F.col("base")), F.lit(0).cast("decimal(38,1)")))
-        .withColumn("materiality", grade)
+        .withColumn("worst_percent", F.when(whole.isNotNull(), F.coalesce(percent(worst, F.col("base")), F.lit(0).cast("decimal(38,1)"))))
+        .withColumn("materiality", F.when(whole.isNotNull(), grade))
     )
