@@ -8,8 +8,8 @@ cell's documents with probability 1, so that the kept tokens have the target sha
 Only cells, not documents, go through the iteration; they are a table in the shared folder, never on the driver. Text null
 counts as no tokens; null source or language is a value of its own. A document without tokens is kept with its
 cell's probability; an empty input gives an empty result; repeated rows are drawn alike, since the draw depends on doc_id,
-text and the seed only. A value without a target keeps its share of what the targets leave; a target for a value the
-corpus lacks is spread over the others in proportion.
+text and the seed only. Values without a target share what the targets leave or, where they leave nothing, keep the share they
+have of the corpus; only a target of 0 removes a value. A target for a value the corpus lacks is spread over the others in proportion.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from tallyproof.llm.staging import staged
 SWEEPS = 4
 MAX_ROUNDS = 8
 TOLERANCE = 1e-6
+#: Targets that leave no more than this are taken to sum to 1.
+ROUNDING = 1e-9
 
-#: Production parameters: explicit language shares, large sources and topics flattened.
+#: Production parameters: explicit language shares, large sources and topics flattened. The language shares sum to 1, so they
+#: hold among these four; other languages, and null, keep their own share of the corpus.
 TARGETS = {"lang": {"en": 0.58, "de": 0.16, "fr": 0.15, "es": 0.11}}
 POWERS = {"source": 0.8, "topic": 0.9}
 DIMENSIONS = ("source", "lang", "topic")
@@ -46,7 +49,8 @@ def topic(text: Column) -> Column:
 def marginal(cells: DataFrame, dimension: str, targets: Mapping[str, float] | None, power: float = 1.0) -> DataFrame:
     """Target share of each value of a dimension, over the values the corpus has; they sum to 1.
 
-    Values without a target share what the targets leave, in proportion to tokens ** power (power 0.5 flattens).
+    Values without a target share what the targets leave, in proportion to tokens ** power (power 0.5 flattens). Targets that
+    leave nothing hold among their own values, and the others keep their part of all tokens ** power.
     """
     sums = cells.groupBy(dimension).agg(F.sum("tokens").cast("double").alias("tokens")).filter("tokens > 0")
     given = F.lit(None).cast("double")
@@ -54,7 +58,9 @@ def marginal(cells: DataFrame, dimension: str, targets: Mapping[str, float] | No
         given = F.when(F.col(dimension) == value, F.lit(float(share))).otherwise(given)
     left = max(0.0, 1.0 - sum((targets or {}).values()))
     rows = sums.select(dimension, given.alias("given"), F.pow("tokens", F.lit(power)).alias("size"))
-    free, fixed = rows.agg(F.sum(F.when(F.col("given").isNull(), F.col("size"))), F.sum("given")).first()
+    free, fixed, size = rows.agg(F.sum(F.when(F.col("given").isNull(), F.col("size"))), F.sum("given"), F.sum("size")).first()
+    if free and left <= ROUNDING:  # as much more than the targets as makes free / size of the whole; all of it where no target counts
+        left = (fixed or 1.0) * free / (size - free) if size > free else 1.0
     whole = (fixed or 0.0) + (left if free else 0.0)
     raw = F.coalesce("given", F.lit(left / free if free else 0.0) * F.col("size"))
     return rows.select(dimension, (raw / F.lit(whole or 1.0)).alias("share"))
