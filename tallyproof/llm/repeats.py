@@ -171,7 +171,8 @@ def anchors(ends: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """
     found: list[tuple[np.ndarray, ...]] = []
     width = REACH + 1
-    for at in range(0, len(data) - LENGTH + 1, STRETCH):
+    # anchors stand up to the last gram, behind the last start of a string; a text shorter than a string has none
+    for at in range(0, len(data) - GRAM + 1 if len(data) >= LENGTH else 0, STRETCH):
         low_at, high_at = max(0, at - REACH), min(len(data), at + STRETCH + LENGTH + REACH)
         total = _gram_hashes(data[low_at:high_at])
         for end in ends[np.searchsorted(ends, low_at, side="right") : np.searchsorted(ends, high_at, side="left")]:
