@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with similar shingle sets the one with the smallest doc_id stays (null last, then the first in the scan)."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    numbered = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "near-numbered")  # a later scan may number anew
     found = jaccard.near_duplicates(numbered, key="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_group"))
     ranked = found.join(numbered.select("_row", "doc_id"), "_row")
     first = ranked.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))["_row"].alias("_first"))

@@ -9,7 +9,7 @@ before the shuffle.
 
 Texts: null counts as empty, empty texts have no ids. Repeated rows and repeated doc_ids are encoded row by row. Only
 the two named columns are read; other columns may have any name. The input should come from files (or a staged table),
-as blocks are cut in scan order.
+as blocks are cut twice in scan order, from partitions that are planned once.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.arrays import binary, frames, hash_rows, offsets_of, pack_ints, pick, pieces, raw, unframe, unpack_ints
-from tallyproof.llm.staging import small_batches
+from tallyproof.llm.staging import planned_once, small_batches
 
 BLOCK_BYTES = 8 << 20
 DECODE_BYTES = 2 << 20
@@ -215,6 +215,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     small_batches(spark)
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = planned_once(rows)
     owned = rows.mapInArrow(_blocks(pattern, documents=False), _ROWS).repartition("owner").sortWithinPartitions("owner")
     coded = owned.mapInArrow(_encode_words(table, pattern), _ROWS)
     whole = rows.mapInArrow(_blocks(pattern, documents=True), _ROWS)

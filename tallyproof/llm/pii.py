@@ -9,8 +9,8 @@ information is at least `bits`). Such words are spans of the kind `term`, wherev
 Contexts that are copies of each other count once, so a document that was copied a thousand times ties no words to its
 entities; a word's documents are all counted.
 
-DataFrame functions only. Null counts as empty; texts without personal data have no spans; rows are told apart by their
-place in the scan, so repeated rows and null doc_ids each get a result; input should come from files (or a staged table).
+DataFrame functions only. Null counts as empty; texts without personal data have no spans; rows are told apart by a number
+that is written with them once, so repeated rows and null doc_ids each get a result.
 The expressions run in time proportional to the text: matches start only where a run of their characters starts, or
 where the last match ended.
 """
@@ -130,16 +130,21 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return hit.select("row", "doc_id", F.lit("term").alias("kind"), (F.col("end") - F.length("x.word")).alias("start"), "end")
 
 
-def numbered(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("body"))
+def _body(text: Column) -> Column:
+    return F.coalesce(text.cast("string"), F.lit(""))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
-    """One row per row of docs: row (its place in the scan), doc_id, spans (kind, start, end; code points, end exclusive).
+    """One row per row of docs: row (its number), doc_id, spans (kind, start, end; code points, end exclusive).
 
     before: the furthest end of a span that starts sooner.
     """
-    rows = numbered(docs, key, text)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), _body(F.col(text)).alias("body"))
+    return _spans(staged(rows, "pii-documents"), **bounds)
+
+
+def _spans(rows: DataFrame, **bounds) -> DataFrame:
+    """rows: row, doc_id, body, as written; another scan of the input may number the rows in another way."""
     matches = staged(base_matches(rows), "pii-matches")
     terms = disclosing_terms(rows, matches, **bounds)
     found = matches.select("row", "doc_id", "kind", "start", "end")
@@ -164,8 +169,9 @@ def report(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", **bounds) -> DataFrame:
     """docs with every span of its texts replaced by its kind in angle brackets; spans that overlap by the first one's."""
-    found = spans(docs, key, text, **bounds).filter(F.size("spans") > 0).select("row", "spans")
-    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    rows = staged(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "pii-documents")
+    bodies = rows.select("row", F.col("doc")[key].alias("doc_id"), _body(F.col("doc")[text]).alias("body"))
+    found = _spans(bodies, **bounds).filter(F.size("spans") > 0).select("row", "spans")
     both = rows.join(found, "row", "left")
     # a text of four bytes per character, from which a piece is cut without walking over what stands before it
     wide = F.when(F.col("spans").isNotNull(), F.encode(F.col(f"doc.{text}").cast("string"), "UTF-32"))
