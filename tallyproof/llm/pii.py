@@ -2,12 +2,15 @@
 
 Four kinds are found by their form (e-mail and IP addresses, payment cards, phone numbers) and checked. Each valid match is a
 protected entity. Which words reveal an entity is estimated from the corpus: a word is tied to an entity if it stands
-near the entity in several different contexts, and it discloses the entity if, given the word, the entity is likely (at
+near the entity (wholly within 60 characters of it) in five or more different contexts, and it discloses the entity if, given the word, the entity is likely (at
 least `likely` of the word's documents hold the entity near it) and far likelier than without it (the pointwise
 information is at least `bits`). Such words are spans of the kind `term`, wherever they stand.
 
-Contexts that are copies of each other count once, so a document that was copied a thousand times ties no words to its
-entities; a word's documents are all counted.
+A word is a run of two or more letters, marks and digits. Scripts that are written without blanks have no such runs: there
+each one, two or three characters in a row are a word, and longer names are covered by their parts.
+
+Contexts that are copies of each other (but for numbers) count once, so a document that was copied a thousand times ties no
+words to its entities; a word's documents are all counted.
 
 DataFrame functions only. Null counts as empty; texts without personal data have no spans; rows are told apart by a number
 that is written with them once, so repeated rows and null doc_ids each get a result.
@@ -28,12 +31,18 @@ KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",  # shorter runs are no cards, and would cut the words around one
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _HINTS = {"email": lambda b: b.contains("@"), "ip": lambda b: b.rlike(r"[0-9]\.[0-9]"), "card": lambda b: b.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda b: b.contains("+")}
 
-WORD = r"\p{L}{4,}"
+#: Characters of scripts without blanks between words: Thai, Lao, Tibetan, Burmese, Khmer, kana and ideographs.
+UNSPACED = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\x{1B000}-\x{1B16F}\x{20000}-\x{3FFFF}"
+_ONE = rf"[\p{{L}}\p{{M}}\p{{N}}&&[{UNSPACED}]]"
+_LETTER = rf"[0-9A-Za-z[\p{{L}}\p{{M}}\p{{N}}&&[^{UNSPACED}]]]"
+WORD = rf"{_LETTER}{{2,}}+|{_ONE}"
+#: Characters in a row that are a word where there are no blanks.
+LONGEST = 3
 CONTEXT_CHARS = 60
 MIN_CONTEXTS = 5
 LIKELY = 0.5
@@ -63,13 +72,31 @@ def valid(kind: Column, match: Column) -> Column:
     )
 
 
+def _end(gap: Column) -> Column:
+    """The last characters of a text, without the rest of a word that begins before them."""
+    return F.when(F.length(gap) <= CONTEXT_CHARS, gap).otherwise(F.regexp_replace(F.right(gap, F.lit(CONTEXT_CHARS + 1)), rf"(?s)\A(?:{_LETTER}++|.)", ""))
+
+
+def _begin(gap: Column) -> Column:
+    """The first characters of a text, without the start of a word that goes on behind them."""
+    return F.when(F.length(gap) <= CONTEXT_CHARS, gap).otherwise(F.regexp_replace(F.left(gap, F.lit(CONTEXT_CHARS + 1)), rf"(?s)(?:(?<!{_LETTER}){_LETTER}++|.)\z", ""))
+
+
+def _words(text: Column) -> Column:
+    """Distinct words of a text in lower case."""
+    low = F.lower(text)
+    rows = [F.regexp_extract_all(low, F.lit(rf"(?=({_ONE}{{{n}}}))"), F.lit(1)) for n in range(2, LONGEST + 1)]
+    found = F.regexp_extract_all(low, F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.when(low.rlike(f"{_ONE}{{2}}"), F.concat(found, *rows)).otherwise(found))
+
+
 def _matches(body: Column, kind: str) -> Column:
     """Matches of a kind with their place, the length of the text since the last one, and what stands around them."""
     found = F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0))
     gaps = F.split(body, PATTERNS[kind], -1)
     rows = F.transform(
         F.arrays_zip(found.alias("match"), gaps.alias("gap"), F.slice(gaps, 2, F.size(gaps)).alias("next")),
-        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["match"].alias("match"), F.length(x["gap"]).alias("skip"), F.concat_ws(" ", F.right(x["gap"], F.lit(CONTEXT_CHARS)), F.left(x["next"], F.lit(CONTEXT_CHARS))).alias("near")),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("i"), x["match"].alias("match"), F.length(x["gap"]).alias("skip"), F.concat_ws(" ", _end(x["gap"]), _begin(x["next"])).alias("near")),
     )
     return F.when(_HINTS[kind](body), F.filter(rows, lambda r: r["match"].isNotNull()))
 
@@ -95,9 +122,9 @@ def _joined(left: DataFrame, right: DataFrame, on: str, how: str, rows: int) ->
 def disclosing_terms(docs: DataFrame, matches: DataFrame, min_contexts: int = MIN_CONTEXTS, likely: float = LIKELY, bits: float = BITS) -> DataFrame | None:
     """term, entity, contexts, together, documents, information of the terms that disclose an entity; None if no term is tied to any."""
     entity = F.when(F.col("kind").isin("card", "phone"), _digits(F.col("match"))).otherwise(F.lower("match"))
-    terms = F.array_distinct(F.regexp_extract_all(F.lower("near"), F.lit(WORD), F.lit(0)))
+    terms = _words(F.col("near"))
     near = matches.filter("kind <> ''").select("row", F.concat_ws(":", "kind", entity).alias("entity"), terms.alias("terms"))
-    near = near.withColumn("context", F.xxhash64(F.array_sort("terms")))
+    near = near.withColumn("context", F.xxhash64(F.array_sort(F.filter("terms", lambda t: ~t.rlike(r"^\p{N}+$")))))
     pairs = near.select("row", "entity", "context", F.explode("terms").alias("term"))
     contexts = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("contexts"))
     together = pairs.groupBy("entity", "term", "row").agg(F.lit(1).alias("n")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("together"))
@@ -105,7 +132,7 @@ def disclosing_terms(docs: DataFrame, matches: DataFrame, min_contexts: int = MI
     n_tied = tied.limit(BROADCAST_TERMS + 1).count()
     if not n_tied:
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = docs.select(F.explode(_words(F.col("body"))).alias("term"))
     spread = _joined(words, tied.select("term").distinct(), "term", "left_semi", n_tied).groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
     held = near.groupBy("entity", "row").agg(F.lit(1).alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
     n_docs = docs.count()
@@ -119,15 +146,25 @@ def _term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Places of the given terms in all texts: row, doc_id, kind, start, end."""
     n_terms = terms.limit(BROADCAST_TERMS + 1).count()
     found = F.regexp_extract_all("body", F.lit(WORD), F.lit(0))
-    words = docs.select("row", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit(WORD), F.lit(0)))).alias("term"))
+    words = docs.select("row", F.explode(_words(F.col("body"))).alias("term"))
     holders = staged(_joined(words, terms, "term", "left_semi", n_terms).select("row").distinct(), "pii-holders")
     n_holders = holders.limit(BROADCAST_TERMS + 1).count()
     gaps = F.transform(F.split("body", WORD, -1), lambda g: F.length(g))
     rows = _joined(docs, holders, "row", "left_semi", n_holders).select("row", "doc_id", F.posexplode(F.arrays_zip(found.alias("word"), gaps.alias("skip"))).alias("i", "x")).filter("x.word is not null")
     so_far = Window.partitionBy("row").orderBy("i")
-    rows = rows.withColumn("end", F.sum(F.col("x.skip") + F.length("x.word")).over(so_far)).withColumn("term", F.lower("x.word"))
+    rows = rows.select("row", "doc_id", "i", F.col("x.word").alias("word"), F.sum(F.col("x.skip") + F.length("x.word")).over(so_far).alias("end"))
+    rows = rows.withColumn("start", F.col("end") - F.length("word"))
+    # where there are no blanks, a word also goes on over the characters behind it
+    order = Window.partitionBy("row").orderBy("i")
+    alone = lambda n: F.lead("word", n).over(order).rlike(rf"\A{_ONE}\z") & (F.lead("start", n).over(order) == F.col("end") + n - 1)
+    longer, goes_on, word = [], F.col("word").rlike(rf"\A{_ONE}\z"), F.col("word")
+    for n in range(1, LONGEST):
+        goes_on, word = goes_on & alone(n), F.concat(word, F.lead("word", n).over(order))
+        longer.append(F.when(goes_on, F.struct(word.alias("word"), (F.col("end") + n).alias("end"))))
+    rows = rows.select("row", "doc_id", "start", F.array(F.struct("word", "end"), *longer).alias("words"))
+    rows = rows.select("row", "doc_id", "start", F.inline(F.filter("words", lambda w: w.isNotNull()))).withColumn("term", F.lower("word"))
     hit = _joined(rows, terms, "term", "left_semi", n_terms)
-    return hit.select("row", "doc_id", F.lit("term").alias("kind"), (F.col("end") - F.length("x.word")).alias("start"), "end")
+    return hit.select("row", "doc_id", F.lit("term").alias("kind"), "start", "end")
 
 
 def _body(text: Column) -> Column:
