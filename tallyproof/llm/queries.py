@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality, repeats
+from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality, repeats, sharding
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,21 @@ def op8_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every text that repeat a string of an earlier document."""
     return repeats.remove_repeats(_documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written to one of 8 shards by its doc_id, with its slot there, and its shard if there were 9."""
+    docs, path = _documents(spark, sf_dir).select("doc_id", "text"), folder(spark, "shards")
+    sharding.write(docs, path, 8, "doc_id")
+    text = F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))
+    placed = sharding.slots(spark, path, sharding.store_schema(docs))
+    return placed.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        F.col(sharding.SHARD).alias("shard"),
+        "slot",
+        sharding.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
+    )

@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own() -> str:
+    return tempfile.mkdtemp(prefix="llm-")
+
+
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path below spark.checkpoint.dir. Only where that is unset, as in tests, a local folder is taken."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a session of one machine gets a folder of its own; a cluster is refused."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
