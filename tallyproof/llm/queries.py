@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, pii, planes, quality, repeats, sharding
+from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, negatives, pii, planes, quality, repeats, sharding
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,36 @@ def op13_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         sharding.shard_of(F.col("doc_id"), 9).alias("grown_shard"),
     )
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, for each of its five nearest of the same label."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH given AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+pairs AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, o.r AS r, o.vec_id, a.label = o.label AS same, list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM given a JOIN given o ON a.r <> o.r AND len(a.v) = len(o.v)
+  WHERE a.vec_id % 100 = 0
+),
+positive AS (
+  SELECT ar, anchor_id, r AS pr, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, r) <= 5
+)
+SELECT p.anchor_id, p.positive_id,
+       CAST(row_number() OVER (PARTITION BY p.ar, p.pr ORDER BY n.score DESC, n.vec_id NULLS LAST, n.r) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positive p JOIN pairs n ON n.ar = p.ar AND NOT n.same
+WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
+QUALIFY rank <= 10
+"""
