@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.llm import bpe, classifier, epsilon, jaccard, licenses, mixing, negatives, pii, planes, quality, repeats, sharding
+from tallyproof.llm import alignment, bpe, classifier, epsilon, jaccard, licenses, mixing, negatives, pii, planes, quality, repeats, sharding
 from tallyproof.llm.staging import folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,10 @@ FROM positive p JOIN pairs n ON n.ar = p.ar AND NOT n.same
 WHERE 30 * p.positive_score <= 100 * n.score AND 100 * n.score <= 90 * p.positive_score
 QUALIFY rank <= 10
 """
+
+
+@query
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between the tokens of two tokenizers in every text."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.report(alignment.align_corpus(_documents(spark, sf_dir), *files), *files)
