@@ -307,8 +307,7 @@ def align_corpus(docs: DataFrame, byte_json: str, piece_model: str, key: str = "
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows.mapInArrow(_align_blocks(files), _ALIGNED).write.bucketBy(buckets, "block").option("path", folder(spark, "aligned")).option("compression", "none").saveAsTable(name)
     aligned = spark.table(name)
-    aligned.schema  # resolved, so the files stay readable when the name goes
-    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE {name}")  # an external one: its files stay, and aligned is resolved already
     return aligned
 
 

@@ -49,7 +49,9 @@ def write_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = rows.mapInArrow(_pack, "block bigint, body binary")
     packed.write.bucketBy(buckets, "block").option("path", folder(spark, "blocks")).option("compression", "none").saveAsTable(name)
-    return spark.table(name)
+    blocks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # an external one: its files stay, and blocks is resolved already
+    return blocks
 
 
 def open_block(block: int, body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

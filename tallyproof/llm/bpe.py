@@ -1,15 +1,15 @@
 """Byte-level BPE encoding and decoding by a global shuffle of distinct words.
 
 A word is a piece of text that begins with the space before it; the pattern that splits text never matches across
-the start of one, so a text's tokens are the tokens of its words. Tasks cut blocks of documents into words,
-keep each document as the sequence of its words' numbers within the block, and send every distinct word of the block
-the task that owns it. There each distinct word is encoded once, however many blocks hold it; its ids go back to
-the blocks, where documents are put together by position. A block sends a word once, so common words are aggregated
-before the shuffle.
-
-Texts: null counts as empty, empty texts have no ids. Repeated rows and repeated doc_ids are encoded row by row. Only
-the two named columns are read; other columns may have any name. The input should come from files (or a staged table),
-as blocks are cut twice in scan order, from partitions that are planned once.
+the start of one, so a text's tokens are the tokens of its words (known of the usual pattern only: with any other one a
+word is a match). Documents are written once in blocks of a few megabytes. Tasks cut them into words and send every
+distinct word of a block to the task that owns it. There each distinct word is encoded once, however many
+blocks hold it; its ids go back to the blocks, where documents are put together by position. A block sends a word once, so
+common words are aggregated before the shuffle, and the texts themselves are never shuffled.
+
+Texts: null counts as empty, empty texts have no ids, a very long text is a block by itself. An empty table gives no rows.
+Repeated rows and repeated doc_ids are encoded row by row. Only the two named columns are read; other columns may have
+any name.
 """
 
 from __future__ import annotations
@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.llm.arrays import binary, frames, hash_rows, offsets_of, pack_ints, pick, pieces, raw, unframe, unpack_ints
-from tallyproof.llm.staging import planned_once, small_batches
+from tallyproof.llm.blocks import open_block, write_blocks
+from tallyproof.llm.staging import small_batches
 
-BLOCK_BYTES = 8 << 20
 DECODE_BYTES = 2 << 20
-#: Words are dealt over so many owners by hash; an owner keeps its distinct words in memory, so raise this with the vocabulary.
-OWNERS = 256
+#: Words are dealt over owners by hash, an owner keeping its distinct words in memory: at least so many owners, and more for more blocks.
+OWNERS = 64
+BLOCKS_PER_OWNER = 4096
+
+# Fixed value: the pattern known not to match across the start of a word.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 # The white space of the splitting pattern (Unicode White_Space), written out because Python's \s has more.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -58,10 +62,11 @@ def splitter(pattern: str):
     return regex.compile(inside.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
 
 
-def _words(texts: pa.Array, split) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _words(texts: pa.Array, pattern: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct words of some texts, the word numbers of all texts in order, and how many each text has."""
+    split = splitter(pattern)
     # a space before other white space, or at the end, does not begin a word: such texts are split by the pattern itself
-    odd = pc.match_substring_regex(texts, f" [{_SPACE_RE2}]| $").to_numpy(zero_copy_only=False)
+    odd = pc.match_substring_regex(texts, f" [{_SPACE_RE2}]| $").to_numpy(zero_copy_only=False) | (pattern != _USUAL)
     plain = texts.filter(pa.array(~odd))
     lists = pc.split_pattern(plain, " ")
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -91,57 +96,44 @@ def _words(texts: pa.Array, split) -> tuple[list[str], np.ndarray, np.ndarray]:
     return words + list(extra), numbers, lengths
 
 
-UNSTABLE = "a block lost its words or documents: the input's rows do not come in a stable order; write the input to files first"
+_CODED = "owner int, block bigint, payload binary"
+
 
-_ROWS = "owner int, block string, n_words int, payload binary"
-_FIELDS = ["owner", "block", "n_words", "payload"]
+def _texts(body: bytes) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Null flags, doc_ids and texts of a block."""
+    _, null, keys, ends, data = open_block(0, body)
+    return null, keys, binary(ends, data).cast(pa.string())
 
 
-def _blocks(pattern: str, documents: bool):
-    """For each owner a row with the sorted distinct words of a block that it encodes; or one row with the block's documents.
+def _owned(texts: pa.Array, pattern: str, owners: int):
+    """Distinct words sorted by owner and word (their ends and bytes), where each owner's begin, word numbers, words per text.
 
-    Words used once in the block are numbered by appearance and stand in the stream as 0; the others by falling use.
-    Both kinds are cut from the texts by themselves: that costs less than shuffling the documents along with the words.
+    Depends on the texts alone, so the words sent away and the documents put together later are numbered alike.
     """
+    words, numbers, lengths = _words(texts, pattern)
+    table = pa.array(words, pa.string())
+    offsets, flat = raw(table)
+    owner = (hash_rows(offsets, flat) % np.uint64(owners)).astype(np.int64)
+    rank = np.empty(len(words), dtype=np.int64)
+    rank[pc.sort_indices(table).to_numpy()] = np.arange(len(words))
+    order = np.lexsort((rank, owner))
+    counts, flat = pick(offsets, flat, order)
+    turn = np.empty(len(words), dtype=np.int64)
+    turn[order] = np.arange(len(words))
+    return offsets_of(counts), flat, np.searchsorted(owner[order], np.arange(owners + 1)), turn[numbers], lengths
+
+
+def _send_words(pattern: str, owners: int):
+    """For each owner a row with the sorted distinct words of a block that it encodes."""
 
     def run(batches):
-        split = splitter(pattern)
         pack = zstandard.ZstdCompressor(level=3)
-        for batch in pieces(batches, "text", BLOCK_BYTES):
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            keys = ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
-            # a block is named by what it holds, so the two kinds only meet if both scans cut the same blocks
-            at, data = raw(batch.column("text"))
-            block = hashlib.blake2b(null.tobytes() + keys.tobytes() + at.tobytes() + data.tobytes(), digest_size=16).hexdigest()
-            words, numbers, lengths = _words(batch.column("text").cast(pa.string()).fill_null(""), split)
-            uses = np.bincount(numbers, minlength=len(words))
-            common = np.argsort(-uses, kind="stable")[: int((uses > 1).sum())]
-            place = np.zeros(len(words), dtype=np.uint32)
-            place[common] = np.arange(1, len(common) + 1, dtype=np.uint32)
-            stream = place[numbers]
-            used = np.concatenate([common, numbers[stream == 0]])
-            table = pa.array(words, pa.string()).take(pa.array(used))
-            offsets, flat = raw(table)
-            owner = (hash_rows(offsets, flat) % np.uint64(OWNERS)).astype(np.int32)
-            rank = np.empty(len(used), dtype=np.int64)
-            rank[pc.sort_indices(table).to_numpy()] = np.arange(len(used))
-            order = np.lexsort((rank, owner))
-            counts, flat = pick(offsets, flat, order)
-            ends = offsets_of(counts)
-            at = np.searchsorted(owner[order], np.arange(OWNERS + 1))
-            if documents:
-                turn = np.empty(len(used), dtype=np.int64)
-                turn[order] = np.arange(len(used))
-                docs = frames(null.tobytes(), keys.tobytes(), lengths.astype("<u4").tobytes())
-                body = frames(pack.compress(docs), pack_ints(stream), pack_ints(turn), len(common).to_bytes(8, "little"))
-                owners, sizes, rows = [0], [len(used)], [body]
-            else:
-                owners = np.flatnonzero(np.diff(at)).tolist()
-                rows = [pack.compress(frames(counts[at[o] : at[o + 1]].astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in owners]
-                sizes = [None] * len(rows)
-            columns = [pa.array(owners, pa.int32()), pa.array([block] * len(rows), pa.string()), pa.array(sizes, pa.int32()), pa.array(rows, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, _FIELDS)
+        for batch in batches:
+            for block, body in zip(batch.column("block").to_pylist(), batch.column("body").to_pylist()):
+                ends, flat, at, _, _ = _owned(_texts(body)[2], pattern, owners)
+                some = np.flatnonzero(np.diff(at)).tolist()
+                rows = [pack.compress(frames(np.diff(ends[at[o] : at[o + 1] + 1]).astype("<u4").tobytes(), flat[ends[at[o]] : ends[at[o + 1]]].tobytes())) for o in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array(rows, pa.binary())], ["owner", "block", "payload"])
 
     return run
 
@@ -170,40 +162,29 @@ def _encode_words(table, pattern: str):
                 coded = [known[word] for word in words]
                 ids = np.fromiter(itertools.chain.from_iterable(coded), dtype=np.uint32)
                 out.append(frames(pack_ints(np.array([len(c) for c in coded])), pack_ints(ids)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], _FIELDS)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["owner", "block", "payload"])
 
     return run
 
 
-def _assemble(group: pa.Table) -> pa.Table:
-    """Documents of one block: word numbers are replaced by the words' ids."""
-    owners, n_words = group.column("owner").to_numpy(), group.column("n_words").to_pylist()
-    wholes = [i for i, n in enumerate(n_words) if n is not None]
-    if not wholes:
-        raise RuntimeError(UNSTABLE)
-    whole = wholes[0]  # more than one: blocks of the same rows, which are all returned
-    by_owner = {int(owners[i]): i for i, n in enumerate(n_words) if n is None}
-    order = [by_owner[o] for o in sorted(by_owner)]
-    parts = [[unpack_ints(x) for x in unframe(group.column("payload")[i].as_py())] for i in order]
-    empty = [np.zeros(0, np.uint32)]
-    lengths, flat = (np.concatenate([p[k] for p in parts] or empty) for k in (0, 1))
-    if len(lengths) != n_words[whole]:
-        raise RuntimeError(UNSTABLE)
-    docs, stream, turn, common = unframe(group.column("payload")[whole].as_py())
-    null, keys, words = unframe(zstandard.ZstdDecompressor().decompress(docs))
-    stream, turn, common = unpack_ints(stream).astype(np.int64), unpack_ints(turn), int.from_bytes(common, "little")
-    once = stream == 0
-    stream[once] = np.arange(common + 1, common + 1 + int(once.sum()))
-    per_word, ids = pick(offsets_of(lengths), flat, turn[stream - 1])
-    ends = offsets_of(per_word)[offsets_of(np.frombuffer(words, "<u4"))]
-    docs = pa.table(
-        {
-            "doc_id": pa.array(np.frombuffer(keys, "<i8"), mask=np.frombuffer(null, bool)),
-            "n_tokens": pa.array(np.diff(ends), pa.int64()),
-            "ids": binary(ends * 4, ids),
-        }
-    )
-    return pa.concat_tables([docs] * len(wholes))
+def _assemble(pattern: str, owners: int):
+    """Documents of blocks: word numbers are replaced by the words' ids, which the owners have sent."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(len(batch)):
+                null, keys, texts = _texts(batch.column("body")[i].as_py())
+                _, _, at, stream, words = _owned(texts, pattern, owners)
+                coded = sorted(batch.column("coded")[i].as_py() or [], key=lambda c: c["owner"])
+                parts = [[unpack_ints(x) for x in unframe(c["payload"])] for c in coded]
+                lengths, flat = (np.concatenate([p[k] for p in parts] or [np.zeros(0, np.uint32)]) for k in (0, 1))
+                if len(lengths) != at[-1]:
+                    raise RuntimeError("a block did not get the ids of all its words back")
+                per_word, ids = pick(offsets_of(lengths), flat, stream)
+                ends = offsets_of(per_word)[offsets_of(words)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=null), pa.array(np.diff(ends), pa.int64()), binary(ends * 4, ids)], ["doc_id", "n_tokens", "ids"])
+
+    return run
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -212,14 +193,13 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     ranks_path is read on the driver and broadcast; a vocabulary is of fixed size, whatever the corpus.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     table = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = planned_once(rows)
-    owned = rows.mapInArrow(_blocks(pattern, documents=False), _ROWS).repartition("owner").sortWithinPartitions("owner")
-    coded = owned.mapInArrow(_encode_words(table, pattern), _ROWS)
-    whole = rows.mapInArrow(_blocks(pattern, documents=True), _ROWS)
-    return coded.unionAll(whole).groupBy("block").applyInArrow(_assemble, ENCODED)
+    blocks = write_blocks(docs, key, text)
+    owners = max(OWNERS, blocks.select("block").count() // BLOCKS_PER_OWNER)
+    owned = blocks.mapInArrow(_send_words(pattern, owners), _CODED).repartition("owner").sortWithinPartitions("owner")
+    coded = owned.mapInArrow(_encode_words(table, pattern), _CODED)
+    told = coded.groupBy("block").agg(F.collect_list(F.struct("owner", "payload")).alias("coded"))  # one per owner, a block's words in all
+    return blocks.join(told, "block", "left").select("body", "coded").mapInArrow(_assemble(pattern, owners), ENCODED)
 
 
 class Vocabulary:

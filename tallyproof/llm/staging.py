@@ -40,10 +40,3 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def planned_once(df: DataFrame) -> DataFrame:
-    """df with its file splits (or shuffles) planned now, so that all scans of it see the same partitions, whatever executors come and go."""
-    spark = df.sparkSession
-    rows = df._jdf.queryExecution().toRdd()
-    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, df._jdf.schema(), False), spark)
