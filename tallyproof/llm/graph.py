@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tallyproof.llm.staging import staged
@@ -42,26 +42,23 @@ def _local(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (a, b): root is the smallest node of its component.
 
-    Alternating large and small stars: in each round every node's larger neighbours are linked to its smallest one, then its
-    smaller ones are. A node with many links is only ever aggregated to its smallest neighbour and joined back, which
-    adaptive execution can split.
+    Links point from the larger node to the smaller one. In each round a link to a node that points further on is moved there,
+    links are dealt by their larger node, and what meets in a task is made stars around its smallest node. A node that many
+    others point to is never gathered: links are dealt by the node they start from, and adaptive execution can split the join.
+    One table is written per round.
     """
     shape = "a bigint, b bigint"
-    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b")
-    edges = staged(edges.mapInArrow(_local, shape).repartition("b").mapInArrow(_local, shape).distinct(), "links")
+    edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").mapInArrow(_local, shape)
     before = None
     for _ in range(MAX_ROUNDS):
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = staged(large, "links")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        edges = staged(small.unionAll(least.select("a", F.col("m").alias("b"))).distinct(), "links")
-        after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if after == before:
+        seen = Observation()
+        stars = edges.repartition("a").mapInArrow(_local, shape)
+        edges = staged(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "links")
+        if seen.get == before:
             break
-        before = after
+        before = seen.get
+        further = edges.select(F.col("a").alias("b"), F.col("b").alias("next"))
+        edges = edges.join(further, "b", "left").select("a", F.coalesce("next", "b").alias("b"))
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -1,24 +1,27 @@
 """Documents whose sets of five-word shingles are similar, by an n-gram join over vertical fragments.
 
-All shingles stand in one global order. A document's prefix is so long that two documents of similarity 0.75 must share a
-shingle of both prefixes, so only documents that meet there are candidates. For the candidates the order is cut into
-fragments; each task counts the overlap of its candidate pairs within one fragment of their sets, and the counts are
-summed per pair and compared with the exact bound in whole numbers.
-
-To stay linear on groups of copies, the join runs in rounds. Equal sets are one representative. In the first round
-representatives that share small shingles are compared with one of them, the one whose shingles are shared most widely
-(the text that the others were made from, if there is one), and what is found similar is connected. The second round
-is the complete prefix join, but leaves out pairs that are connected already, and pairs the first round compared. A pair
-must share a shingle so early in both sets that the overlap it needs can still follow. What is left is verified,
-so the components are exact.
-
-The order puts shingles that a sample of the documents suggests to be frequent last, so that passages of many documents
+All shingles stand in one global order, which is cut into a fixed number of fragments. For every candidate pair the
+part of both sets within a fragment is compared by itself, in a task of its own, and the partial overlaps are summed per pair and
+held against the exact bound in whole numbers. Of a candidate pair one document is the hub and the other a leaf; the hub's
+part is sent once to each fragment and salt it has leaves in, a leaf's part to the fragments of its hub, and a
+task holds one hub's part and streams the leaves past it. So a hub with very many leaves is spread over fragments and
+salts, and no task gathers a group.
+
+Candidates come from prefixes: a document's prefix is so long that two documents of similarity 0.75 must share a
+shingle of both prefixes. To stay linear on groups of copies, this goes in rounds. Equal sets are one representative. In the first
+round representatives that share small shingles are compared with one of them, the one whose shingles are shared
+most widely (the text that the others were made from, if there is one), and those found similar take its label. The
+second round is the complete prefix join, but leaves out pairs of the same label and pairs the first round compared. A
+pair must share a shingle so early in both sets that the overlap it needs can still follow. What is left is verified,
+and one search for components ends it, so the components are exact.
+
+The prefix order puts shingles that a sample of the documents suggests to be frequent last, so that passages of many documents
 do not fill the prefixes. Any order gives the same result; the marks of frequent shingles are a bitmap of fixed size.
 
 Shingles are 64-bit hashes of their words, 48 bits of them where two sets are compared. Null and empty texts have no
-shingles and link with nothing; a text of one to four words has its whole sequence as its one shingle; rows with the
-same doc_id are documents of their own (a null doc_id too) and component_id is the smallest doc_id of a component, null if
-it has none. Other columns are not read.
+shingles and link with nothing; a text of one to four words has its whole sequence as its one shingle; a very long text is a
+block by itself; rows with the same doc_id are documents of their own (a null doc_id too) and component_id is the smallest
+doc_id of a component, null if it has none. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from tallyproof.llm.staging import staged
 WORDS = 5
 PERCENT = 75
 SKETCH = 12
-#: Shingles of a candidate component that one task compares; a larger component is cut into fragments of about this size.
-FRAGMENT = 2_000_000
+#: Vertical fragments of the global order.
+FRAGMENTS = 8
 SAMPLED = 16
 MARK_BITS = 24
 
@@ -167,75 +170,65 @@ def _prefixes(shared):
     return run
 
 
-_SIX = np.uint64(16)  # bits dropped from a hash where sets are compared
+SIX = 6  # bytes of a shingle's hash that are compared, the leading ones
+
+_REQUEST = "hub bigint, salt int, leaf bigint, total bigint, weight bigint"
+_SEGMENTS = "fragment int, hub bigint, salt int, leaf bigint, total bigint, weight bigint, segment binary"
 
 
 def _segments(batches):
-    """Sets of the wanted documents, cut into the fragments of their candidate component."""
-    for rows, _, _, ends, hashes, wanted in _each(batches, lambda rows, wanted: np.array(sorted(w["row"] for w in wanted), dtype=np.int64) - rows[0]):
-        short = hashes >> _SIX
+    """For each request of a block's documents, the document's shingles within each fragment, in global order."""
+    bounds = np.array([-(-(k << 64) // FRAGMENTS) for k in range(1, FRAGMENTS)], dtype=np.uint64)
+    schema = pa.schema([("fragment", pa.int32()), ("hub", pa.int64()), ("salt", pa.int32()), ("leaf", pa.int64()), ("total", pa.int64()), ("weight", pa.int64()), ("segment", pa.binary())])
+    for rows, _, _, ends, hashes, wanted in _each(batches, lambda rows, wanted: np.unique(np.array([w["row"] for w in wanted], dtype=np.int64)) - rows[0]):
+        place = {r: i for i, r in enumerate(rows.tolist())}
+        lead = np.ascontiguousarray(hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :SIX])
+        parts = []
+        for i in range(len(rows)):
+            own = hashes[ends[i] : ends[i + 1]]
+            cuts = [0, *np.searchsorted(own, bounds).tolist(), len(own)]
+            parts.append([lead[ends[i] + a : ends[i] + b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])])
         out: list[tuple] = []
-        for i, w in enumerate(sorted(wanted, key=lambda w: w["row"])):
-            own = short[ends[i] : ends[i + 1]]
-            cuts = np.searchsorted(own, np.array([-(-(k << 48) // w["parts"]) for k in range(w["parts"] + 1)], dtype=np.uint64))
-            for k in range(w["parts"]):
-                part = own[cuts[k] : cuts[k + 1]]
-                out.append((w["cc"], k, w["row"], np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()))
-        for at in range(0, len(out), 512):
-            yield pa.RecordBatch.from_pylist([dict(zip(("cc", "part", "a", "segment"), r)) for r in out[at : at + 512]], schema=pa.schema([("cc", pa.int64()), ("part", pa.int32()), ("a", pa.int64()), ("segment", pa.binary())]))
+        for w in wanted:
+            out += [(k, w["hub"], w["salt"], w["leaf"], w["total"], w["weight"], part) for k, part in enumerate(parts[place[w["row"]]])]
+        for at in range(0, len(out), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 4096]), schema)], schema=schema)
 
 
 def _overlaps(batches):
-    """Rows sorted by component and fragment, segments before pairs: overlap of each pair within the fragment."""
-    key, sets = None, {}
+    """Rows sorted by fragment, hub and salt, the hub's part first: each leaf's overlap with it within the fragment."""
+    held: set[bytes] = set()
+    split = lambda segment: [segment[i : i + SIX] for i in range(0, len(segment), SIX)]
     for batch in batches:
-        found: list[tuple[int, int, int]] = []
-        for cc, part, a, b, segment in zip(*(batch.column(c).to_pylist() for c in ("cc", "part", "a", "b", "segment"))):
-            if (cc, part) != key:
-                key, sets = (cc, part), {}
-            if segment is not None:
-                six = np.zeros((len(segment) // 6, 8), dtype=np.uint8)
-                six[:, :6] = np.frombuffer(segment, np.uint8).reshape(-1, 6)
-                sets[a] = six.view(np.uint64).ravel()
-            else:
-                both = np.concatenate([sets[a], sets[b]])
-                both.sort()
-                found.append((a, b, int((both[1:] == both[:-1]).sum())))
+        found: list[tuple] = []
+        for hub, leaf, total, weight, segment in zip(*(batch.column(c).to_pylist() for c in ("hub", "leaf", "total", "weight", "segment"))):
+            if leaf is None:
+                held = set(split(segment))
+            elif overlap := sum(map(held.__contains__, split(segment))):
+                found.append((hub, leaf, total, weight, overlap))
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b", "overlap"])
-
-
-def _similar(overlap: Column, na: Column, nb: Column) -> Column:
-    return 100 * overlap >= PERCENT * (na + nb - overlap)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["hub", "leaf", "total", "weight", "overlap"])
 
 
 def verify(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar. Each document's set is sent once, to the tasks of its candidate component."""
-    places = components(pairs)
-    sizes = pairs.select(F.col("a").alias("node"), F.col("na").alias("n")).unionAll(pairs.select("b", "nb")).distinct()
-    nodes = staged(sizes.join(places, "node"), "candidates")
-    parts = nodes.groupBy("root").agg((1 + F.floor(F.sum("n") / FRAGMENT)).cast("int").alias("parts"))
-    nodes = nodes.join(parts, "root")
-    wanted = nodes.groupBy(block_of(F.col("node")).alias("block")).agg(F.collect_list(F.struct(F.col("node").alias("row"), F.col("root").alias("cc"), "parts")).alias("wanted"))
-    segments = blocks.join(wanted, "block").mapInArrow(_segments, "cc bigint, part int, a bigint, segment binary")
-    asked = pairs.select("a", "b").join(nodes.select(F.col("node").alias("a"), F.col("root").alias("cc"), "parts"), "a")
-    asked = asked.select("cc", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a", "b")
-    rows = segments.withColumn("b", F.lit(None).cast("bigint")).unionByName(asked.withColumn("segment", F.lit(None).cast("binary")))
-    dealt = rows.repartition("cc", "part").sortWithinPartitions("cc", "part", F.col("b").asc_nulls_first())
-    counted = dealt.mapInArrow(_overlaps, "a bigint, b bigint, overlap bigint").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    return pairs.join(counted, ["a", "b"]).filter(_similar(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+    """hub, leaf, weight of the pairs (hub, leaf, total, weight) that are similar; total is the sum of both sizes."""
+    salts = max(8, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FRAGMENTS)
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("leaf"), F.lit(salts)).cast("int"))
+    nothing = F.lit(None).cast("bigint")
+    asked = pairs.select(F.col("leaf").alias("row"), "hub", "salt", "leaf", "total", "weight")
+    asked = asked.unionAll(pairs.select(F.col("hub").alias("row"), "hub", "salt", nothing, nothing, nothing).distinct())
+    wanted = asked.groupBy(block_of(F.col("row")).alias("block")).agg(F.collect_list(F.struct("row", "hub", "salt", "leaf", "total", "weight")).alias("wanted"))
+    segments = blocks.join(wanted, "block").mapInArrow(_segments, _SEGMENTS)
+    dealt = segments.repartition("fragment", "hub", "salt").sortWithinPartitions("fragment", "hub", "salt", F.col("leaf").asc_nulls_first())
+    partial = dealt.mapInArrow(_overlaps, "hub bigint, leaf bigint, total bigint, weight bigint, overlap bigint")
+    counted = partial.groupBy("hub", "leaf", "total", "weight").agg(F.sum("overlap").alias("overlap"))
+    return counted.filter(100 * F.col("overlap") >= PERCENT * (F.col("total") - F.col("overlap"))).select("hub", "leaf", "weight")
 
 
 def _sizes_fit(one: str, two: str) -> Column:
     return 100 * F.least(one, two) >= PERCENT * F.greatest(one, two)
 
 
-def _ordered(left: str, right: str) -> list[Column]:
-    swap = F.col(f"{left}row") > F.col(f"{right}row")
-    pick = lambda c, one, two: F.when(swap, F.col(f"{two}{c}")).otherwise(F.col(f"{one}{c}"))
-    return [pick("row", left, right).alias("a"), pick("row", right, left).alias("b"), pick("n", left, right).alias("na"), pick("n", right, left).alias("nb")]
-
-
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, and row, which tells rows of the same doc_id apart."""
     spark = docs.sparkSession
@@ -243,42 +236,48 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     described = staged(blocks.mapInArrow(_describe, "row bigint, doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch array<bigint>"), "shingle-sets")
     filled = described.filter("n > 0")
     same = filled.groupBy("n", "s1", "s2").agg(F.min("row").alias("rep"))
-    copies = staged(filled.join(same, ["n", "s1", "s2"]).select("row", "rep", "n", "sketch"), "copies")
+    copies = staged(filled.join(same, ["n", "s1", "s2"]).select("row", "doc_id", "rep", "n", F.when(F.col("row") == F.col("rep"), F.col("sketch")).alias("sketch")), "copies")
     reps = copies.filter("row = rep").select("row", "n", "sketch")
 
     # first round: stars around the document with the most widely shared small shingles
-    spread = staged(reps.select("row", "n", F.explode("sketch").alias("shingle")), "sketches")
+    spread = reps.select("row", "n", F.explode("sketch").alias("shingle"))
     common = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     spread = staged(spread.join(common, "shingle"), "shared-sketches")
     fame = spread.groupBy("row", "n").agg(F.sum("df").alias("fame"), F.count(F.lit(1)).alias("met"))
-    spread = spread.select("row", "shingle").join(fame.filter(2 * F.col("met") >= F.least(F.col("n"), F.lit(SKETCH))), "row")
+    famous = fame.filter(2 * F.col("met") >= F.least(F.col("n"), F.lit(SKETCH))).select("row", "fame")
+    spread = staged(spread.join(famous, "row").select("row", "n", "shingle", "fame"), "famous-sketches")
     centre = spread.groupBy("shingle").agg(F.max(F.struct("fame", (-F.col("row")).alias("turn"), "n")).alias("top"))
-    stars = spread.join(centre, "shingle").select(F.col("row").alias("l_row"), F.col("n").alias("l_n"), (-F.col("top.turn")).alias("r_row"), F.col("top.n").alias("r_n"))
-    first = staged(stars.filter((F.col("l_row") != F.col("r_row")) & _sizes_fit("l_n", "r_n")).select(*_ordered("l_", "r_")).distinct(), "first-pairs")
+    stars = spread.join(centre, "shingle").select((-F.col("top.turn")).alias("hub"), F.col("row").alias("leaf"), F.col("n").alias("l_n"), F.col("top.n").alias("r_n"), F.col("top.fame").alias("weight"))
+    first = stars.filter((F.col("hub") != F.col("leaf")) & _sizes_fit("l_n", "r_n")).select("hub", "leaf", (F.col("l_n") + F.col("r_n")).alias("total"), "weight").distinct()
+    first = staged(first, "first-pairs")
     links = staged(verify(first, blocks), "first-links")
-    joined = staged(components(links), "first-components")
+    # the most famous similar hub is a document's label, or that hub's own one
+    label = links.groupBy(F.col("leaf").alias("row")).agg((-F.max(F.struct("weight", (-F.col("hub")).alias("turn")))["turn"]).alias("root"))
+    label = staged(label, "labels")
+    above = label.select(F.col("row").alias("root"), F.col("root").alias("next"))
+    label = label.join(above, "root", "left").select("row", F.coalesce("next", "root").alias("root"))
 
-    # second round: all pairs that share a prefix shingle and are not connected yet
+    # second round: all pairs that share a prefix shingle and do not have the same label yet
     marks = spark.sparkContext.broadcast(_marks(spark, blocks))
     prefix = "shingle bigint, row bigint, place int"
     shingles = blocks.mapInArrow(_prefixes(marks), prefix).repartition("shingle").sortWithinPartitions("shingle")
-    members = shingles.mapInArrow(_repeated, prefix).join(reps.select("row", "n"), "row")
-    members = members.join(joined.withColumnRenamed("node", "row"), "row", "left").select("shingle", "row", "n", "place", F.coalesce("root", "row").alias("root"))
-    members = staged(members, "prefix-members")
+    labelled = reps.select("row", "n").join(label, "row", "left").select("row", "n", F.coalesce("root", "row").alias("root"))
+    members = staged(shingles.mapInArrow(_repeated, prefix).join(labelled, "row"), "prefix-members")
     open_shingles = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     open_members = staged(members.join(open_shingles, "shingle"), "open-members")
     l, r = (open_members.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "place", "root")]) for s in "lr")
     # the first shingle two similar sets share leaves enough of either set behind it for the overlap they must have
-    need = F.ceil(F.lit(PERCENT) * (F.col("l_n") + F.col("r_n")) / F.lit(float(100 + PERCENT)) - F.lit(1e-9))
+    total = F.col("l_n") + F.col("r_n")
+    need = F.ceil(F.lit(PERCENT) * total / F.lit(float(100 + PERCENT)) - F.lit(1e-9))
     early = (F.col("l_place") <= F.col("l_n") - need) & (F.col("r_place") <= F.col("r_n") - need)
     near = (F.col("l_row") < F.col("r_row")) & (F.col("l_root") != F.col("r_root")) & _sizes_fit("l_n", "r_n") & early
-    second = l.join(r, "shingle").filter(near).select(*_ordered("l_", "r_")).distinct()
-    second = staged(second.join(first.select("a", "b"), ["a", "b"], "left_anti"), "second-pairs")
+    second = l.join(r, "shingle").filter(near).select(F.col("l_row").alias("hub"), F.col("r_row").alias("leaf"), total.alias("total"), F.lit(0).cast("bigint").alias("weight"))
+    compared = first.select(F.least("hub", "leaf").alias("hub"), F.greatest("hub", "leaf").alias("leaf"))
+    second = second.distinct().join(compared, ["hub", "leaf"], "left_anti")
     more = staged(verify(second, blocks), "second-links")
 
-    every = copies.filter("row <> rep").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-    every = every.unionAll(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))).unionAll(more)
-    placed = described.join(components(every).withColumnRenamed("node", "row"), "row", "left").select("row", "doc_id", "n", F.coalesce("root", "row").alias("root"))
-    placed = staged(placed, "placed")
+    found = components(links.unionAll(more).select(F.col("hub").alias("a"), F.col("leaf").alias("b")))
+    placed = copies.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("row", "doc_id", "n", F.coalesce("root", "rep").alias("root"))
+    placed = staged(placed.unionByName(described.filter("n = 0").select("row", "doc_id", "n", F.col("row").alias("root"))), "placed")
     smallest = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return placed.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "row")
