@@ -12,9 +12,10 @@ count and each B id's highest and answer every block with one row, so a pair tha
 than a rare one per block, and slices of blocks spread an owner's answers over tasks. What an owner holds is bounded by the two
 vocabularies, not by the corpus.
 
-Words are cut before a blank that follows something else and has no white space after it. That is a border for both
-tokenizers if A splits text by the byte-level pattern and no piece of B has a blank behind another character; both are
-looked up in their files, and where they do not hold, texts are encoded whole.
+Words are cut before a blank that follows something else and has no white space after it, and between a Latin letter and a
+point, comma or the like. Those are borders for both tokenizers if A splits text by the byte-level pattern and no piece
+of B has a blank behind another character, or such a sign behind a letter; this is looked up in their files, and where it does
+not hold, texts are encoded whole.
 
 Null and empty texts, and texts that the tokens of either side do not spell (byte by byte, behind one blank), have no tokens:
 zeros, and '' for their groups. Repeated rows and doc_ids are documents of their own. A very long text is a block
@@ -27,6 +28,7 @@ import hashlib
 import itertools
 import json
 import os
+import re
 import uuid
 
 import numpy as np
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.llm.arrays import frames, offsets_of, pack_ints, pick, pieces, unframe, unpack_ints
+from tallyproof.llm.arrays import frames, offsets_of, pack_ints, pick, pieces, raw, unframe, unpack_ints
 from tallyproof.llm.bpe import _SPACE, _SPACE_RE2, Vocabulary
 from tallyproof.llm.planes import BYTE_SIGNS
 from tallyproof.llm.staging import folder, small_batches, staged
@@ -52,52 +54,55 @@ SLICE_BLOCKS = 4096
 # Diagonal run skipping
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int], list[int], list[int]]:
-    """Ends of the groups (in tokens of A and of B), and the token pairs whose bytes overlap (numbers in A and in B).
+def align(ends_a: list[int], ends_b: list[int]) -> list[tuple[int, int, int, int]]:
+    """The irregular groups as (first token of A, of B, token of A behind it, of B); all other tokens pair up one to one.
 
     The arguments are ascending ends of non-empty tokens over the same bytes, so the last ones are equal.
     """
     n, m = len(ends_a), len(ends_b)
-    groups_a: list[int] = []
-    groups_b: list[int] = []
-    links_a: list[int] = []
-    links_b: list[int] = []
-    i = j = 0
+    found = []
+    i = shift = 0
     while i < n:
-        first, shift, step = i, j - i, 1
-        while step:  # longer and longer stretches of the diagonal, then shorter ones up to its end
-            stop = i + step
-            if stop <= n and stop + shift <= m and ends_a[i:stop] == ends_b[i + shift : stop + shift]:
-                i, step = stop, step * 2
-            else:
-                break
+        step = 1
+        # longer and longer stretches of the diagonal, then shorter ones up to its end
+        while (stop := i + step) <= n and ends_a[i:stop] == ends_b[i + shift : stop + shift]:
+            i, step = stop, step * 2
         while step > 1:
-            step //= 2
-            stop = i + step
-            if stop <= n and stop + shift <= m and ends_a[i:stop] == ends_b[i + shift : stop + shift]:
+            step >>= 1
+            if (stop := i + step) <= n and ends_a[i:stop] == ends_b[i + shift : stop + shift]:
                 i = stop
-        j = i + shift
-        if i > first:
-            links_a.extend(range(first, i))
-            links_b.extend(range(first + shift, j))
-            groups_a.extend(range(first + 1, i + 1))
-            groups_b.extend(range(first + shift + 1, j + 1))
-        if i < n:
-            while True:  # an irregular group, up to the next common end
-                links_a.append(i)
-                links_b.append(j)
-                a, b = ends_a[i], ends_b[j]
-                i += a <= b
-                j += b <= a
-                if a == b:
-                    break
-            groups_a.append(i)
-            groups_b.append(j)
-    return groups_a, groups_b, links_a, links_b
+        if i == n:
+            break
+        first, j = i, i + shift
+        a, b = ends_a[i], ends_b[j]
+        while a != b:  # up to the next common end
+            if a < b:
+                i += 1
+                a = ends_a[i]
+            else:
+                j += 1
+                b = ends_b[j]
+        i += 1
+        found.append((first, first + shift, i, j + 1))
+        shift = j + 1 - i
+    return found
+
+
+def group_sizes(irregular: list[tuple[int, int, int, int]], n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of A and of B in every group, irregular ones and pairs."""
+    first_a, first_b, stop_a, stop_b = np.array(irregular, dtype=np.int64).reshape(-1, 4).T
+    size_a, size_b = stop_a - first_a, stop_b - first_b
+    place = first_a - offsets_of(size_a - 1)[:-1]  # groups before each irregular one
+    sizes = []
+    for n, size in ((n_a, size_a), (n_b, size_b)):
+        out = np.ones(n - int((size - 1).sum()), dtype=np.int64)
+        out[place] = size
+        sizes.append(out)
+    return sizes[0], sizes[1]
 
 
 def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The token pairs of `align` again, from the ends alone: one per piece between two ends of either side."""
+    """Token pairs whose bytes overlap (numbers in A and in B): one per piece between two ends of either side."""
     ends = np.concatenate([ends_a, ends_b])
     ends.sort(kind="stable")
     if len(ends):
@@ -108,9 +113,14 @@ def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.nda
 # Encoding
 
 
-def _cutter():
-    import re
+# Letters that every table of letters has, and signs that end a word behind them.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_SIGN = ".,;:!?"
+_TAIL = "\x01"  # put before a cut that is no blank; texts with one of their own are not cut there
+_LATIN = "\u0250"  # letters below are letters to every library
 
+
+def _cutter():
     return re.compile(rf"(?<=[^ ])(?= [^{_SPACE}])")
 
 
@@ -129,27 +139,46 @@ class Pair:
         form = json.loads(byte_json)
         split = form.get("pre_tokenizer") or {}
         self.by_words = form.get("normalizer") is None and split.get("type") == "ByteLevel" and bool(split.get("use_regex", True)) and not split.get("add_prefix_space")
-        self.by_words &= all(" " not in piece.lstrip(b" ").decode("utf-8", "replace") for piece in self.bytes_b)
+        border = re.compile(rf"[^ ] |[{_LETTER}][{_SIGN}]")
+        self.by_words &= not any(border.search(piece.decode("utf-8", "replace")) for piece in self.bytes_b)
         self.cut = _cutter()
+        self.spell_a, self.spell_b = Vocabulary(self.bytes_a), Vocabulary(self.bytes_b)
         self.known: dict[str, tuple] = {}
 
     def meet(self, words: list[str]) -> list[tuple]:
-        """(ids of A, ids of B, whether both spell the word) of every word; a word begins with a blank."""
+        """(ids of A, ids of B, whether both spell the word) of every word; a word begins with a blank or is cut from a letter."""
         if len(self.known) + len(words) > CACHED_WORDS:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        plain = [self.by_words and w[1:].isalpha() for w in new]
-        rest = iter(self.a.encode_batch([w for w, p in zip(new, plain) if not p], add_special_tokens=False))
-        pieces_b = self.b.encode([w[1:] for w in new], num_threads=1) if new else []
-        model, signs = self.a.model, BYTE_SIGNS
-        for word, p, ids_b in zip(new, plain, pieces_b):
-            # letters behind a blank are one word to the pattern, so they go straight to the merges
-            ids_a = [t.id for t in model.tokenize("".join(map(signs.__getitem__, word.encode())))] if p else next(rest).ids
-            data = word.encode()
-            spelt = b"".join(map(self.bytes_a.__getitem__, ids_a)) == data == b"".join(map(self.bytes_b.__getitem__, ids_b))
-            self.known[word] = (ids_a, ids_b, spelt)
+        if new:
+            plain = [self.by_words and w[0] == " " and w[1:].isalpha() and max(w) < _LATIN for w in new]
+            # a word cut from a letter is encoded behind one, whose own token goes
+            rest = self.a.encode_batch([w if w[0] == " " else " a" + w for w, p in zip(new, plain) if not p], add_special_tokens=False)
+            others = iter(rest)
+            ids_a = [self._letters(w) if p else next(others).ids[w[0] != " " :] for w, p in zip(new, plain)]
+            ids_b = self.b.encode([w[1:] if w[0] == " " else "a" + w for w in new], num_threads=1)
+            ids_b = [ids if w[0] == " " else ids[1:] for w, ids in zip(new, ids_b)]
+            ends, data = raw(pa.array(new, pa.string()))
+            right = np.ones(len(new), dtype=bool)
+            for ids, table in ((ids_a, self.spell_a), (ids_b, self.spell_b)):
+                at, flat = _ragged(ids)
+                lengths, spelt = pick(table.offsets, table.flat, flat)
+                own = offsets_of(lengths)[at]
+                same = np.diff(own) == np.diff(ends)
+                if same.all():
+                    wrong = np.flatnonzero(spelt != data)
+                    same[np.searchsorted(ends, wrong, side="right") - 1] = False
+                else:
+                    same &= [spelt[own[k] : own[k + 1]].tobytes() == data[ends[k] : ends[k + 1]].tobytes() for k in range(len(new))]
+                right &= same
+            self.known.update(zip(new, zip(ids_a, ids_b, right.tolist())))
         return [self.known[w] for w in words]
 
+    def _letters(self, word: str) -> list[int]:
+        """Ids of letters behind a blank: one word to the pattern, so they go straight to the merges."""
+        signs = BYTE_SIGNS[32] + word[1:] if word.isascii() else "".join(map(BYTE_SIGNS.__getitem__, word.encode()))
+        return [t.id for t in self.a.model.tokenize(signs)]
+
     def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Distinct words of some non-empty texts (each behind a blank), the word numbers in order, and how many each text has."""
         found: dict[str, int] = {}
@@ -158,22 +187,25 @@ class Pair:
             odd = np.ones(len(texts), dtype=bool)
         else:
             # blanks next to white space, or at the ends, may not be borders: such texts are cut by the whole rule
-            odd = pc.match_substring_regex(texts, f" [{_SPACE_RE2}]| $|^[{_SPACE_RE2}]").to_numpy(zero_copy_only=False)
+            odd = pc.match_substring_regex(texts, f" [{_SPACE_RE2}]| $|^[{_SPACE_RE2}]|{_TAIL}").to_numpy(zero_copy_only=False)
             lists = [self.cut.split(" " + t) for t in texts.filter(pa.array(odd)).to_pylist()]
-        plain = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        plain = pc.split_pattern(pc.replace_substring_regex(texts.filter(pa.array(~odd)), f"([{_LETTER}])([{_SIGN}])", f"\\1 {_TAIL}\\2"), " ")
         counts = pc.list_value_length(plain).to_numpy(zero_copy_only=False).astype(np.int64)
         values = plain.flatten().dictionary_encode()
-        place = np.array([found.setdefault(" " + w, len(found)) for w in values.dictionary.to_pylist()], dtype=np.int64)
-        numbers = [place[values.indices.to_numpy(zero_copy_only=False)]] if len(place) else []
-        numbers += [np.array([found.setdefault(w, len(found)) for w in words], dtype=np.int64) for words in lists]
+        held = [w[1:] if w[:1] == _TAIL else " " + w for w in values.dictionary.to_pylist()]
+        numbers = [values.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+        if lists:
+            found.update(zip(held, range(len(held))))
+            numbers += [np.array([found.setdefault(w, len(found)) for w in words], dtype=np.int64) for words in lists]
+            held = list(found)
         lengths = np.zeros(len(texts), dtype=np.int64)
         lengths[~odd], lengths[odd] = counts, [len(w) for w in lists]
         at = np.zeros(len(texts), dtype=np.int64)
         at[~odd] = offsets_of(counts)[:-1]
         at[odd] = int(counts.sum()) + offsets_of([len(w) for w in lists])[:-1]
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        flat = np.concatenate(numbers)
         shift = np.repeat(at - (np.cumsum(lengths) - lengths), lengths)
-        return list(found), flat[np.arange(len(flat)) + shift], lengths
+        return held, flat[np.arange(len(flat)) + shift], lengths
 
 
 def tokens_of_a(byte_json: str) -> list[bytes]:
@@ -269,9 +301,9 @@ def _align_blocks(files):
             ids = batch.column("doc_id")
             null = ids.is_null().to_numpy(zero_copy_only=False)
             (n_a, a, ends_a), (n_b, b, ends_b) = _encode_block(pair, batch.column("text").cast(pa.string()))
-            groups_a, groups_b, links_a, links_b = align(ends_a.tolist(), ends_b.tolist())
-            sizes_a, sizes_b = (np.diff(np.array([0, *g], dtype=np.int64)) for g in (groups_a, groups_b))
-            keys, counts = np.unique(_keys(a[np.array(links_a, dtype=np.int64)], b[np.array(links_b, dtype=np.int64)]), return_counts=True)
+            sizes_a, sizes_b = group_sizes(align(ends_a.tolist(), ends_b.tolist()), len(a), len(b))
+            one, two = overlaps(ends_a, ends_b)
+            keys, counts = np.unique(_keys(a[one], b[two]), return_counts=True)
             docs = frames(null.tobytes(), ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes(), n_a.astype("<i8").tobytes(), n_b.astype("<i8").tobytes())
             row = [(TaskContext.get().partitionId() << 32) + next(serial), pack.compress(docs), pack_ints(a), pack_ints(b), frames(pack_ints(sizes_a), pack_ints(sizes_b)), _pack_keys(keys, counts)]
             yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([x], pa.binary()) for x in row[1:])], ["block", "docs", "a", "b", "groups", "pairs"])
