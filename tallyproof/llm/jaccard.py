@@ -7,13 +7,13 @@ part is sent once to each fragment and salt it has leaves in, a leaf's part to t
 task holds one hub's part and streams the leaves past it. So a hub with very many leaves is spread over fragments and
 salts, and no task gathers a group.
 
-Candidates come from prefixes: a document's prefix is so long that two documents of similarity 0.75 must share a
-shingle of both prefixes. To stay linear on groups of copies, this goes in rounds. Equal sets are one representative. In the first
+Candidates come from prefixes: a document's prefix is so long that two documents of similarity 0.75 must share as many
+shingles of both prefixes as a sixteenth of the smaller set, and one more. To stay linear on groups of copies, this goes in rounds. Equal sets are one representative. In the first
 round representatives that share small shingles are compared with one of them, the one whose shingles are shared
 most widely (the text that the others were made from, if there is one), and those found similar take its label. The
-second round is the complete prefix join, but leaves out pairs of the same label and pairs the first round compared. A
-pair must share a shingle so early in both sets that the overlap it needs can still follow. What is left is verified,
-and one search for components ends it, so the components are exact.
+second round is the complete prefix join, but leaves out pairs of the same label and pairs the first round compared. The
+shingles that count are those so early in both sets that the overlap the pair needs can still follow. What is left is
+verified, and one search for components ends it, so the components are exact.
 
 The prefix order puts shingles that a sample of the documents suggests to be frequent last, so that passages of many documents
 do not fill the prefixes. Any order gives the same result; the marks of frequent shingles are a bitmap of fixed size.
@@ -110,9 +110,16 @@ def _describe(batches):
         yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(keys, mask=null), pa.array(np.diff(ends)), pa.array(sums[0]), pa.array(sums[1]), sketch], ["row", "doc_id", "n", "s1", "s2", "sketch"])
 
 
+#: A pair must share 1 + n // SHARE shingles of its prefixes (n: the smaller size).
+SHARE = 16
+
+
 def prefix_length(n: np.ndarray) -> np.ndarray:
-    """Shingles of a set of n of which a similar set must have one in its own prefix."""
-    return np.where(n > 0, n - -(-PERCENT * n // 100) + 1, 0)
+    """Length of the prefix of a set of n: a similar set's own prefix has 1 + n // SHARE shingles of it, or as its own size asks for.
+
+    The k-th shingle that two similar sets share has all but k of their overlap behind it.
+    """
+    return np.where(n > 0, n - -(-PERCENT * n // 100) + 1 + n // SHARE, 0)
 
 
 def _frequent(batches):
@@ -266,14 +273,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     open_shingles = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
     open_members = staged(members.join(open_shingles, "shingle"), "open-members")
     l, r = (open_members.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("row", "n", "place", "root")]) for s in "lr")
-    # the first shingle two similar sets share leaves enough of either set behind it for the overlap they must have
+    # the k-th shingle two similar sets share leaves enough of either set behind it for the overlap they must have
     total = F.col("l_n") + F.col("r_n")
     need = F.ceil(F.lit(PERCENT) * total / F.lit(float(100 + PERCENT)) - F.lit(1e-9))
-    early = (F.col("l_place") <= F.col("l_n") - need) & (F.col("r_place") <= F.col("r_n") - need)
+    asked = 1 + F.floor(F.least("l_n", "r_n") / SHARE)
+    early = (F.col("l_place") <= F.col("l_n") - need + asked - 1) & (F.col("r_place") <= F.col("r_n") - need + asked - 1)
     near = (F.col("l_row") < F.col("r_row")) & (F.col("l_root") != F.col("r_root")) & _sizes_fit("l_n", "r_n") & early
-    second = l.join(r, "shingle").filter(near).select(F.col("l_row").alias("hub"), F.col("r_row").alias("leaf"), total.alias("total"), F.lit(0).cast("bigint").alias("weight"))
+    met = l.join(r, "shingle").filter(near).groupBy(F.col("l_row").alias("hub"), F.col("r_row").alias("leaf"), total.alias("total"), asked.alias("asked"))
+    second = met.agg(F.count(F.lit(1)).alias("met")).filter("met >= asked").select("hub", "leaf", "total", F.lit(0).cast("bigint").alias("weight"))
     compared = first.select(F.least("hub", "leaf").alias("hub"), F.greatest("hub", "leaf").alias("leaf"))
-    second = second.distinct().join(compared, ["hub", "leaf"], "left_anti")
+    second = second.join(compared, ["hub", "leaf"], "left_anti")
     more = staged(verify(second, blocks), "second-links")
 
     found = components(links.unionAll(more).select(F.col("hub").alias("a"), F.col("leaf").alias("b")))
