@@ -19,8 +19,8 @@ UNKNOWN_VALUE = "rows excluded without a convertible amount (value unknown)"
 NONE_FOUND = "None identified"
 
 
-def effects(found: DataFrame) -> DataFrame:
-    """Adds the effect columns and `reconciles` to rows of answers(): raw + effects = result."""
+def effects(found: DataFrame, agg: str = "sum") -> DataFrame:
+    """Adds the effect columns and `reconciles` to rows of answers(): raw + effects = result. Only sums can reconcile."""
     duplicate = F.col("dedup_total") - F.col("raw_total")
     conflict = F.col("final_total") - F.col("dedup_total")
     return (
@@ -29,14 +29,15 @@ def effects(found: DataFrame) -> DataFrame:
         .withColumn("refund_effect", F.col("refund_total").cast(MONEY))
         .withColumn(
             "reconciles",
-            F.coalesce(
+            F.lit(agg == "sum")
+            & F.coalesce(
                 F.col("raw_total") + duplicate + conflict + F.col("refund_total") == F.col("result"), F.lit(False)
             ),
         )
     )
 
 
-def waterfall(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def waterfall(found: DataFrame, by: Sequence[str] = (), agg: str = "sum") -> DataFrame:
     """(by, step, label, amount): from the raw total to the verified one."""
     steps = [("raw total", "raw_total"), *EFFECTS.items(), ("verified total", "result")]
     lines = F.array(
@@ -47,7 +48,7 @@ def waterfall(found: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             for i, (n, c) in enumerate(steps, 1)
         ]
     )
-    return effects(found).select(*by, "reconciles", F.explode(lines).alias("line")).select(*by, "line.*", "reconciles")
+    return effects(found, agg).select(*by, "reconciles", F.explode(lines).alias("line")).select(*by, "line.*", "reconciles")
 
 
 def largest_risk(found: DataFrame) -> DataFrame:

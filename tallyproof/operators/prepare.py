@@ -12,6 +12,7 @@ from tallyproof.functions.dates import with_both_readings
 from tallyproof.functions.money import amount_or_zero, convert, loses_digits
 from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency, strip
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
+from tallyproof.operators.skew import Parts, cut_by_heat
 from tallyproof.sources.tables import row_order
 
 IDENTITY = ["key", "date_raw", "entity_raw", "amount_raw"]
@@ -62,6 +63,18 @@ def prepare(
     return typed.withColumn("in_scope", inside).drop("amount_text")
 
 
+def dealt(ledger: DataFrame, mapping: Mapping) -> Parts:
+    """The raw ledger cut by the heat of its keys, ordinary ones dealt by key.
+
+    Rows prepared from it are cleaned without another shuffle, and their texts are parsed behind the shuffle.
+    """
+    if not mapping.key:
+        return Parts(ledger, None)
+    key = _role(mapping.key)
+    parts = cut_by_heat(ledger, key)
+    return Parts(parts.cold.repartition(key), parts.hot)
+
+
 def matches(ledger: DataFrame, mapping: Mapping, request: Request) -> Column:
     """Entity list and equality filters; columns the ledger does not have are ignored (see requests)."""
     condition = F.lit(True)

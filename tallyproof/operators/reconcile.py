@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyproof.config import Mapping, Policy, Request
 from tallyproof.functions.money import MONEY
+from tallyproof.functions.periods import quarter_of
+from tallyproof.functions.text import entity_key
+from tallyproof.operators.prepare import entity_key_text
 from tallyproof.operators.sensitivity import percent
+from tallyproof.operators.totals import answers
 
 # Status names; a difference up to 0.5 % counts as agreement.
 CONTRADICTION = "CONTRADICTION_DETECTED"
 CONSISTENT = "CONSISTENT"
 NOT_COMPARABLE = "NOT_COMPARABLE"
 
+AS_ASKED = "as asked"
+COMPANY_WIDE = "company-wide"
+
 
 def reported_for(quarters: DataFrame, summary: DataFrame) -> DataFrame:
     """Adds `reported` to rows with year and quarter: the later of the row reported for that quarter and year and
@@ -48,3 +56,80 @@ def reconcile(verified: DataFrame) -> DataFrame:
             .otherwise(CONSISTENT),
         )
     )
+
+
+def _of_entities(mapping: Mapping, request: Request) -> Column:
+    """Rows of the entities that a request names, told by the normal form of the entity."""
+    chosen = F.lit(True)
+    if request.entities:
+        chosen &= F.col("entity_norm").isin(*[entity_key_text(e) for e in request.entities])
+    for column, value in request.filters:
+        if column == mapping.entity:
+            chosen &= F.col("entity_norm") == entity_key(F.lit(value))
+    return chosen
+
+
+def _both_scopes(ledger, rates, mapping, policy, request, refunds) -> DataFrame:
+    """Figures with `own` (part of what was asked) and `wide` (part of what is compared).
+
+    Where only entities are filtered, one run gives both scopes: the figure is cut in two by the filter.
+    """
+    named = [f for f in request.filters if f[0] == mapping.entity]
+    everything = request.with_(filters=(), entities=())
+    if not (named or request.entities):
+        return answers(ledger, rates, mapping, policy, request, refunds).withColumns({"own": F.lit(True), "wide": F.lit(True)})
+    if len(named) == len(request.filters):
+        split = lambda df: df.withColumn("own", _of_entities(mapping, request))
+        found = answers(ledger, rates, mapping, policy, everything, refunds, ["own"], split)
+        return found.withColumn("wide", F.lit(True))
+    own = answers(ledger, rates, mapping, policy, request, refunds).withColumns({"own": F.lit(True), "wide": F.lit(False)})
+    wide = answers(ledger, rates, mapping, policy, everything, refunds).withColumns({"own": F.lit(False), "wide": F.lit(True)})
+    return own.unionByName(wide)
+
+
+def request_reconciliation(
+    ledger: DataFrame,
+    rates: DataFrame,
+    mapping: Mapping,
+    policy: Policy,
+    request: Request,
+    summary: DataFrame,
+    refunds: DataFrame | None = None,
+) -> DataFrame:
+    """One row: the figure asked for, the figure compared, what was reported, and whether they agree.
+
+    Reported figures are company-wide calendar Q4 totals (`summary` as scanned), so a filter by entity is dropped for the
+    comparison, and with it all others. A request for another range, without a verified figure, or with nothing reported
+    cannot be compared.
+    """
+    rows = _both_scopes(ledger, rates, mapping, policy, request, refunds)
+    quarter = quarter_of(request.start, request.end)
+    year = quarter[0] if quarter and quarter[1] == 4 else None
+
+    def figure(part: str) -> Column:
+        open_ = F.coalesce(F.max(F.when(F.col(part), F.col("status") != "VERIFIED")), F.lit(False))
+        return F.when(~open_, F.coalesce(F.sum(F.when(F.col(part), F.col("result"))), F.lit(0)).cast(MONEY))
+
+    line = rows.agg(figure("own").alias("asked"), figure("wide").alias("result"))
+    line = line.withColumns({"year": F.lit(year).cast("int"), "quarter": F.lit(4 if year else None).cast("int")})
+    scope = F.lit(COMPANY_WIDE if request.entities or any(c == mapping.entity for c, _ in request.filters) else AS_ASKED)
+    reason = (
+        F.when(F.col("asked").isNull(), "no verified figure")
+        .when(F.col("year").isNull(), "not a calendar Q4")
+        .when(F.col("reported").isNull(), "nothing reported")
+        .when(F.col("result").isNull(), "no verified company-wide figure")
+        .otherwise("")
+    )
+    found = reported_for(line, summary).withColumn("reason", reason)
+    held = found.withColumn("reported", F.when(F.col("reason") == "", F.col("reported")))
+    compared = F.when(F.col("reason") == "", F.col("result")).cast(MONEY)
+    return reconcile(held).select(
+        F.col("asked").alias("result"),
+        compared.alias("compared"),
+        F.col("reported").cast(MONEY).alias("reported"),
+        "difference",
+        F.when(F.col("reason") == "", F.col("percent")).alias("percent"),
+        "reconciliation",
+        F.when(F.col("reason") == "", scope).alias("scope"),
+        "reason",
+    )

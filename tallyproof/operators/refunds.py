@@ -14,22 +14,27 @@ from tallyproof.functions.text import strip
 from tallyproof.operators.clean import first_row_per_key
 from tallyproof.operators.prepare import IDENTITY, in_range
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
-from tallyproof.operators.skew import salted_join
+from tallyproof.operators.skew import fits, salted_join
 from tallyproof.sources.tables import scan_refunds
 
+# About 10 MB of keys.
+MAX_BROADCAST_KEYS = 200_000
+
 
 def match_refunds(
     refunds: DataFrame, prepared: DataFrame, mapping: Mapping, policy: Policy, carry: Sequence[str] = ()
 ) -> DataFrame:
     """Every refund with its order's entity and currency; `matched` is false if the order did not survive.
 
-    The ledger is first cut down to the refunded keys, so only their rows are cleaned and joined.
+    The ledger is first cut down to the refunded keys, so only their rows are parsed, cleaned and joined. Keys counted
+    to fit are looked up where the ledger is read, and no row without a refund is shuffled.
     """
     scanned = scan_refunds(refunds, mapping)
-    keys = scanned.select("key").distinct()
-    of_refunded = salted_join(
-        prepared.filter(~F.col("is_missing")), keys, ["key"], "left_semi", F.struct(*IDENTITY)
-    )
+    keys, valid = scanned.select("key").distinct(), prepared.filter(~F.col("is_missing"))
+    if fits(keys, MAX_BROADCAST_KEYS):
+        of_refunded = valid.join(F.broadcast(keys), "key", "left_semi")
+    else:
+        of_refunded = salted_join(valid, keys, ["key"], "left_semi", F.struct(*IDENTITY))
     orders = first_row_per_key(of_refunded, ["entity_norm", "cur_eff", "in_entity", *carry])
     dated = with_both_readings(scanned, "ref_date_raw", policy.date_format, "ref_date", "other_ref_date")
     typed = dated.withColumn("ref_amount", amount_or_zero(strip(F.col("ref_amount_raw")), mapping.unit_multiplier))

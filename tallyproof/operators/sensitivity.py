@@ -17,8 +17,8 @@ from tallyproof.config import BLOCK_ANSWER, LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import is_ambiguous, proves
 from tallyproof.functions.money import MONEY, convert, rows_where, total
 from tallyproof.functions.periods import quarter_of, quarter_window
-from tallyproof.operators.clean import first_copies, key_cells
-from tallyproof.operators.prepare import in_range, prepare
+from tallyproof.operators.clean import cells
+from tallyproof.operators.prepare import dealt, in_range, prepare
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
 from tallyproof.operators.refunds import match_refunds
 from tallyproof.operators.totals import takes_refunds
@@ -108,21 +108,25 @@ def readings(
     as_given = scan_rates(rates, mapping, policy.date_format)
     as_other = scan_rates(rates, mapping, policy.other_format)
     prepared = prepare(ledger, mapping, policy, request)
-    rated = _with_rates(prepared, as_given, as_other, policy, "txn_date", "other_date")
     values = _values("amount", "txn_date", "other_date", request)
-    for name, value in values.items():
-        rated = rated.withColumn(f"v_{name}", F.when(F.col("is_missing"), 0).otherwise(value).cast("decimal(29,2)"))
-    for name, withheld in _withheld(policy, request).items():
-        rated = rated.withColumn(f"w_{name}", withheld)
-    if policy.conflicting_duplicate == BLOCK_ANSWER:
-        for name, (scope, _) in _scopes("txn_date", "other_date", request).items():
-            rated = rated.withColumn(f"s_{name}", scope & ~F.col("is_missing"))
-    flags = [c for c in rated.columns if c in {f"{k}_{n}" for k in "ws" for n in values}]
     base_day, other_day = F.col("txn_date"), F.col("other_date")
-    ambiguous = F.col("in_scope") & is_ambiguous(base_day, other_day)
-    rated = rated.withColumn("ambiguous", ambiguous).withColumn(
-        "foreign", F.col("in_scope") & (F.col("cur_eff") != policy.target_currency)
-    )
+
+    def read(part: DataFrame) -> DataFrame:
+        rated = _with_rates(prepare(part, mapping, policy, request), as_given, as_other, policy, "txn_date", "other_date")
+        for name, value in values.items():
+            rated = rated.withColumn(f"v_{name}", F.when(F.col("is_missing"), 0).otherwise(value).cast("decimal(29,2)"))
+        for name, withheld in _withheld(policy, request).items():
+            rated = rated.withColumn(f"w_{name}", withheld)
+        if policy.conflicting_duplicate == BLOCK_ANSWER:
+            for name, (scope, _) in _scopes("txn_date", "other_date", request).items():
+                rated = rated.withColumn(f"s_{name}", scope & ~F.col("is_missing"))
+        ambiguous = F.col("in_scope") & is_ambiguous(base_day, other_day)
+        return rated.withColumn("ambiguous", ambiguous).withColumn(
+            "foreign", F.col("in_scope") & (F.col("cur_eff") != policy.target_currency)
+        )
+
+    rated = dealt(ledger, mapping).each(read)
+    flags = [c for c in rated.cold.columns if c in {f"{k}_{n}" for k in "ws" for n in values}]
     valid = ~F.col("is_missing")
     per_copy = [
         rows_where(F.col("in_scope")).alias("scope_rows"),
@@ -131,27 +135,26 @@ def readings(
         rows_where(valid & proves(other_day, base_day)).alias("only_as_other"),
     ]
     counted = ["scope_rows", "ambiguous_rows", "only_as_given", "only_as_other"]
-    first = first_copies(rated, ["is_missing", "ambiguous", "foreign", *[f"v_{n}" for n in values], *flags], per_copy)
-    cells = key_cells(
-        first,
-        [],
-        [
-            *[F.sum(c).alias(c) for c in counted],
-            *[F.sum(f"v_{n}").alias(n) for n in values],
-            F.sum(F.when(F.col("ambiguous"), F.col("v_base"))).alias("ambiguous_total"),
-            rows_where(F.col("foreign")).alias("foreign_rows"),
-            *[rows_where(F.col(c)).alias(c) for c in flags],
-        ],
-    )
+
+    def per_first(first: Column) -> list[Column]:
+        return [
+            *[F.sum(F.when(first, F.col(f"v_{n}"))).alias(n) for n in values],
+            F.sum(F.when(first & F.col("ambiguous"), F.col("v_base"))).alias("ambiguous_total"),
+            rows_where(first & F.col("foreign")).alias("foreign_rows"),
+            *[rows_where(first & F.col(c)).alias(f"n_{c}") for c in flags],
+        ]
+
+    carry = ["is_missing", "ambiguous", "foreign", *[f"v_{n}" for n in values], *flags]
+    found = cells(rated, [], carry, per_copy, per_first, bool(mapping.key))
     clean = ~F.col("is_conflict")
-    found = cells.agg(
+    found = found.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c) for c in counted],
         *[total(F.when(clean, F.col(n))).alias(n) for n in values],
         total(F.when(clean, F.col("ambiguous_total"))).alias("ambiguous_total"),
         F.coalesce(F.sum(F.when(clean, F.col("foreign_rows"))), F.lit(0)).cast("bigint").alias("foreign_rows"),
         total(F.when(clean, F.col("base"))).alias("refunds"),
         *[
-            F.coalesce(F.sum(F.when(clean if c[0] == "w" else F.col("is_conflict"), F.col(c))), F.lit(0)).cast("bigint").alias(c)
+            F.coalesce(F.sum(F.when(clean if c[0] == "w" else F.col("is_conflict"), F.col(f"n_{c}"))), F.lit(0)).cast("bigint").alias(c)
             for c in flags
         ],
     )

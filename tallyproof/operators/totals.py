@@ -11,9 +11,10 @@ from tallyproof.config import BLANK_LABEL, BLOCK_ANSWER, EXCLUDE_REFUNDS, Mappin
 from tallyproof.functions.dates import is_ambiguous, proves
 from tallyproof.functions.money import MONEY, amount_or_zero, rows_where, total
 from tallyproof.functions.text import strip
-from tallyproof.operators.clean import first_copies, key_cells, surviving_rows
-from tallyproof.operators.prepare import matches, prepare, with_value
+from tallyproof.operators.clean import cells, surviving_rows
+from tallyproof.operators.prepare import dealt, matches, prepare, with_value
 from tallyproof.operators.refunds import priced_refunds, refund_totals
+from tallyproof.operators.skew import Parts
 
 CARRY = ["is_missing", "in_scope", "value", "unsupported", "foreign", "ambiguous", "lost_digits"]
 _PLAIN_ROWS = ["raw_rows", "missing_rows", "ambiguous_rows", "dedup_rows"]
@@ -21,41 +22,42 @@ _PLAIN_SUMS = ["raw_total", "dedup_total"]
 _CLEAN_ROWS = ["unsupported_rows", "foreign_rows", "lost_digit_rows"]
 
 
-def stage_totals(rows: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rows and converted amount in scope: as found, after exact copies, after conflicts. One scan.
+def stage_totals(rows: DataFrame | Parts, target: str, by: Sequence[str] = (), keyed: bool = True) -> DataFrame:
+    """Rows and converted amount in scope: as found, after exact copies, after conflicts. One scan, but for hot keys.
 
-    `by` names report columns that follow from entity and date.
+    `by` names report columns that follow from entity and date; not `keyed` is a ledger without a key column.
     """
     scope, ambiguous = F.col("in_scope"), F.col("ambiguous")
-    rows = rows.withColumns(
-        {
-            "foreign": F.col("cur_eff") != target,
-            "ambiguous": is_ambiguous(F.col("txn_date"), F.col("other_date")),
-        }
-    )
+    flags = {
+        "foreign": F.col("cur_eff") != target,
+        "ambiguous": is_ambiguous(F.col("txn_date"), F.col("other_date")),
+    }
+    rows = rows.each(lambda part: part.withColumns(flags)) if isinstance(rows, Parts) else rows.withColumns(flags)
     per_copy = [
         rows_where(scope).alias("raw_rows"),
         total(F.when(scope, F.col("value"))).alias("raw_total"),
         rows_where(scope & ambiguous).alias("ambiguous_rows"),
         rows_where(F.col("is_missing") & F.col("in_entity")).alias("missing_rows"),
     ]
-    first = first_copies(rows, [*CARRY, *by], per_copy)
-    per_key = [
-        *[F.sum(c).alias(c) for c in ("raw_rows", "raw_total", "ambiguous_rows", "missing_rows")],
-        rows_where(scope).alias("dedup_rows"),
-        total(F.when(scope, F.col("value"))).alias("dedup_total"),
-        rows_where(scope & F.col("unsupported")).alias("unsupported_rows"),
-        rows_where(scope & F.col("foreign")).alias("foreign_rows"),
-        rows_where(scope & F.col("lost_digits")).alias("lost_digit_rows"),
-        total(F.when(scope & ambiguous, F.col("value"))).alias("ambiguous_total"),
-    ]
-    cells = key_cells(first, by, per_key)
+
+    def per_first(first: Column) -> list[Column]:
+        counted = first & scope
+        return [
+            rows_where(counted).alias("dedup_rows"),
+            total(F.when(counted, F.col("value"))).alias("dedup_total"),
+            rows_where(counted & F.col("unsupported")).alias("unsupported_rows"),
+            rows_where(counted & F.col("foreign")).alias("foreign_rows"),
+            rows_where(counted & F.col("lost_digits")).alias("lost_digit_rows"),
+            total(F.when(counted & ambiguous, F.col("value"))).alias("ambiguous_total"),
+        ]
+
+    found = cells(rows, by, CARRY, per_copy, per_first, keyed)
     clean, conflict = ~F.col("is_conflict"), F.col("is_conflict")
 
     def rows_of(c: str, where: Column | None = None) -> Column:
         return F.coalesce(F.sum(F.when(where, F.col(c)) if where is not None else F.col(c)), F.lit(0)).cast("bigint")
 
-    return cells.groupBy(*by).agg(
+    return found.groupBy(*by).agg(
         *[rows_of(c).alias(c) for c in _PLAIN_ROWS],
         *[total(F.col(c)).alias(c) for c in _PLAIN_SUMS],
         rows_of("dedup_rows", clean).alias("final_rows"),
@@ -83,9 +85,10 @@ def answers(
     applied to refunds, whose date is the refund's own.
     """
     derive = derive or (lambda df: df)
-    prepared = derive(prepare(ledger, mapping, policy, request))
-    found = stage_totals(with_value(prepared, rates, policy), policy.target_currency, by)
+    rows = dealt(ledger, mapping).each(lambda part: with_value(derive(prepare(part, mapping, policy, request)), rates, policy))
+    found = stage_totals(rows, policy.target_currency, by, bool(mapping.key))
     if takes_refunds(refunds, policy, request) and mapping.key:
+        prepared = derive(prepare(ledger, mapping, policy, request))
         priced = priced_refunds(refunds, prepared, rates, mapping, policy, request)
         found = found.unionByName(refund_totals(derive(priced), by), allowMissingColumns=True)
     else:
@@ -149,22 +152,22 @@ def date_evidence(rows: DataFrame) -> DataFrame:
     )
 
 
-def unsupported_by_currency(rows: DataFrame, multiplier=1) -> DataFrame:
+def unsupported_by_currency(rows: DataFrame | Parts, multiplier=1) -> DataFrame:
     """In-scope surviving rows without a rate, per effective currency: rows and native amount, both ways."""
-    first = first_copies(rows, ["is_missing", "in_scope", "cur_eff", "unsupported", "amount"])
     hit = F.col("in_scope") & F.col("unsupported")
-    cells = key_cells(
-        first,
-        ["cur_eff"],
-        [
-            rows_where(hit).alias("rows"),
-            F.sum(F.when(hit, amount_or_zero(strip(F.col("amount_raw"))))).alias("native"),
-            F.sum(F.when(hit, F.col("amount"))).alias("scaled"),
-        ],
-    )
+
+    def per_first(first: Column) -> list[Column]:
+        counted = first & hit
+        return [
+            rows_where(counted).alias("rows"),
+            F.sum(F.when(counted, amount_or_zero(strip(F.col("amount_raw"))))).alias("native"),
+            F.sum(F.when(counted, F.col("amount"))).alias("scaled"),
+        ]
+
+    found = cells(rows, ["cur_eff"], ["is_missing", "in_scope", "unsupported", "amount"], [], per_first)
     label = F.when(F.col("cur_eff") == "", F.lit(BLANK_LABEL)).otherwise(F.col("cur_eff"))
     return (
-        cells.filter(~F.col("is_conflict") & (F.col("rows") > 0))
+        found.filter(~F.col("is_conflict") & (F.col("rows") > 0))
         .groupBy(label.alias("currency"))
         .agg(
             F.sum("rows").cast("bigint").alias("rows"),
@@ -174,33 +177,31 @@ def unsupported_by_currency(rows: DataFrame, multiplier=1) -> DataFrame:
     )
 
 
-def unsupported_keys(rows: DataFrame, limit: int = 25) -> DataFrame:
+def unsupported_keys(rows: DataFrame | Parts, limit: int = 25) -> DataFrame:
     """The first keys, in ledger order, of in-scope surviving rows without a rate (a report of `limit` lines)."""
     kept = surviving_rows(rows, ["in_scope", "unsupported", "cur_eff"])
     return kept.filter("in_scope and unsupported").orderBy("row_order", "key").limit(limit)
 
 
-def conflict_keys_in_scope(rows: DataFrame) -> DataFrame:
+def conflict_keys_in_scope(rows: DataFrame | Parts) -> DataFrame:
     """Conflicting keys with rows in scope, and how many distinct rows they hold there."""
-    first = first_copies(rows, ["is_missing", "in_scope"])
-    cells = key_cells(first, [], [rows_where(F.col("in_scope")).alias("rows")])
-    return cells.filter("is_conflict and rows > 0").select("key", "rows").orderBy("key")
+    found = cells(rows, [], ["is_missing", "in_scope"], [], lambda first: [rows_where(first & F.col("in_scope")).alias("rows")])
+    return found.filter("is_conflict and rows > 0").select("key", "rows").orderBy("key")
 
 
-def conversion_summary(rows: DataFrame, target: str) -> DataFrame:
+def conversion_summary(rows: DataFrame | Parts, target: str) -> DataFrame:
     """Foreign currencies among the in-scope surviving rows, one line each, with their rows."""
-    first = first_copies(rows, ["is_missing", "in_scope", "cur_eff"])
-    cells = key_cells(first, ["cur_eff"], [rows_where(F.col("in_scope")).alias("rows")])
+    found = cells(rows, ["cur_eff"], ["is_missing", "in_scope"], [], lambda first: [rows_where(first & F.col("in_scope")).alias("rows")])
     label = F.when(F.col("cur_eff") == "", F.lit(BLANK_LABEL)).otherwise(F.col("cur_eff"))
     return (
-        cells.filter("not is_conflict and rows > 0")
+        found.filter("not is_conflict and rows > 0")
         .groupBy(label.alias("currency"), (F.col("cur_eff") != target).alias("is_foreign"))
         .agg(F.sum("rows").cast("bigint").alias("rows"))
         .orderBy("currency")
     )
 
 
-def evidence_rows(rows: DataFrame, limit: int | None = 50) -> DataFrame:
+def evidence_rows(rows: DataFrame | Parts, limit: int | None = 50) -> DataFrame:
     """Cleaned in-scope rows in ledger order: the first `limit`, or all of them with None."""
     carry = ["in_scope", "entity_norm", "txn_date", "cur_eff", "rate", "value", "unsupported"]
     kept = surviving_rows(rows, carry).filter("in_scope")

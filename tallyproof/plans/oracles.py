@@ -577,6 +577,22 @@ FROM quarters LEFT JOIN own AS o ON o.yy = year LEFT JOIN general AS g ON true W
     "summary_reconciliation": f"""WITH quarters AS ({_QUARTERS}), {_COMPARED}
 SELECT CAST(year AS BIGINT) AS year, CAST(quarter AS BIGINT) AS quarter, result, CAST(reported AS DECIMAL(38,2)) AS reported,
   CAST(difference AS DECIMAL(38,2)) AS difference, {_percent('difference', 'result')} AS percent, reconciliation FROM compared""",
+    "request_reconciliation": f"""WITH whole AS ({_figure(scope=Q4)}), part AS ({_figure(scope=Q4, entity="ent = 'asia'")}),
+other AS ({_figure(scope="dmy BETWEEN DATE '1998-07-01' AND DATE '1998-09-30'")}), {_ORDER_SUMMARY},
+own AS (SELECT * FROM reported WHERE qq = 4 AND yy = 1998),
+general AS (SELECT * FROM reported WHERE qq = 4 AND yy IS NULL),
+told AS (SELECT CAST(CASE WHEN o.file_row IS NULL OR g.file_row > o.file_row THEN g.reported ELSE o.reported END AS DECIMAL(38,2)) AS reported
+  FROM (SELECT 1) LEFT JOIN own AS o ON true LEFT JOIN general AS g ON true),
+asked AS (SELECT 'entity' AS request, result, (SELECT result FROM whole) AS compared, 'company-wide' AS scope, '' AS reason FROM part
+  UNION ALL SELECT 'whole', result, result, 'as asked', '' FROM whole
+  UNION ALL SELECT 'other', result, NULL, NULL, 'not a calendar Q4' FROM other),
+line AS (SELECT a.*, CASE WHEN reason = '' THEN t.reported END AS reported,
+  CASE WHEN reason = '' THEN t.reported - compared END AS difference FROM asked AS a, told AS t)
+SELECT request, result, compared, reported, CAST(difference AS DECIMAL(38,2)) AS difference, {_percent('difference', 'compared')} AS percent,
+  CASE WHEN reported IS NULL THEN 'NOT_COMPARABLE' WHEN compared = 0 OR abs(difference) * 200 > abs(compared)
+    THEN 'CONTRADICTION_DETECTED' ELSE 'CONSISTENT' END AS reconciliation,
+  CASE WHEN reported IS NOT NULL THEN scope END AS scope,
+  CASE WHEN reason = '' AND reported IS NULL THEN 'nothing reported' ELSE reason END AS reason FROM line""",
     "trust_verdict": f"""WITH quarters AS ({_QUARTERS}), {_COMPARED},
 s AS ({ledger()} SELECT y AS year, q AS quarter, {_STAGE} FROM rows WHERE y IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT c.year, c.quarter, c.result, c.reconciliation = 'CONTRADICTION_DETECTED' AS off,

@@ -26,8 +26,9 @@ from tallyproof.operators import (
     trust,
 )
 from tallyproof.operators import rates as fx
-from tallyproof.operators.prepare import prepare, with_value
+from tallyproof.operators.prepare import dealt, prepare, with_value
 from tallyproof.operators.second_route import compare_routes, second_route
+from tallyproof.operators.skew import Parts
 from tallyproof.plans import ledgers as L
 from tallyproof.sources import tables
 
@@ -55,6 +56,15 @@ def _priced(spark, sf, request: Request = L.Q4_1998, policy: Policy = L.ANSWERS)
     return with_value(_prepared(spark, sf, request, policy), _rates(spark, policy), policy)
 
 
+def _prepared_parts(spark, sf, request: Request = L.Q4_1998, policy: Policy = L.ANSWERS) -> Parts:
+    return dealt(L.line_ledger(spark, sf), L.LINES).each(lambda part: prepare(part, L.LINES, policy, request))
+
+
+def _priced_parts(spark, sf, request: Request = L.Q4_1998, policy: Policy = L.ANSWERS) -> Parts:
+    rates = _rates(spark, policy)
+    return _prepared_parts(spark, sf, request, policy).each(lambda part: with_value(part, rates, policy))
+
+
 def _answers(spark, sf, request: Request = L.Q4_1998, policy: Policy = L.ANSWERS, by=(), derive=None) -> DataFrame:
     return totals.answers(
         L.line_ledger(spark, sf),
@@ -152,13 +162,13 @@ def _order_summary_by_quarter(spark, sf) -> DataFrame:
 @query
 def evidence_rows(spark, sf):
     """The first fifty cleaned rows in scope."""
-    return _evidence(totals.evidence_rows(_priced(spark, sf)))
+    return _evidence(totals.evidence_rows(_priced_parts(spark, sf)))
 
 
 @query
 def evidence_full(spark, sf):
     """S5 without a limit."""
-    return _evidence(totals.evidence_rows(_priced(spark, sf), None))
+    return _evidence(totals.evidence_rows(_priced_parts(spark, sf), None))
 
 
 def _evidence(rows: DataFrame) -> DataFrame:
@@ -372,7 +382,7 @@ def first_row_per_key(spark, sf):
 @query
 def conflict_excluded(spark, sf):
     """The cleaned ledger row by row."""
-    kept = clean.surviving_rows(_prepared(spark, sf), ["entity_norm", "cur_eff", "amount"])
+    kept = clean.surviving_rows(_prepared_parts(spark, sf), ["entity_norm", "cur_eff", "amount"])
     return kept.groupBy("entity_norm", "cur_eff").agg(F.count("*").alias("n"), total(F.col("amount")).alias("amount"))
 
 
@@ -386,7 +396,7 @@ def clean_ledger_totals(spark, sf):
 @query
 def conflicts_in_scope(spark, sf):
     """A6"""
-    return totals.conflict_keys_in_scope(_prepared(spark, sf, Request(start=L.Q4_1998.start.replace(month=1), end=L.Q4_1998.end)))
+    return totals.conflict_keys_in_scope(_prepared_parts(spark, sf, Request(start=L.Q4_1998.start.replace(month=1), end=L.Q4_1998.end)))
 
 
 @query
@@ -469,19 +479,19 @@ def scope_before_cleaning(spark, sf):
 @query
 def unsupported_by_currency(spark, sf):
     """A5"""
-    return totals.unsupported_by_currency(_priced(spark, sf, L.EVERYTHING, Policy()))
+    return totals.unsupported_by_currency(_priced_parts(spark, sf, L.EVERYTHING, Policy()))
 
 
 @query
 def unsupported_keys(spark, sf):
     """K4: a report of 25 lines"""
-    return totals.unsupported_keys(_priced(spark, sf)).select("key", "date_raw", "amount_raw", "cur_eff")
+    return totals.unsupported_keys(_priced_parts(spark, sf)).select("key", "date_raw", "amount_raw", "cur_eff")
 
 
 @query
 def conversion_summary(spark, sf):
     """A7"""
-    return totals.conversion_summary(_prepared(spark, sf), "INR")
+    return totals.conversion_summary(_prepared_parts(spark, sf), "INR")
 
 
 @query
@@ -573,7 +583,7 @@ def rank_entities(spark, sf):
 @query
 def ranking_sorted(spark, sf):
     """K1: suppliers by what they billed in the whole ledger."""
-    rows = _priced(spark, sf, L.EVERYTHING)
+    rows = _priced_parts(spark, sf, L.EVERYTHING)
     found = totals.stage_totals(rows, "INR", ["entity_norm"])
     return found.select(_label(F.col("entity_norm")).alias("entity"), "final_total").orderBy(
         F.col("final_total").desc_nulls_last(), "entity"
@@ -834,6 +844,21 @@ def summary_reconciliation(spark, sf):
     )
 
 
+@query
+def request_reconciliation(spark, sf):
+    """X1 for single requests against the order headers' summary: one entity's Q4, a whole Q4, another quarter."""
+    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, years=ANY_YEAR)
+    asked = {"entity": L.Q4_1998.with_(entities=("Asia",)), "whole": L.Q4_1998}
+    asked["other"] = Request(start=periods.quarter_window(1998, 3)[0], end=periods.quarter_window(1998, 3)[1])
+    lines = [
+        reconcile.request_reconciliation(
+            L.line_ledger(spark, sf), _rates(spark), L.LINES, L.ANSWERS, request, summary, L.line_refunds(spark, sf)
+        ).select(F.lit(name).alias("request"), "*")
+        for name, request in asked.items()
+    ]
+    return lines[0].unionAll(lines[1]).unionAll(lines[2])
+
+
 @query
 def trust_verdict(spark, sf):
     """T1, T2 by quarter"""
@@ -844,7 +869,7 @@ def trust_verdict(spark, sf):
 @query
 def entity_quarter_totals(spark, sf):
     """G1"""
-    rows = with_quarter(_priced(spark, sf, L.EVERYTHING))
+    rows = _priced_parts(spark, sf, L.EVERYTHING).each(with_quarter)
     found = totals.stage_totals(rows, "INR", ["entity_norm", "year", "quarter"])
     return found.filter("year is not null").select(
         "entity_norm", "year", "quarter", "raw_total", "final_total", "unsupported_rows"
@@ -854,10 +879,11 @@ def entity_quarter_totals(spark, sf):
 @query
 def top_entity(spark, sf):
     """G1: the largest entity of every fiscal quarter"""
-    rows = _priced(spark, sf, L.EVERYTHING)
-    fiscal = rows.withColumn("year", F.year("txn_date").cast("bigint")).withColumn(
-        "fiscal_quarter", periods.fiscal_quarter(F.col("txn_date")).cast("bigint")
-    )
+    columns = {
+        "year": F.year("txn_date").cast("bigint"),
+        "fiscal_quarter": periods.fiscal_quarter(F.col("txn_date")).cast("bigint"),
+    }
+    fiscal = _priced_parts(spark, sf, L.EVERYTHING).each(lambda part: part.withColumns(columns))
     found = totals.stage_totals(fiscal, "INR", ["entity_norm", "year", "fiscal_quarter"])
     return (
         found.filter("year is not null")
