@@ -1,13 +1,14 @@
 """Mixing a corpus to target weights by iterative proportional fitting.
 
 Documents fall into cells (source, language, topic). Each cell's tokens are raked until the token shares of sources,
-languages and topics all meet their targets; the ratio of raked to actual tokens of a cell says how much more or less
-often its documents are wanted. Documents are then kept with a probability in proportion to that ratio, the most wanted
-cell's documents with probability 1, so that the kept tokens have the target shares in expectation.
+languages and topics all meet their targets; the ratio of raked to actual tokens of a cell, its weight, says how often its
+documents are wanted. A document gets as many copies as the whole part of the weight says, and one more with the fraction as
+probability, so that the tokens of all copies have the target shares, and the size of the corpus, in expectation. A rare cell that
+is wanted often is repeated; it does not thin the others.
 
 Only cells, not documents, go through the iteration; they are a table in the shared folder, never on the driver. Text null
-counts as no tokens; null source or language is a value of its own. A document without tokens is kept with its
-cell's probability; an empty input gives an empty result; repeated rows are drawn alike, since the draw depends on doc_id,
+counts as no tokens; null source or language is a value of its own. A document without tokens is drawn like
+its cell; an empty input gives an empty result; repeated rows are drawn alike, since the draw depends on doc_id,
 text and the seed only. Values without a target share what the targets leave or, where they leave nothing, keep the share they
 have of the corpus; only a target of 0 removes a value. A target for a value the corpus lacks is spread over the others in proportion.
 """
@@ -24,6 +25,8 @@ from tallyproof.llm.staging import staged
 SWEEPS = 4
 MAX_ROUNDS = 8
 TOLERANCE = 1e-6
+#: A weight that raking left a hair below a whole number is that number.
+WEIGHT_DECIMALS = 9
 #: Targets that leave no more than this are taken to sum to 1.
 ROUNDING = 1e-9
 
@@ -67,7 +70,8 @@ def marginal(cells: DataFrame, dimension: str, targets: Mapping[str, float] | No
 
 
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEPS, max_rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
-    """cells (dimensions and tokens) with `raked`: tokens scaled until every marginal meets its target share.
+    """cells (dimensions and tokens) with `raked`, tokens scaled until every marginal meets its target share, and `miss`, the
+    largest difference between a marginal and its target that is left.
 
     After every few sweeps the cells are written out and the largest miss of a marginal is looked at; where targets
     contradict the cells (a value with a target that only occurs with values whose target is 0), max_rounds ends the search.
@@ -91,7 +95,7 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], sweeps: int = SWEEP
         miss = worst.agg(F.max("miss")).first()[0]
         if miss is None or miss <= tolerance:
             break
-    return cells.drop(*[f"share_{d}" for d in dims])
+    return cells.drop(*[f"share_{d}" for d in dims]).withColumn("miss", F.lit(miss).cast("double"))
 
 
 def mix(
@@ -106,10 +110,11 @@ def mix(
     least: float = 0.0,
     seed: int = 42,
 ) -> DataFrame:
-    """All columns of docs in a struct `row`, with source, lang, topic, n_tokens, weight, probability and kept.
+    """All columns of docs in a struct `row`, with source, lang, topic, n_tokens, weight, probability, miss, copies and kept.
 
-    targets: for each of source, lang and topic the wanted token shares, by value. least: no document is kept with
-    a smaller probability; above 0 it gives up exactness of the shares for more tokens.
+    targets: for each of source, lang and topic the wanted token shares, by value. copies: how often the document is drawn,
+    weight in expectation; probability: of being drawn at all, and kept: whether it is. least: no document has
+    a smaller weight; above 0 it gives up exactness of the shares for more tokens. miss: what raking left, see rake.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(
@@ -125,9 +130,10 @@ def mix(
     raked = rake(cells, wanted)
     total = cells.agg(F.sum("tokens")).first()[0] or 0.0
     raked = staged(raked.withColumn("weight", F.when(F.col("tokens") > 0, F.col("raked") * F.lit(total) / F.col("tokens")).otherwise(1.0)), "mix-raked")
-    most = raked.filter("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    raked = raked.withColumn("probability", F.greatest(F.lit(least), F.least(F.lit(1.0), F.col("weight") / F.lit(most))))
-    raked = staged(raked.select(*DIMENSIONS, "weight", "probability"), "mix-weights")
+    raked = raked.withColumn("weight", F.greatest(F.lit(least), F.round("weight", WEIGHT_DECIMALS))).withColumn("probability", F.least(F.lit(1.0), "weight"))
+    raked = staged(raked.select(*DIMENSIONS, "weight", "probability", "miss"), "mix-weights")
     if raked.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
-    return rows.join(raked, list(DIMENSIONS), "left").withColumn("kept", F.col("draw") < F.col("probability")).drop("draw")
+    whole = F.floor("weight")
+    copies = (whole + (F.col("draw") < F.col("weight") - whole).cast("int")).cast("bigint")
+    return rows.join(raked, list(DIMENSIONS), "left").withColumn("copies", copies).withColumn("kept", F.col("copies") > 0).drop("draw")

@@ -55,9 +55,9 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's raked weight and whether it is drawn."""
+    """Every document's raked weight and how often it is drawn."""
     mixed = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), mixing.TARGETS, mixing.POWERS)
-    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+    return mixed.select(F.col("row.doc_id").alias("doc_id"), "source", "lang", "topic", "n_tokens", "weight", "probability", "miss", "copies", "kept")
 
 
 @query
