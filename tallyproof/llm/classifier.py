@@ -187,16 +187,24 @@ def held_out(key: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
-    """Model fitted on trusted positives and unlabelled documents, none of them held out; None without positives."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> DataFrame:
+    """doc_id, positive and features x of at most max_positive + max_unlabelled rows, none of them held out.
+
+    Rows that share a doc_id count as one, the one with the smallest features, so the bound holds whatever ids repeat.
+    """
     turn = F.xxhash64(F.col("doc_id"), F.lit("turn"))
     known = labels.filter(~held_out() & (F.col("quality") == 1)).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
     free = docs.filter(~held_out() & F.col("doc_id").isNotNull()).select("doc_id")
     positives = known.orderBy(turn, "doc_id").limit(max_positive).withColumn("positive", F.lit(True))
     unlabelled = free.orderBy(turn, "doc_id").limit(max_unlabelled).distinct().withColumn("positive", F.lit(False))
-    sample = positives.unionByName(unlabelled)  # at most max_positive + max_unlabelled rows
+    sample = positives.unionByName(unlabelled)
     rows = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "positive", "text")
-    fitted = rows.mapInArrow(_featurize, "doc_id bigint, positive boolean, x binary").repartition(1).mapInArrow(_train, "model binary").first()
+    return rows.mapInArrow(_featurize, "doc_id bigint, positive boolean, x binary").groupBy("doc_id", "positive").agg(F.min("x").alias("x"))
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model | None:
+    """Model fitted on trusted positives and unlabelled documents, none of them held out; None without positives."""
+    fitted = training_rows(docs, labels, max_positive, max_unlabelled).repartition(1).mapInArrow(_train, "model binary").first()
     return Model.unpack(fitted["model"]) if fitted else None
 
 
