@@ -37,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that the tokens have the target shares."""
+    """Documents that the mix draws, each one once, since copies have just gone: a value wanted more often than it occurs stays below its share."""
     return mixing.mix(docs, mixing.TARGETS, mixing.POWERS).filter("kept").select("row.*")
 
 
