@@ -12,6 +12,8 @@ from tallyproof.functions.text import NUMBER_PATTERN
 RATE = "decimal(18,10)"
 AMOUNT = "decimal(25,6)"
 MONEY = "decimal(38,2)"
+#: Stands for a rate with more digits than RATE has, so that it takes part in the lookup and only the figures that need it are blocked.
+LOST_RATE = Decimal("-99999999.9999999999")
 
 
 def _multiplier(value) -> tuple[Decimal, int, int]:
@@ -67,19 +69,33 @@ def loses_digits(text: Column, multiplier=1) -> Column:
 
 
 def rate_or_null(text: Column) -> Column:
-    """Rate out of stripped text, NULL if unreadable. A rate with more digits than RATE has ends the job: no figure is right with it."""
+    """Rate out of stripped text, NULL if unreadable, LOST_RATE if it has more digits than RATE."""
     held = text.try_cast(RATE)
     lost = ~text.contains("_") & _problem(text, held, 10).isin("too_large", "too_precise")
-    return F.when(lost, F.raise_error(F.concat(F.lit("rate with too many digits: "), text)).cast(RATE)).otherwise(held)
+    return F.when(lost, F.lit(LOST_RATE).cast(RATE)).otherwise(held)
+
+
+def rate_is_lost(rate: Column) -> Column:
+    return F.coalesce(rate == F.lit(LOST_RATE).cast(RATE), F.lit(False))
+
+
+def value_is_lost(amount: Column, rate: Column) -> Column:
+    """No figure is right with this row: its rate has too many digits. Nothing at any rate is nothing."""
+    return rate_is_lost(rate) & (amount != 0)
+
+
+def kept_rate(rate: Column) -> Column:
+    """The rate as shown in results: NULL if it has too many digits."""
+    return F.when(~rate_is_lost(rate), rate)
 
 
 def convert(amount: Column, rate: Column) -> Column:
-    """Row value in the reporting currency, rounded half up to cents; no rate gives 0.00.
+    """Row value in the reporting currency, rounded half up to cents; no rate, or one of too many digits, gives 0.00.
 
     Amount and rate have 43 digits together, so thousands and the rest are multiplied apart; what lies beyond the
     seventh decimal of the rest cannot change a rounding to cents and is cut off.
     """
-    factor, size = F.coalesce(rate, F.lit(0)).cast(RATE), F.abs(amount).cast(AMOUNT)
+    factor, size = F.coalesce(kept_rate(rate), F.lit(0)).cast(RATE), F.abs(amount).cast(AMOUNT)
     thousands = F.floor(size * F.lit(Decimal("0.001"))).cast("decimal(16,0)")
     rest = (size - thousands * 1000).cast("decimal(9,6)")
     product = (thousands * factor * 1000).cast("decimal(37,7)") + F.floor(rest * factor, F.lit(7))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import Mapping, Policy
 from tallyproof.functions.dates import month_bucket, slash_date
-from tallyproof.functions.money import MONEY, RATE, amount_or_null, rows_where
+from tallyproof.functions.money import MONEY, RATE, amount_or_null, kept_rate, rows_where
 from tallyproof.functions.text import cell, effective_currency, entity_label, raw_currency, strip
 from tallyproof.operators.rates import attach_rate_on
 
@@ -26,7 +26,10 @@ def chart_rows(
     columns: Sequence[str],
     category: str | None,
 ) -> DataFrame:
-    """Distinct raw rows with their copies, month, value and reason. Conflicts and refunds play no part here."""
+    """Distinct raw rows with their copies, month, value and reason. Conflicts and refunds play no part here.
+
+    A rate of too many digits counts as none.
+    """
     distinct = ledger.groupBy(*[cell(c).alias(c) for c in columns]).agg(F.count("*").alias("copies"))
     code = raw_currency(F.col(mapping.currency)) if mapping.currency else F.lit(policy.target_currency)
     rows = distinct.select(
@@ -41,7 +44,7 @@ def chart_rows(
         same = F.when(F.col("cur_eff") == policy.target_currency, F.lit(1))
         rated = rows.withColumn("rate", same.cast(RATE))
     else:
-        rated = attach_rate_on(rows, rates, policy.target_currency, "day")
+        rated = attach_rate_on(rows, rates, policy.target_currency, "day").withColumn("rate", kept_rate(F.col("rate")))
     reason = (
         F.when(F.col("amount").isNull(), NO_AMOUNT)
         .when(F.col("cur_eff") == "", NO_CURRENCY)

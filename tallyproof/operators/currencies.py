@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import BLANK_CURRENCY, Mapping, Policy, Request
-from tallyproof.functions.money import rows_where
+from tallyproof.functions.money import kept_rate, rows_where
 from tallyproof.functions.text import cell, effective_currency, strip
 from tallyproof.operators.prepare import prepare
 from tallyproof.operators.rates import attach_rate_on, latest_rates
@@ -48,7 +48,7 @@ def currency_profile(
         F.min("eff").alias("first_rate_day"),
         F.max("eff").alias("latest_rate_day"),
     )
-    on_file = on_file.join(latest_rates(rates).withColumnRenamed("rate", "latest_rate"), "cur")
+    on_file = on_file.join(latest_rates(rates).select("cur", kept_rate(F.col("rate")).alias("latest_rate")), "cur")
     code = F.col("cur_raw")
     answered = F.lit(None).cast("string")
     for found, means in policy.currency_map.items():

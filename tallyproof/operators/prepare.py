@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import with_both_readings
-from tallyproof.functions.money import amount_or_zero, convert, loses_digits
+from tallyproof.functions.money import amount_or_zero, convert, kept_rate, loses_digits, value_is_lost
 from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency, strip
 from tallyproof.operators.rates import attach_latest_rate, attach_rate_on
 from tallyproof.operators.skew import Parts, cut_by_heat
@@ -100,11 +100,14 @@ def in_range(day: Column, request: Request) -> Column:
 
 
 def with_value(rows: DataFrame, rates: DataFrame, policy: Policy, **limits) -> DataFrame:
-    """Adds rate, value (cents, half up) and `unsupported` for rows no rate exists for."""
+    """Adds rate, value (cents, half up) and `unsupported` for rows no rate exists for.
+
+    A rate of too many digits is shown as NULL, the row has `lost_digits`.
+    """
     if policy.basis == LATEST:
         rated = attach_latest_rate(rows, rates, policy.target_currency, **limits)
     else:
         rated = attach_rate_on(rows, rates, policy.target_currency, "txn_date", **limits)
-    return rated.withColumn("value", convert(F.col("amount"), F.col("rate"))).withColumn(
-        "unsupported", F.col("rate").isNull()
-    )
+    amount, rate = F.col("amount"), F.col("rate")
+    lost = F.col("lost_digits") | value_is_lost(amount, rate)
+    return rated.withColumns({"value": convert(amount, rate), "unsupported": rate.isNull(), "lost_digits": lost, "rate": kept_rate(rate)})

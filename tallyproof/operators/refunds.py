@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import with_both_readings
-from tallyproof.functions.money import amount_or_zero, convert, loses_digits, rows_where, total
+from tallyproof.functions.money import amount_or_zero, convert, kept_rate, loses_digits, rows_where, total, value_is_lost
 from tallyproof.functions.text import strip
 from tallyproof.operators.clean import first_row_per_key
 from tallyproof.operators.prepare import IDENTITY, in_range
@@ -54,11 +54,15 @@ def priced_refunds(
     else:
         rated = attach_rate_on(rows, rates, policy.target_currency, "ref_date")
     scope = F.col("in_entity") & in_range(F.col("ref_date"), request)
-    return (
-        rated.filter(scope)
-        .withColumn("txn_date", F.col("ref_date"))
-        .withColumn("refund_value", convert(F.col("ref_amount"), F.col("rate")))
-        .withColumn("unsupported", F.col("rate").isNull())
+    amount, rate = F.col("ref_amount"), F.col("rate")
+    return rated.filter(scope).withColumns(
+        {
+            "txn_date": F.col("ref_date"),
+            "refund_value": convert(amount, rate),
+            "unsupported": rate.isNull(),
+            "lost_digits": F.col("lost_digits") | value_is_lost(amount, rate),
+            "rate": kept_rate(rate),
+        }
     )
 
 

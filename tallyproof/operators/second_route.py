@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import BLANK_CURRENCY, DD_MM, EXCLUDE_REFUNDS, LATEST, Mapping, Policy, Request
 
+# a rate of too many digits; no rate in a table is this
+_LOST = "cast('-99999999.9999999999' as decimal(18,10))"
 # white space of every kind, by its code points
 _BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 _TRIM = "regexp_replace({0}, r'^" + _BLANK + "+|" + _BLANK + "+$', '')"
@@ -57,15 +59,18 @@ def _value(amount: str, rate: str, policy: Policy, mapping: Mapping, currency: s
     fits = f"{scaled} IS NOT NULL AND {decimals} <= {6 - places} AND coalesce(try_cast({text} as decimal(38,18)) = {read}, true)"
     each = f"(CASE WHEN {currency} = {_quoted(policy.target_currency)} THEN 1 ELSE coalesce({rate}, 0) END)"
     size = f"abs({scaled})"
+    lost = f"{scaled} <> 0 AND {each} = {_LOST}"
     # kept narrow, so that the sum has room for all seven decimals
     fraction = f"cast(floor({size} * cast({each} - floor({each}) as decimal(10,10)), 7) as decimal(30,7))"
     money = f"cast(round(cast({size} * floor({each}) as decimal(34,6)) + {fraction}, 2) as decimal(30,2))"
-    return f"(CASE WHEN NOT {number} THEN 0 WHEN NOT ({fits}) THEN NULL WHEN {scaled} < 0 THEN -{money} ELSE {money} END)"
+    return f"(CASE WHEN NOT {number} THEN 0 WHEN NOT ({fits}) THEN NULL WHEN {lost} THEN NULL WHEN {scaled} < 0 THEN -{money} ELSE {money} END)"
 
 
 def _rate(text: str) -> str:
     held, wide = f"try_cast({text} as decimal(18,10))", f"try_cast({text} as decimal(38,18))"
-    return f"if({wide} IS NOT NULL AND ({held} IS NULL OR {held} <> {wide}), raise_error('rate with too many digits'), {held})"
+    number = f"{text} rlike '^[-+]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][-+]?[0-9]+)?$'"
+    decimals = f"length(regexp_extract({text}, '[.]([0-9]*[1-9])0*$', 1))"
+    return f"if({number} AND ({held} IS NULL OR {decimals} > 10 OR coalesce({held} <> {wide}, false)), {_LOST}, {held})"
 
 
 def _known_rates(asked: str, name: str, policy: Policy) -> str:
@@ -99,7 +104,7 @@ def second_route(
     refunds: DataFrame | None = None,
     by: dict[str, str] | None = None,
 ) -> DataFrame:
-    """result_b and status_b per report row. BLOCKED_DIGITS: an amount in scope has more digits than are kept, no result.
+    """result_b and status_b per report row. BLOCKED_DIGITS: an amount in scope, or its rate, has more digits than are kept; no result.
 
     Without a key column there are no copies, conflicts or refunds. `by` maps output names to SQL over `entity`
     (normalised) and `day`.

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyproof.config import BLOCK_ANSWER, LATEST, Mapping, Policy, Request
 from tallyproof.functions.dates import is_ambiguous, proves
-from tallyproof.functions.money import MONEY, convert, rows_where, total
+from tallyproof.functions.money import MONEY, convert, rows_where, total, value_is_lost
 from tallyproof.functions.periods import quarter_of, quarter_window
 from tallyproof.operators.clean import cells
 from tallyproof.operators.prepare import dealt, in_range, prepare
@@ -83,11 +83,15 @@ def _values(amount: str, day: str, other_day: str, request: Request) -> dict[str
     }
 
 
+def _lost(amount: str, rate: str) -> Column:
+    return F.col("lost_digits") | value_is_lost(F.col(amount), F.col(f"rate_{rate}"))
+
+
 def _withheld(policy: Policy, request: Request) -> dict[str, Column]:
-    """Rows for which a reading has no figure: no rate under a strict policy, or an amount of too many digits in a sum."""
+    """Rows for which a reading has no figure: no rate under a strict policy, or an amount or rate of too many digits in a sum."""
     strict, summed = F.lit(policy.unsupported_currency == BLOCK_ANSWER), F.lit(request.agg == "sum")
     return {
-        name: scope & ~F.col("is_missing") & ((strict & F.col(f"rate_{rate}").isNull()) | (summed & F.col("lost_digits")))
+        name: scope & ~F.col("is_missing") & ((strict & F.col(f"rate_{rate}").isNull()) | (summed & _lost("amount", rate)))
         for name, (scope, rate) in _scopes("txn_date", "other_date", request).items()
     }
 
@@ -158,6 +162,7 @@ def readings(
             for c in flags
         ],
     )
+    found, flags = found.withColumn("w_refunds", F.col("w_base")), [*flags, "w_refunds"]
     if refunds is None or request.agg == "count" or not mapping.key:
         return _without_blocked(found, flags)
     less = _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, request)
@@ -167,22 +172,28 @@ def readings(
 
 
 def _without_blocked(found: DataFrame, flags: list[str]) -> DataFrame:
-    def open_only(name: str, reading: str) -> Column:
-        blocked = [F.col(c) > 0 for c in flags if c[2:] == reading]
-        return F.when(~reduce(or_, blocked), F.col(name))
+    def open_only(name: str) -> Column:
+        own = {f"w_{name}", "s_base" if name == "refunds" else f"s_{name}"}
+        return F.when(~reduce(or_, [F.col(c) > 0 for c in flags if c in own]), F.col(name))
 
-    return found.withColumns({n: open_only(n, "base" if n == "refunds" else n) for n in ["base", *ASSESSMENT]}).drop(*flags)
+    return found.withColumns({n: open_only(n) for n in ["base", *ASSESSMENT]}).drop(*flags)
 
 
 def _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, request) -> DataFrame:
-    """What refunds take from every reading; the `refunds` reading is the one with the policy flipped."""
+    """What refunds take from every reading, and how many of them withhold it for their digits.
+
+    The `refunds` reading is the one with the policy flipped.
+    """
     matched = match_refunds(refunds, prepared, mapping, policy).filter("matched")
     rated = _with_rates(matched, as_given, as_other, policy, "ref_date", "other_ref_date")
     values = _values("ref_amount", "ref_date", "other_ref_date", request)
     taken = takes_refunds(refunds, policy, request)
     sums = [(-total(v if taken else F.lit(0))).cast(MONEY).alias(n) for n, v in values.items()]
     flipped = F.lit(0) if taken else values["base"]
-    return rated.agg(*sums, (-total(flipped)).cast(MONEY).alias("refunds"))
+    lost = {n: scope & _lost("ref_amount", rate) for n, (scope, rate) in _scopes("ref_date", "other_ref_date", request).items()}
+    withheld = [rows_where(is_lost if taken else F.lit(False)).alias(f"w_{n}") for n, is_lost in lost.items()]
+    withheld.append(rows_where(F.lit(False) if taken else lost["base"]).alias("w_refunds"))
+    return rated.agg(*sums, (-total(flipped)).cast(MONEY).alias("refunds"), *withheld)
 
 
 def _applies(name: str, request: Request, has_refunds: bool) -> Column:

@@ -111,7 +111,7 @@ def takes_refunds(refunds: DataFrame | None, policy: Policy, request: Request) -
 def with_status(found: DataFrame, policy: Policy, request: Request) -> DataFrame:
     """status, reason and result; a strict policy withholds the figure instead of leaving rows out.
 
-    A sum over amounts that cannot be held digit by digit is withheld under every policy.
+    A sum over amounts, or with rates, that cannot be held digit by digit is withheld under every policy.
     """
     no_rate = F.lit(policy.unsupported_currency == BLOCK_ANSWER) & (F.col("unsupported_rows") > 0)
     conflict = F.lit(policy.conflicting_duplicate == BLOCK_ANSWER) & (F.col("conflict_keys") > 0)
@@ -120,7 +120,7 @@ def with_status(found: DataFrame, policy: Policy, request: Request) -> DataFrame
         "; ",
         F.when(no_rate, F.concat(F.col("unsupported_rows").cast("string"), F.lit(" rows without a rate"))),
         F.when(conflict, F.concat(F.col("conflict_keys").cast("string"), F.lit(" keys with conflicting amounts"))),
-        F.when(digits, F.concat(F.col("lost_digit_rows").cast("string"), F.lit(" amounts with too many digits"))),
+        F.when(digits, F.concat(F.col("lost_digit_rows").cast("string"), F.lit(" amounts or rates with too many digits"))),
     )
     figure = (
         F.col("final_rows").cast(MONEY)

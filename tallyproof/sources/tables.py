@@ -41,7 +41,7 @@ def read_parquet(spark: SparkSession, path, keep: Sequence[str] = ()) -> DataFra
 
 
 def scan_rates(rates: DataFrame, mapping: Mapping, date_format: str = DD_MM) -> DataFrame:
-    """(cur, eff, rate, ord); rows whose date or rate cannot be read are left out, too long a rate is an error."""
+    """(cur, eff, rate, ord); rows whose date or rate cannot be read are left out; a rate of too many digits is money.LOST_RATE."""
     cols = mapping.rates
     return rates.select(
         F.upper(strip(cell(cols.currency))).alias("cur"),
