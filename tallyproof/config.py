@@ -60,6 +60,10 @@ class Mapping:
     refunds: RefundColumns = field(default_factory=RefundColumns)
     summary: SummaryColumns = field(default_factory=SummaryColumns)
 
+    def measuring(self, metric: str | None) -> Mapping:
+        """The same roles with another column as the amount."""
+        return replace(self, amount=metric) if metric else self
+
     def roles(self) -> set[str]:
         return {c for c in (self.key, self.date, self.entity, self.amount, self.currency) if c}
 
@@ -109,13 +113,18 @@ class Policy:
 
 @dataclass(frozen=True)
 class Request:
-    """One question: a sum or a count over an entity / column filter and an inclusive date range."""
+    """One question: a sum or a count over an entity / column filter and an inclusive date range.
+
+    `metric` names the column to be added up where that is not the ledger's amount. It then takes the amount's part in every
+    rule; refunds are refunds of the amount and are not subtracted from it.
+    """
 
     agg: str = "sum"
     start: dt.date | None = None
     end: dt.date | None = None
     filters: tuple[tuple[str, str], ...] = ()
     entities: tuple[str, ...] = ()
+    metric: str | None = None
 
     def __post_init__(self):
         if self.agg not in ("sum", "count"):

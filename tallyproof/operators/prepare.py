@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyproof.config import LATEST, Mapping, Policy, Request
+from tallyproof.config import LATEST, Mapping, Policy, Request, RequestError
 from tallyproof.functions.dates import with_both_readings
 from tallyproof.functions.money import amount_or_zero, convert, kept_rate, loses_digits, value_is_lost
 from tallyproof.functions.text import cell, effective_currency, entity_key, is_blank, raw_currency, strip
@@ -34,9 +34,12 @@ def prepare(
     `in_entity` covers the entity list and the equality filters, `in_scope` adds the date range and is false
     for rows without a date or an amount. `other_date` is the day under the other slash format, `lost_digits` an
     amount with more digits than are kept. Without a key column every row has a key of its own, so that there are no
-    copies and no conflicts.
+    copies and no conflicts. A metric the ledger does not have is refused.
     """
     request = request or Request()
+    if request.metric and request.metric not in ledger.columns:
+        raise RequestError(f"the ledger has no column {request.metric!r}")
+    mapping = mapping.measuring(request.metric)
     currency = _role(mapping.currency) if mapping.currency else F.lit(policy.target_currency)
     texts = ledger.select(
         (_role(mapping.key) if mapping.key else F.monotonically_increasing_id().cast("string")).alias("key"),

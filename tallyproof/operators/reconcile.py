@@ -102,7 +102,11 @@ def request_reconciliation(
     comparison, and with it all others. A request for another range, without a verified figure, or with nothing reported
     cannot be compared.
     """
-    rows = _both_scopes(ledger, rates, mapping, policy, request, refunds)
+    return compare_scopes(_both_scopes(ledger, rates, mapping, policy, request, refunds), mapping, request, summary)
+
+
+def compare_scopes(rows: DataFrame, mapping: Mapping, request: Request, summary: DataFrame) -> DataFrame:
+    """The one row of request_reconciliation, from the figures of both scopes."""
     quarter = quarter_of(request.start, request.end)
     year = quarter[0] if quarter and quarter[1] == 4 else None
 

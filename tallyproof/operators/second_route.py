@@ -10,7 +10,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyproof.config import BLANK_CURRENCY, DD_MM, EXCLUDE_REFUNDS, LATEST, Mapping, Policy, Request
+from tallyproof.config import BLANK_CURRENCY, DD_MM, EXCLUDE_REFUNDS, LATEST, Mapping, Policy, Request, RequestError
 
 # a rate of too many digits; no rate in a table is this
 _LOST = "cast('-99999999.9999999999' as decimal(18,10))"
@@ -110,6 +110,9 @@ def second_route(
     (normalised) and `day`.
     """
     by = by or {}
+    measured = request.metric or mapping.amount
+    if request.metric and request.metric not in ledger.columns:
+        raise RequestError(f"no column {request.metric!r} to add up")
     pattern = "d/M/yyyy" if policy.date_format == DD_MM else "M/d/yyyy"
     order = ", ".join(_name(c) for c in mapping.order) or "1"
     filters = ["true"]
@@ -144,7 +147,7 @@ def second_route(
       SELECT {''.join(n + ', ' for n in by)} {part} AS part, {'0' if count else 'sum(bad)'} AS bad
       FROM ({cells}) AS pieces {unclashing} {grouping}"""
     less = owed = ""
-    if refunds is not None and policy.refunds != EXCLUDE_REFUNDS and not count and mapping.key:
+    if refunds is not None and policy.refunds != EXCLUDE_REFUNDS and not count and mapping.key and measured == mapping.amount:
         f = mapping.refunds
         refund_value = _value("w.amount_text", "owed_rate.rate", policy, mapping, "w.cur")
         refund_day = f"try_to_date({_trim(_text(f.date))}, '{pattern}')"
@@ -166,7 +169,7 @@ def second_route(
     query = rf"""
     WITH raw AS (
       SELECT {_text(mapping.key)} AS k, {_text(mapping.date)} AS d, {_text(mapping.entity)} AS e,
-             {_text(mapping.amount)} AS a, {_currency(currency, policy)} AS cur,
+             {_text(measured)} AS a, {_currency(currency, policy)} AS cur,
              struct({order}) AS place, {' AND '.join(filters)} AS keep
       FROM {{ledger}}),
     valid AS (

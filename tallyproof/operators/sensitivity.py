@@ -106,7 +106,7 @@ def readings(
 ) -> DataFrame:
     """One row: the figure under every reading, and the counters that tell how plausible a reading is.
 
-    A reading is NULL where its own run would be blocked. Counts know no refunds, nor do ledgers without a key.
+    A reading is NULL where its own run would be blocked. Counts know no refunds, nor do ledgers without a key and other metrics than the amount.
     `rates` is the raw table, because slash dates in it are read under the format in question too.
     """
     as_given = scan_rates(rates, mapping, policy.date_format)
@@ -163,7 +163,7 @@ def readings(
         ],
     )
     found, flags = found.withColumn("w_refunds", F.col("w_base")), [*flags, "w_refunds"]
-    if refunds is None or request.agg == "count" or not mapping.key:
+    if refunds is None or request.agg == "count" or not mapping.key or request.metric not in (None, mapping.amount):
         return _without_blocked(found, flags)
     less = _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, request)
     names = found.columns
@@ -187,7 +187,7 @@ def _refund_readings(refunds, prepared, as_given, as_other, mapping, policy, req
     matched = match_refunds(refunds, prepared, mapping, policy).filter("matched")
     rated = _with_rates(matched, as_given, as_other, policy, "ref_date", "other_ref_date")
     values = _values("ref_amount", "ref_date", "other_ref_date", request)
-    taken = takes_refunds(refunds, policy, request)
+    taken = takes_refunds(refunds, mapping, policy, request)
     sums = [(-total(v if taken else F.lit(0))).cast(MONEY).alias(n) for n, v in values.items()]
     flipped = F.lit(0) if taken else values["base"]
     lost = {n: scope & _lost("ref_amount", rate) for n, (scope, rate) in _scopes("ref_date", "other_ref_date", request).items()}

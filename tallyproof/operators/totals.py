@@ -87,10 +87,17 @@ def answers(
     derive = derive or (lambda df: df)
     rows = dealt(ledger, mapping).each(lambda part: with_value(derive(prepare(part, mapping, policy, request)), rates, policy))
     found = stage_totals(rows, policy.target_currency, by, bool(mapping.key))
-    if takes_refunds(refunds, policy, request) and mapping.key:
-        prepared = derive(prepare(ledger, mapping, policy, request))
-        priced = priced_refunds(refunds, prepared, rates, mapping, policy, request)
-        found = found.unionByName(refund_totals(derive(priced), by), allowMissingColumns=True)
+    if not takes_refunds(refunds, mapping, policy, request):
+        return settled(found, None, policy, request, by)
+    prepared = derive(prepare(ledger, mapping, policy, request))
+    priced = priced_refunds(refunds, prepared, rates, mapping, policy, request)
+    return settled(found, refund_totals(derive(priced), by), policy, request, by)
+
+
+def settled(found: DataFrame, refunded: DataFrame | None, policy: Policy, request: Request, by: Sequence[str] = ()) -> DataFrame:
+    """Stage totals and refund totals of the same report rows put together, with status and result."""
+    if refunded is not None:
+        found = found.unionByName(refunded, allowMissingColumns=True)
     else:
         found = found.withColumn("refund_rows", F.lit(0)).withColumn("refund_total", F.lit(0).cast(MONEY))
         found = found.withColumn("refund_unsupported", F.lit(0))
@@ -104,8 +111,11 @@ def answers(
     return with_status(merged, policy, request)
 
 
-def takes_refunds(refunds: DataFrame | None, policy: Policy, request: Request) -> bool:
-    return refunds is not None and policy.refunds != EXCLUDE_REFUNDS and request.agg == "sum"
+def takes_refunds(refunds: DataFrame | None, mapping: Mapping, policy: Policy, request: Request) -> bool:
+    """Only sums of the ledger's own amount have refunds, and only a key leads from a refund to its rows."""
+    if refunds is None or mapping.key is None or policy.refunds == EXCLUDE_REFUNDS:
+        return False
+    return request.agg == "sum" and request.metric in (None, mapping.amount)
 
 
 def with_status(found: DataFrame, policy: Policy, request: Request) -> DataFrame:

@@ -84,7 +84,7 @@ def _effective(answers: dict[str, str]) -> str:
     return f"CASE cur_raw{cases}{blank} ELSE cur_raw END"
 
 
-def ledger(answers=_RS_ONLY, latest: bool = False, scope: str = "true", entity: str = "true", other: bool = False) -> str:
+def ledger(answers=_RS_ONLY, latest: bool = False, scope: str = "true", entity: str = "true", other: bool = False, metric: str = "amount") -> str:
     """CTEs up to `rows`: every ledger row with flags, value in cents, and the chosen scope."""
     if latest:
         rate = "LEFT JOIN (SELECT cur, arg_max(rate, eff) AS rate FROM rate_ok GROUP BY cur) AS r ON r.cur = p.cur"
@@ -96,7 +96,7 @@ prep AS (
     SELECT *, lower(trim(branch)) AS ent, try_cast(try_strptime(trim(ship_date), '%d/%m/%Y') AS DATE) AS dmy,
       try_cast(try_strptime(trim(ship_date), '%m/%d/%Y') AS DATE) AS mdy,
       coalesce(try_cast(trim(amount) AS DECIMAL(25,6)), 0) AS amt, {_RAW_CODE} AS cur_raw,
-      trim(ship_date) = '' OR trim(amount) = '' AS missing FROM line)),
+      trim(ship_date) = '' OR trim(amount) = '' AS missing FROM (SELECT * REPLACE ({metric} AS amount) FROM line))),
 priced AS (
   SELECT p.*, CASE WHEN p.cur = 'INR' THEN 1 ELSE r.rate END AS rate FROM prep AS p {rate}),
 flagged AS (
@@ -171,6 +171,21 @@ _STAGE = f"""
   {_big('count(*) FILTER (in_scope AND ambiguous)')} AS ambiguous_rows,
   {_money('sum(cents) FILTER (in_scope AND clean AND ambiguous)')} AS ambiguous_total"""
 
+
+
+def _audited(name: str, scope: str, entity: str) -> str:
+    """Stage totals and refunds of one request, as one line."""
+    return f"""SELECT '{name}' AS request, * FROM ({ledger(scope=scope, entity=entity)},
+own AS (SELECT {_STAGE} FROM rows), back AS (SELECT {_BACK} FROM refunded) SELECT * FROM own, back)"""
+
+
+_AUDITS = [
+    ("entity", Q4, "ent = 'asia'"),
+    ("whole", Q4, "true"),
+    ("other", "dmy BETWEEN DATE '1998-07-01' AND DATE '1998-09-30'", "true"),
+    ("column", Q4, "ent = 'europe' AND return_flag = 'N'"),
+]
+
 _LINE_COLUMNS = "invoice ship_date branch amount currency supplier_id quantity return_flag line_status".split()
 _NUMERIC = r"'^[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$'"
 
@@ -421,6 +436,10 @@ ORDER BY copy, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 25""",
   {_BACK}, {_big('count(*) FILTER (no_rate)')} AS refund_unsupported FROM refunded GROUP BY 1, 2, 3""",
     "refund_unmatched": f"""{ledger()} SELECT ref_key AS key, ref_amount_text AS ref_amount_raw,
   ref_date_text AS ref_date_raw FROM matched WHERE NOT matched""",
+    "metric_column_total": _pick(
+        _figure("y, q", keep=_KEEP_QUARTER, refunds=False, metric="quantity"),
+        "* REPLACE (CAST(year AS BIGINT) AS year, CAST(quarter AS BIGINT) AS quarter), true AS agrees",
+    ),
     "net_total": _pick(
         _QUARTERS, "CAST(year AS BIGINT) AS year, CAST(quarter AS BIGINT) AS quarter, final_total, refund_total, result"
     ),
@@ -593,6 +612,18 @@ SELECT request, result, compared, reported, CAST(difference AS DECIMAL(38,2)) AS
     THEN 'CONTRADICTION_DETECTED' ELSE 'CONSISTENT' END AS reconciliation,
   CASE WHEN reported IS NOT NULL THEN scope END AS scope,
   CASE WHEN reason = '' AND reported IS NULL THEN 'nothing reported' ELSE reason END AS reason FROM line""",
+    "request_audit": f"""WITH told AS ({{reconciled}}), audits AS ({" UNION ALL ".join(_audited(*a) for a in _AUDITS)}),
+j AS (SELECT a.*, coalesce(final_total, 0) + coalesce(refund_total, 0) AS figure, t.compared, t.reported,
+  coalesce(t.reconciliation, 'NOT_COMPARABLE') AS reconciliation FROM audits AS a
+  LEFT JOIN told AS t ON t.request = CASE a.request WHEN 'column' THEN 'entity' ELSE a.request END), -- both are compared with the whole company's Q4
+k AS (SELECT *, reconciliation = 'CONTRADICTION_DETECTED' AS off, unsupported_rows > 0 AS u, conflict_keys > 0 AS k, final_rows = 0 AS z FROM j)
+SELECT * EXCLUDE (figure, off, u, k, z, compared, reported, reconciliation), 'VERIFIED' AS status, {_decimal('figure')} AS result, {_decimal('figure')} AS result_b,
+  {_decimal('dedup_total - raw_total')} AS duplicate_effect, {_decimal('final_total - dedup_total')} AS conflict_effect,
+  refund_total AS refund_effect, true AS reconciles, compared, reported, reconciliation,
+  CASE WHEN off OR u OR k OR z THEN 'VERIFIED_WITH_POLICY' ELSE 'VERIFIED' END AS decision,
+  CASE WHEN off OR u OR k OR z THEN 'MANAGEMENT_REVIEW_REQUIRED' ELSE 'INTERNAL_EXPLORATION_OK' END AS publishability,
+  concat_ws('; ', CASE WHEN off THEN 'reported figure differs' END, CASE WHEN u THEN 'rows without a rate' END,
+    CASE WHEN k THEN 'conflicting amounts' END, CASE WHEN z THEN 'no data in scope' END) AS reasons FROM k""",
     "trust_verdict": f"""WITH quarters AS ({_QUARTERS}), {_COMPARED},
 s AS ({ledger()} SELECT y AS year, q AS quarter, {_STAGE} FROM rows WHERE y IS NOT NULL GROUP BY 1, 2),
 j AS (SELECT c.year, c.quarter, c.result, c.reconciliation = 'CONTRADICTION_DETECTED' AS off,
@@ -640,3 +671,5 @@ ORACLES["compare_entities"] = (
     f"SELECT entity, result, unsupported_rows, conflict_keys FROM ({ORACLES['rank_entities']}) AS ranked "
     "WHERE lower(entity) IN ('asia', 'europe') UNION ALL SELECT 'Atlantis', CAST(0 AS DECIMAL(38, 2)), 0, 0"
 )
+
+ORACLES["request_audit"] = ORACLES["request_audit"].replace("{reconciled}", ORACLES["request_reconciliation"])

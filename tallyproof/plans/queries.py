@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from tallyproof.functions import dates, periods
 from tallyproof.functions.money import MONEY, amount_or_null, amount_or_zero, amount_problem, rows_where, total
 from tallyproof.functions.text import cell, is_number, strip
 from tallyproof.operators import (
+    audit,
     clean,
     cube,
     currencies,
@@ -106,6 +108,7 @@ def _label(norm: Column) -> Column:
 
 
 ANY_YEAR = "(?:19|20)[0-9]{2}"
+QUARTER_CUTS = {"year": "cast(year(day) as bigint)", "quarter": "cast(quarter(day) as bigint)"}
 FIGURE = ["final_rows", "final_total", "refund_rows", "refund_total", "status", "result"]
 STAGES = [
     "raw_rows", "raw_total", "dedup_rows", "dedup_total", "final_rows", "final_total", "missing_rows",
@@ -538,6 +541,17 @@ def multiplier_total(spark, sf):
     return found.select("entity_norm", "year", "final_rows", "unsupported_rows", "result")
 
 
+@query
+def metric_column_total(spark, sf):
+    """Another column added up, by quarter; refunds are refunds of the amount and stay out of it."""
+    request = L.EVERYTHING.with_(metric="quantity")
+    first = _answers(spark, sf, request, by=["year", "quarter"], derive=with_quarter)
+    second = _second(spark, sf, request, by=QUARTER_CUTS)
+    both = first.join(second, ["year", "quarter"], "full").filter("year is not null")
+    agrees = F.col("result").eqNullSafe(F.col("result_b"))
+    return both.select("year", "quarter", *FIGURE, agrees.alias("agrees"))
+
+
 @query
 def blocked_scopes(spark, sf):
     """C3 by entity and quarter"""
@@ -601,24 +615,32 @@ def verify_routes(spark, sf):
 def verify_routes_latest(spark, sf):
     """V1 with the other basis and other answers, by quarter"""
     policy = Policy(currency_map={"EUR": "USD", "(BLANK)": "INR", "GBP": "XXX"}, conversion_basis=LATEST)
-    cuts = {"year": "cast(year(day) as bigint)", "quarter": "cast(quarter(day) as bigint)"}
     first = _quarters(spark, sf, policy)
-    second = _second(spark, sf, L.EVERYTHING, policy, cuts).filter("year is not null")
+    second = _second(spark, sf, L.EVERYTHING, policy, QUARTER_CUTS).filter("year is not null")
     return compare_routes(first, second, ["year", "quarter"])
 
 
-def _audit(spark, sf) -> DataFrame:
-    """One row per quarter: both routes side by side."""
-    cuts = {"year": "cast(year(day) as bigint)", "quarter": "cast(quarter(day) as bigint)"}
-    second = _second(spark, sf, L.EVERYTHING, by=cuts)
-    first = _quarters(spark, sf)
-    return first.join(second, ["year", "quarter"], "left")
+def _clean_copy(spark, sf, keep=()) -> audit.CleanLedger:
+    return audit.clean_ledger(L.line_ledger(spark, sf), _rates(spark), L.LINES, L.ANSWERS, keep)
+
+
+def _clean_quarters(clean: audit.CleanLedger, spark, sf) -> DataFrame:
+    found = audit.figures(clean, _rates(spark), L.EVERYTHING, L.line_refunds(spark, sf), ["year", "quarter"], with_quarter)
+    return found.filter("year is not null")
+
+
+def _both_routes(clean: audit.CleanLedger, quarters: DataFrame, spark, sf) -> DataFrame:
+    """One row per quarter: both routes side by side, also where only one has the quarter."""
+    second = audit.second_figures(clean, L.rate_table(spark), L.EVERYTHING, L.line_refunds(spark, sf), QUARTER_CUTS)
+    return quarters.join(second.filter("year is not null"), ["year", "quarter"], "full")
 
 
 @query
 def issued_evidence(spark, sf):
     """V2"""
-    return trust.issuable(_audit(spark, sf)).select("year", "quarter", "result", "final_rows")
+    clean = _clean_copy(spark, sf)
+    both = _both_routes(clean, _clean_quarters(clean, spark, sf), spark, sf)
+    return trust.issuable(both).select("year", "quarter", "result", "final_rows")
 
 
 # ---- profile ---------------------------------------------------------------------------------------------------
@@ -848,21 +870,41 @@ def summary_reconciliation(spark, sf):
 def request_reconciliation(spark, sf):
     """X1 for single requests against the order headers' summary: one entity's Q4, a whole Q4, another quarter."""
     summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, years=ANY_YEAR)
-    asked = {"entity": L.Q4_1998.with_(entities=("Asia",)), "whole": L.Q4_1998}
-    asked["other"] = Request(start=periods.quarter_window(1998, 3)[0], end=periods.quarter_window(1998, 3)[1])
     lines = [
         reconcile.request_reconciliation(
             L.line_ledger(spark, sf), _rates(spark), L.LINES, L.ANSWERS, request, summary, L.line_refunds(spark, sf)
         ).select(F.lit(name).alias("request"), "*")
-        for name, request in asked.items()
+        for name, request in _ASKED.items()
     ]
-    return lines[0].unionAll(lines[1]).unionAll(lines[2])
+    return reduce(DataFrame.unionAll, lines)
+
+
+_ASKED = {
+    "entity": L.Q4_1998.with_(entities=("Asia",)),
+    "whole": L.Q4_1998,
+    "other": Request(start=periods.quarter_window(1998, 3)[0], end=periods.quarter_window(1998, 3)[1]),
+}
+
+
+@query
+def request_audit(spark, sf):
+    """Whole audits of four requests over one cleaned copy."""
+    summary = tables.scan_summary(_order_summary(spark, sf), L.LINES, years=ANY_YEAR)
+    clean, rates, back = _clean_copy(spark, sf, ["return_flag"]), L.rate_table(spark), L.line_refunds(spark, sf)
+    asked = _ASKED | {"column": L.Q4_1998.with_(filters=(("branch", "EUROPE"), ("return_flag", "N")))}
+    columns = [
+        *STAGES, *FIGURE[2:], "result_b", "duplicate_effect", "conflict_effect", "refund_effect", "reconciles",
+        "compared", "reported", "reconciliation", "decision", "publishability", "reasons",
+    ]
+    return audit.request_audits(clean, rates, asked, summary, back).select("request", *columns)
 
 
 @query
 def trust_verdict(spark, sf):
-    """T1, T2 by quarter"""
-    judged = trust.verdict(_reconciled(_audit(spark, sf), _reported(_quarters(spark, sf))))
+    """T1, T2 by quarter, over one cleaned copy"""
+    clean = _clean_copy(spark, sf)
+    quarters = tables.written_once(_clean_quarters(clean, spark, sf), tables.shared_folder(spark, "quarters"))
+    judged = trust.verdict(_reconciled(_both_routes(clean, quarters, spark, sf), _reported(quarters)))
     return judged.select("year", "quarter", "result", "decision", "publishability", "reasons")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,3 +88,22 @@ def write_evidence(rows: DataFrame, path: str, fmt: str = "parquet", mode: str =
     """Save evidence rows as Spark files (csv gets a header)."""
     writer = rows.write.mode(mode).format(fmt)
     (writer.option("header", True) if fmt == "csv" else writer).save(path)
+
+
+@functools.cache
+def _folder_of_one_machine() -> str:
+    return tempfile.mkdtemp(prefix="tallyproof-")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below spark.checkpoint.dir. Only a session of one machine may do without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(base or _folder_of_one_machine()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, path: str) -> DataFrame:
+    """df written and read back: what follows does not compute it again, also after executors are lost."""
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
