@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyproof.config import Mapping, Policy
-from tallyproof.functions.dates import month_bucket, slash_date
+from tallyproof.functions.dates import month_bucket, with_both_readings
 from tallyproof.functions.money import MONEY, RATE, amount_or_null, kept_rate, rows_where
 from tallyproof.functions.text import cell, effective_currency, entity_label, raw_currency, strip
 from tallyproof.operators.rates import attach_rate_on
@@ -32,14 +32,16 @@ def chart_rows(
     """
     distinct = ledger.groupBy(*[cell(c).alias(c) for c in columns]).agg(F.count("*").alias("copies"))
     code = raw_currency(F.col(mapping.currency)) if mapping.currency else F.lit(policy.target_currency)
-    rows = distinct.select(
+    texts = distinct.select(
         "copies",
         (F.col(mapping.entity) if mapping.entity else F.lit("")).alias("entity_raw"),
         (F.col(category) if category else F.lit(None).cast("string")).alias("category_raw"),
-        slash_date(F.col(mapping.date), policy.date_format).alias("day"),
+        F.col(mapping.date).alias("date_raw"),
         amount_or_null(strip(F.col(mapping.amount)), mapping.unit_multiplier, commas=True).alias("amount"),
         effective_currency(code, {}).alias("cur_eff"),
     )
+    # the text is taken apart once; a date made of it in one expression would do so for each use of a part
+    rows = with_both_readings(texts, "date_raw", policy.date_format, "day", "other_day").drop("date_raw", "other_day")
     if rates is None:
         same = F.when(F.col("cur_eff") == policy.target_currency, F.lit(1))
         rated = rows.withColumn("rate", same.cast(RATE))
