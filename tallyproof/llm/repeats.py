@@ -44,6 +44,8 @@ LAST = 2**63 - 1
 LAST_HASH = 2**64 - 1
 #: Bytes looked through at a time.
 STRETCH = 1 << 15
+#: Pieces whose bytes are laid out at a time; each byte takes several numbers of eight bytes meanwhile.
+TOGETHER = 4_000
 #: Starts that share one test of whether pieces have a string in common.
 STEP = 5
 #: Bits of an anchor's hash left out when blocks report it; a chance match only sends bytes in vain.
@@ -295,7 +297,7 @@ def _places(grams: list[bytes], null, keys, ends: np.ndarray, data: np.ndarray):
     found = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
     spots, signed, docs, first, stops = (x[found] for x in (spots, hashes.view(np.int64), docs, first, last + LENGTH))
     skip = spots - first
-    parts = [slice(i, i + 20_000) for i in range(0, len(spots), 20_000)]
+    parts = [slice(i, i + TOGETHER) for i in range(0, len(spots), TOGETHER)]
     content = np.concatenate([_signed_off(*_gather(data, first[p], stops[p]), skip[p]) for p in parts] or [np.zeros(0, np.uint64)])
     order = np.lexsort((content, signed))
     g, c = signed[order], content[order]
@@ -468,7 +470,8 @@ def _resolve(batches, gathered: int):
             ready.clear()
 
     def content_of(rows: pa.RecordBatch) -> np.ndarray:
-        return _signed_off(*raw(rows.column("bytes")), rows.column("skip").to_numpy())
+        parts = (rows.slice(i, TOGETHER) for i in range(0, len(rows), TOGETHER))
+        return np.concatenate([_signed_off(*raw(p.column("bytes")), p.column("skip").to_numpy()) for p in parts])
 
     count, wait = 0, WAIT
     for batch in batches:
@@ -496,7 +499,7 @@ def _resolve(batches, gathered: int):
 def _cut(batches):
     """Per document of a block what is removed and what stays."""
     for _, (_, null, keys, ends, data), known in _open(batches):
-        gone = np.zeros(len(data) + 1, dtype=np.int64)
+        gone = np.zeros(len(data) + 1, dtype=np.int32)
         text = data.tobytes()
         if known["answers"] is not None and len(known["answers"]):
             numbers, lists = (known["answers"].field(c) for c in ("n", "strings"))
@@ -511,14 +514,14 @@ def _cut(batches):
             whole = told[one][strings[at[answer[one]]] < doc[told[one]]]
             np.add.at(gone, first[whole], 1)
             np.add.at(gone, stops[whole], -1)
-            for p in range(0, int((~one).sum()), 20_000):
-                own, which = told[~one][p : p + 20_000], answer[~one][p : p + 20_000]
+            for p in range(0, int((~one).sum()), TOGETHER):
+                own, which = told[~one][p : p + TOGETHER], answer[~one][p : p + TOGETHER]
                 offsets, values = _gather(strings, at[which], at[which + 1])
                 size = np.diff(offsets)
                 begins = (np.arange(len(values)) - np.repeat(offsets[:-1] - first[own], size))[values < np.repeat(doc[own], size)]
                 np.add.at(gone, begins, 1)
                 np.add.at(gone, begins + LENGTH, -1)
-        removed = np.cumsum(gone)[: len(data)] > 0
+        removed = np.cumsum(gone, out=gone)[: len(data)] > 0
         columns: list[list] = [[], [], [], []]
         for low, high in zip(ends[:-1].tolist(), ends[1:].tolist()):
             own = removed[low:high]
