@@ -63,9 +63,13 @@ def column_samples(
     )
 
 
+def _whole_rows(ledger: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return ledger.groupBy(*[cell(c).alias(c) for c in columns]).agg(F.count("*").alias("copies"))
+
+
 def copy_groups(ledger: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Whole rows, as written, that stand in the ledger more than once."""
-    return ledger.groupBy(*[cell(c).alias(c) for c in columns]).agg(F.count("*").alias("copies")).filter("copies > 1")
+    return _whole_rows(ledger, columns).filter("copies > 1")
 
 
 def conflict_groups(ledger: DataFrame, mapping: Mapping) -> DataFrame:
@@ -113,13 +117,31 @@ def ledger_counts(ledger: DataFrame, mapping: Mapping) -> DataFrame:
     )
 
 
+def row_counts(ledger: DataFrame, mapping: Mapping, columns: Sequence[str]) -> DataFrame:
+    """One row: ledger_counts and the number of copy_groups; cells are looked at once per distinct row, without a scan of their own."""
+    if not {mapping.date, mapping.amount} <= set(columns):
+        copies = copy_groups(ledger, columns).agg(F.count("*").alias("exact_duplicate_groups"))
+        return ledger_counts(ledger, mapping).unionByName(copies, allowMissingColumns=True)
+    day, n = F.col(mapping.date), F.col("copies")
+
+    def of(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    return _whole_rows(ledger, columns).agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("rows"),
+        of(is_blank(day)).alias("missing_dates"),
+        of(is_blank(F.col(mapping.amount))).alias("missing_amounts"),
+        of(looks_ambiguous(strip(day))).alias("ambiguous_dates"),
+        rows_where(n > 1).alias("exact_duplicate_groups"),
+    )
+
+
 def quality(
     ledger: DataFrame, mapping: Mapping, rates: DataFrame, policy: Policy, columns: Sequence[str]
 ) -> DataFrame:
     """One row: every finding and the score, 100 less the capped deductions, never below 0."""
     parts = [
-        ledger_counts(ledger, mapping),
-        copy_groups(ledger, columns).agg(F.count("*").alias("exact_duplicate_groups")),
+        row_counts(ledger, mapping, columns),
         conflict_groups(ledger, mapping).agg(F.count("*").alias("conflicting_duplicate_groups")),
         currency_codes(ledger, mapping, rates, policy.target_currency).agg(
             rows_where(~F.col("supported")).alias("unsupported_currencies")
