@@ -21,6 +21,8 @@ from each other; a null doc_id comes after all others. Other columns are not rea
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -126,19 +128,26 @@ def suffix_array(text: str) -> list[int]:
     for g in reversed(ranked):
         place[g] = at
         at += len(members[g])
-    led: list[list[int]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        led[behind[i]].append(i)
+    # the suffixes that each place leads, in text order, as chains: a list for each would take longer to make than to read
+    first, following = [-1] * (n + 1), [0] * n
+    for i in range(n - 1, -1, -1):
+        j = behind[i]
+        following[i] = first[j]
+        first[j] = i
     order = [0] * n
-    for j in [n]:
-        for i in led[j]:
-            order[place[group[i]]] = i
-            place[group[i]] += 1
-    for k in range(n):
-        for i in led[order[k]]:
+    i = first[n]
+    while i >= 0:
+        g = group[i]
+        order[place[g]] = i
+        place[g] += 1
+        i = following[i]
+    for j in order:  # grows ahead of the loop
+        i = first[j]
+        while i >= 0:
             g = group[i]
             order[place[g]] = i
             place[g] += 1
+            i = following[i]
     return order
 
 
@@ -385,6 +394,17 @@ def _by_gram(keys) -> dict[int, list[tuple[int, int, bytes]]]:
 
 
 def _settle(rows: list[tuple]) -> list[list]:
+    """_settled without the search for cycles of objects: none are made, and it would go through all of them again and again."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        return _settled(rows)
+    finally:
+        if on:
+            gc.enable()
+
+
+def _settled(rows: list[tuple]) -> list[list]:
     """Answers for the rows of some anchors, all of each: smallest doc_id by string (one number if it is the same for all)."""
     distinct: dict[tuple[int, int, bytes], int] = {}
     for gram, _, _, least, _, skip, data in rows:
